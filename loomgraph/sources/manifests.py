@@ -1,0 +1,109 @@
+"""File manifests, change classification and dependency manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions.texts import normal_list  # noqa: F401  (part of this module's surface)
+
+# Folders that are never read, and languages by extension.
+EXCLUDED = (".git", "node_modules", "dist", "build", "out", "target", "vendor", "coverage", "__pycache__", ".venv", "venv", ".next", ".cache", ".idea", ".vscode")
+LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "kt": "kotlin", "sh": "bash", "sql": "sql"}
+MAX_BYTES = 10_000_000
+
+
+def language(path: Column) -> Column:
+    """Language of a path by its extension, null for others."""
+    ext = F.lower(F.regexp_extract(path, r"[.]([A-Za-z0-9]+)$", 1))
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.try_element_at(table, ext)
+
+
+def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(path, language, size, sha256, content) of the source files under `root`: no excluded or
+    hidden folders, no large files, known languages only. Files are read by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.lit(root.rstrip("/") + "/")
+    path = F.substring_index(F.col("path"), base, -1)
+    folders = F.slice(F.split("rel", "/"), F.lit(1), F.size(F.split("rel", "/")) - 1)
+    bad = F.exists(folders, lambda f: f.isin(*EXCLUDED, *extra_excluded) | f.startswith("."))
+    rows = files.withColumn("rel", path).where((F.col("length") <= max_bytes) & ~bad).withColumn("language", language(F.col("rel")))
+    return rows.where("language is not null").select(F.col("rel").alias("path"), "language", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+
+
+def stale_files(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files of (path, sha256) whose hash isn't the stored one: those to extract again."""
+    return current.join(stored.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def classify_changes(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """(path, change, old_path): added, modified, deleted, or renamed where exactly one deleted
+    and one added file have one hash."""
+    both = stored.select("path", F.col("sha256").alias("old")).join(current.select("path", F.col("sha256").alias("new")), "path", "full")
+    modified = both.where("old <> new").select("path", F.lit("modified").alias("change"), F.lit(None).cast("string").alias("old_path"))
+    gone, fresh = both.where("new is null"), both.where("old is null")
+    one = lambda rows, h, name: rows.groupBy(F.col(h).alias("hash")).agg(F.min("path").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
+    renamed = one(gone, "old", "old_path").join(one(fresh, "new", "path"), "hash").select("path", F.lit("renamed").alias("change"), "old_path")
+    deleted = gone.select("path").join(renamed.select(F.col("old_path").alias("path")), "path", "left_anti").select("path", F.lit("deleted").alias("change"), F.lit(None).cast("string").alias("old_path"))
+    added = fresh.select("path").join(renamed.select("path"), "path", "left_anti").select("path", F.lit("added").alias("change"), F.lit(None).cast("string").alias("old_path"))
+    return modified.unionByName(renamed).unionByName(deleted).unionByName(added)
+
+
+def package_json(files: DataFrame) -> DataFrame:
+    """(path, name, version, dev) of the dependencies of package.json texts; broken ones give none."""
+    kinds = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
+    rows = files.where(F.col("path").rlike(r"(^|/)package[.]json$")).select("path", kinds.alias("k"))
+    part = lambda key, dev: rows.select("path", F.explode(f"k.{key}").alias("name", "version"), F.lit(dev).alias("dev"))
+    return part("dependencies", False).unionByName(part("devDependencies", True))
+
+
+def requirements(files: DataFrame) -> DataFrame:
+    """(path, name, version) of requirements.txt lines; comments, options and blanks are skipped."""
+    lines = files.where(F.col("path").rlike(r"(^|/)requirements[^/]*[.]txt$")).select("path", F.explode(F.split("content", r"\r?\n")).alias("line"))
+    bare = F.trim(F.regexp_replace("line", "#.*$", ""))
+    rows = lines.withColumn("line", bare).where("line <> '' and line not like '-%'")
+    return rows.select("path", F.regexp_extract("line", r"^([^=<>~!\[;\s]+)", 1).alias("name"), F.regexp_extract("line", r"[=<>~!]=?\s*([^;\s]+)", 1).alias("version"))
+
+
+def status_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(path, old_path, staged, unstaged, change) of short version-control status lines."""
+    text = F.col(column)
+    code, rest = F.substring(text, 1, 2), F.substring(text, 4, 1 << 20)
+    plain = lambda c: F.regexp_replace(c, '^"|"$', "")
+    moved = rest.contains(" -> ")
+    x, y = F.substring(code, 1, 1), F.substring(code, 2, 1)
+    change = F.when(code == "??", "untracked").when(code.contains("R"), "renamed").when(code.contains("D"), "deleted").when(code.contains("A"), "added").when(code.contains("U"), "conflicted").otherwise("modified")
+    rows = lines.where(text.rlike(r"^[ MADRCUT?!]{2} .+"))
+    return rows.select(plain(F.when(moved, F.substring_index(rest, " -> ", -1)).otherwise(rest)).alias("path"), F.when(moved, plain(F.substring_index(rest, " -> ", 1))).alias("old_path"), (~x.isin(" ", "?")).alias("staged"), ((y != " ") & (code != "??")).alias("unstaged"), change.alias("change"))
+
+
+def merged_status(rows: DataFrame) -> DataFrame:
+    """One row per path: staged or unstaged in any entry, and the gravest change."""
+    order = ["conflicted", "deleted", "renamed", "added", "modified", "untracked"]
+    rank = F.array_position(F.array(*(F.lit(c) for c in order)), F.col("change"))
+    return rows.groupBy("path").agg(F.bool_or("staged").alias("staged"), F.bool_or("unstaged").alias("unstaged"), F.min_by("change", rank).alias("change"))
+
+
+def benchmark_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, (reason, n) of the rejected lines) of a JSONL benchmark index."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select(F.from_json("value", "timestamp string, project string, tasks int, valid boolean, cost double, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
+    reason = F.when(F.col("r._corrupt_record").isNotNull(), "malformed_json").when(~F.coalesce("r.valid", F.lit(False)), "invalid_flag").when(F.coalesce("r.tasks", F.lit(0)) <= 0, "legacy_empty_tasks")
+    judged = parsed.withColumn("reason", reason)
+    return judged.where("reason is null").select("r.timestamp", "r.project", "r.tasks", "r.cost"), judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def usage_log(spark: SparkSession, path: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, broken lines) of a JSONL usage log."""
+    schema = "ts string, type string, project string, tokens_saved long, files array<string>, session_id string, event_id string, _corrupt_record string"
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    good = rows.where("_corrupt_record is null").drop("_corrupt_record")
+    return good.where(F.col("project") == project) if project else good, rows.where("_corrupt_record is not null").select("_corrupt_record")
+
+
+def drift(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: entries that differ between two keyed frames (key, value), and the status."""
+    both = stored.select("key", F.col("value").alias("a"), F.lit(1).alias("ia")).join(current.select("key", F.col("value").alias("b"), F.lit(1).alias("ib")), "key", "full")
+    n = both.agg(F.count_if(F.col("ia").isNull() | F.col("ib").isNull() | ~F.col("a").eqNullSafe(F.col("b"))).alias("mismatches"), F.count("*").alias("n"))
+    return n.withColumn("status", F.when(F.col("n") == 0, "unknown").when(F.col("mismatches") == 0, "clean").otherwise("drifted"))
