@@ -35,7 +35,7 @@ def archive(events: DataFrame) -> DataFrame:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over the code points, as eight hex digits."""
-    points = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
     hashed = F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, p: (h.bitwiseXOR(p.cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
     return F.lpad(F.lower(F.hex(hashed)), 8, "0")
 

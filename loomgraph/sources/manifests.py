@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_e
     """(path, language, size, sha256, content) of the source files under `root`: no excluded or
     hidden folders, no large files, known languages only. Files are read by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
+    path = F.regexp_replace("path", "^.*?" + re.escape(base), "")
     folders = F.slice(F.split("rel", "/"), F.lit(1), F.size(F.split("rel", "/")) - 1)
     bad = F.exists(folders, lambda f: f.isin(*EXCLUDED, *extra_excluded) | f.startswith("."))
     rows = files.withColumn("rel", path).where((F.col("length") <= max_bytes) & ~bad).withColumn("language", language(F.col("rel")))
@@ -97,7 +99,8 @@ def benchmark_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def usage_log(spark: SparkSession, path: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, broken lines) of a JSONL usage log."""
     schema = "ts string, type string, project string, tokens_saved long, files array<string>, session_id string, event_id string, _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     good = rows.where("_corrupt_record is null").drop("_corrupt_record")
     return good.where(F.col("project") == project) if project else good, rows.where("_corrupt_record is not null").select("_corrupt_record")
 

@@ -26,9 +26,9 @@ def _dotted(node: ast.AST) -> str:
 
 
 def _depth(node: ast.AST) -> int:
-    own = isinstance(node, _LOOPS)
-    inner = (c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)))
-    return own + max(map(_depth, inner), default=0)
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        return 0
+    return isinstance(node, _LOOPS) + max(map(_depth, ast.iter_child_nodes(node)), default=0)
 
 
 class _Reader(ast.NodeVisitor):
