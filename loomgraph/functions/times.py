@@ -17,6 +17,7 @@ def micros_of_text(col: Column) -> Column:
     midnight); null for anything else."""
     text = F.trim(col)
     dated = F.when(F.length(text) == 10, F.concat(text, F.lit(" 00:00:00"))).otherwise(text)
+    dated = F.regexp_replace(dated, r"^(.{10}[T ]\d{2}:\d{2})($|[^:])", "$1:00$2")
     zoned = F.when(F.substring(dated, 11, 64).rlike(_OFFSET), dated).otherwise(F.concat(dated, F.lit("Z")))
     return F.when(text.rlike(ISO), F.unix_micros(zoned.try_cast("timestamp_ltz")))
 

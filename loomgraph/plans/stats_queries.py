@@ -66,10 +66,10 @@ def _(nodes, edges):
     return G.file_coverage(nodes, nodes.where("file_path like 'orders/%' or file_path like 'parts/%'").select("file_path"))
 
 
-@R.graph("op40_edges_with_evidence", ", ev AS (SELECT id AS edge_id, round((id % 100) / 100.0, 2)::DOUBLE AS strength FROM g_edges WHERE type IN ('CALLS', 'IMPORTS') AND id % 3 > 0 UNION ALL SELECT id, 0.5 FROM g_edges WHERE type = 'CALLS' AND id % 7 = 0), per AS (SELECT edge_id, count(*) AS evidence, max(strength) AS strength FROM ev GROUP BY 1) SELECT e.id, coalesce(evidence, 0) AS evidence, strength, CASE WHEN strength >= 0.98 THEN 'exact_ast' WHEN strength >= 0.85 THEN 'resolver' ELSE 'heuristic' END AS tier FROM g_edges e LEFT JOIN per ON e.id = edge_id")
+@R.graph("op40_edges_with_evidence", ", ev AS (SELECT id AS edge_id, round((id % 100) / 100.0, 2)::DOUBLE AS strength FROM g_edges WHERE type IN ('CALLS', 'IMPORTS') UNION ALL SELECT id, 0.5 FROM g_edges WHERE type = 'CALLS'), per AS (SELECT edge_id, count(*) AS evidence, max(strength) AS strength FROM ev GROUP BY 1) SELECT e.id, coalesce(evidence, 0) AS evidence, strength, CASE WHEN strength >= 0.98 THEN 'exact_ast' WHEN strength >= 0.85 THEN 'resolver' ELSE 'heuristic' END AS tier FROM g_edges e LEFT JOIN per ON e.id = edge_id")
 def _(nodes, edges):
-    some = edges.where("type in ('CALLS', 'IMPORTS') and id % 3 > 0").select(F.col("id").alias("edge_id"), (F.col("id") % 100 / 100.0).alias("strength"))
-    more = edges.where("type = 'CALLS' and id % 7 = 0").select(F.col("id").alias("edge_id"), F.lit(0.5).alias("strength"))
+    some = edges.where("type in ('CALLS', 'IMPORTS')").select(F.col("id").alias("edge_id"), (F.col("id") % 100 / 100.0).alias("strength"))
+    more = edges.where("type = 'CALLS'").select(F.col("id").alias("edge_id"), F.lit(0.5).alias("strength"))
     return G.evidence_by_edge(edges, some.unionByName(more)).select("id", "evidence", "strength", G.tier(F.col("strength")).alias("tier"))
 
 

@@ -43,11 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomgraph/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes the tables this application has written to the shared folder; results that read
+    them must have been stored elsewhere. Call it at the end of a job."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a parquet table in the shared folder: lineage ends here, the rows are
     computed once and outlive any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

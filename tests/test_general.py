@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomgraph.functions.bitmaps import ARRAY_MAX, Bitmap
 from loomgraph.functions.json_text import canonical
+from loomgraph.functions.times import micros_of, micros_of_text
 from loomgraph.operators.feature_table import feature_columns, feature_table, features_long
 from loomgraph.operators.history import ATTRIBUTES, entity_history
 from loomgraph.operators.rolling import bursts, rolling_totals
@@ -48,6 +50,12 @@ def test_features_dirty_events(frame):
     assert (flat["t__n"], flat["never__n"], flat["never__latest"]) == (2, 0, None)
 
 
+@pytest.mark.parametrize("text, moment", [("2025-07-01T02:04:59+0530", "2025-06-30 20:34:59"), ("2025-07-01 02:04", "2025-07-01 02:04:00"), ("2025-07-01T02:04-01:00", "2025-07-01 03:04:00"), (" 2025-07-01 ", "2025-07-01 00:00:00"), ("2025-07-01T02:04:59.123456Z", "2025-07-01 02:04:59.123456"), ("2025-02-30", None), ("2025-07-01T25:00:00Z", None), ("2025", None), ("", None), (None, None)])
+def test_time_texts(frame, text, moment):
+    got = frame("t string", [(text,)]).select(micros_of_text(F.col("t"))).first()[0]
+    assert got == (moment and micros_of(moment))
+
+
 def test_features_empty(frame):
     assert feature_table(frame(EVENT, []), AS_OF).count() == 0
 

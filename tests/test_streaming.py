@@ -66,8 +66,9 @@ def test_settled(stream):
     schema = "id long, project string, tool string, at timestamp, read boolean"
     rows = [(1, "p", "x", at(0), False), (2, "p", "x", at(500), False), (3, "p", "x", at(60), True), (4, "q", "x", at(60), True)]
     late = [(9, "z", "z", at(10**6), False), (9, "z", "z", at(10**6), True)]
-    split = lambda s: S.settled(s.where("not read").drop("read"), s.where("read").drop("read")).select("id", F.col("read_at").isNotNull()).where("id < 9")
-    assert stream(schema, [rows, late, late, late], split) == [(1, True), (2, False)]
+    split = lambda s: S.settled(s.where("not read").drop("read"), s.where("read").drop("read")).select("id", F.col("read_at").isNotNull())
+    got = stream(schema, [rows, late, late], split)  # filtered here: a pushed filter would hide late rows from the watermark
+    assert [r for r in got if r[0] < 9] == [(1, True), (2, False)]
 
 
 def test_replace_files_is_idempotent(spark, frame, tmp_path):
