@@ -5,7 +5,8 @@ snapshot a compressed bitmap holds the ordinals present and column vectors, alig
 ordinals, hold fingerprints of the compared columns. AND-NOT of consecutive bitmaps gives
 additions and removals; among the ordinals of their AND the vectors expose the changes.
 
-Rows are shuffled once, by key, with 64-bit fingerprints in place of the compared columns;
+Repeated rows of a key are dropped within each task first, so a key that holds a third of all
+rows sends at most one row per task and snapshot. Rows are then shuffled once, by key, with 64-bit fingerprints in place of the compared columns;
 each task streams its sorted keys in blocks, so memory doesn't grow with a project. A
 project that holds a third of all rows is spread over all tasks by its keys.
 
@@ -49,7 +50,22 @@ def _differs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if not isinstance(column.combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(column.chunks)
+    return pa.concat_arrays(column.chunks)
+
+
+def _last_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows the last of each (project, qualified_name, seq) in the task; the last row
+    of a batch waits for the next batch."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
+        last = _differs(_flat(table["project"])) | _differs(_flat(table["qualified_name"])) | _differs(_flat(table["seq"]))
+        yield from table.take(pa.array(np.flatnonzero(last))).combine_chunks().to_batches()
+        held = table.slice(table.num_rows - 1).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield held
 
 
 def _diff_block(block: pa.Table, compared: tuple[str, ...]) -> pa.RecordBatch:
@@ -126,5 +142,7 @@ def snapshot_changes(nodes: DataFrame, snapshots: DataFrame, compared: tuple[str
     """(project, snapshot_id, qualified_name, change, columns): what differs in each snapshot
     from the one before it; `columns` names the changed columns."""
     placed = placed_nodes(nodes, ready_sequence(snapshots), compared)
-    by_key = placed.repartition("project", "qualified_name").sortWithinPartitions("project", "qualified_name", "seq", "id")
+    order = ["project", "qualified_name", "seq", "id"]
+    once = placed.sortWithinPartitions(*order).mapInArrow(_last_of_runs, placed.schema)
+    by_key = once.repartition("project", "qualified_name").sortWithinPartitions(*order)
     return by_key.mapInArrow(_diff(compared), OUT)
