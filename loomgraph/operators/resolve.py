@@ -22,6 +22,12 @@ CALLABLE = ("Function", "Method")
 TYPES = ("Class", "Interface", "Type", "Enum")
 SYMBOLS = (*CALLABLE, *TYPES, "Variable", "Macro")
 HEADER = r"[.](h|hh|hpp|hxx)$"
+# Patterns and names that decide what counts as a registry, an event or a route.
+REGISTRY = r"(?i)\b(?:const|let)\s+([A-Za-z_$][\w$]*(?:handlers|registry|dispatch|map)[\w$]*)\s*=\s*\{([^}]*)\}"
+REGISTRY_ENTRY = r"(?:^|[,\n])\s*(?:[\"'][^\"']+[\"']|[A-Za-z_$][\w$]*)\s*:\s*([A-Za-z_$][\w$]*)"
+CHANNEL_CALLS = {"EMITS": ("emit", "send", "publish", "broadcast"), "LISTENS_ON": ("on", "once", "subscribe", "addListener")}
+HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+ROUTE_FILE = r"^(?:.*/)?(?:src/)?app/(.+?)/(route|page)[.](ts|tsx|js|jsx)$"
 
 
 def _edge(rows: DataFrame, type: str | Column, resolution: str | Column, confidence: float | Column, line: str | None = "line") -> DataFrame:
@@ -271,10 +277,10 @@ def test_edges(nodes: DataFrame, import_edges: DataFrame, calls: DataFrame) -> D
 def routes(files: DataFrame) -> DataFrame:
     """(file, url, methods): routes that file paths define: ``[x]`` is a parameter, ``[...x]``
     takes the rest, exported functions name the methods."""
-    path = F.regexp_extract("path", r"^(?:.*/)?(?:src/)?app/(.+?)/(route|page)[.](ts|tsx|js|jsx)$", 1)
+    path = F.regexp_extract("path", ROUTE_FILE, 1)
     url = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), path), r"\[\.\.\.[^\]]*\]", "*"), r"\[([^\]]*)\]", ":$1")
-    found = F.regexp_extract_all("content", F.lit(r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"), F.lit(1))
-    order = F.array(*(F.lit(m) for m in ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")))
+    found = F.regexp_extract_all("content", F.lit(rf"export\s+(?:async\s+)?function\s+({'|'.join(HTTP_METHODS)})\b"), F.lit(1))
+    order = F.array(*(F.lit(m) for m in HTTP_METHODS))
     methods = F.array_join(F.filter(order, lambda m: F.array_contains(found, m)), ",")
     return files.where(path != "").select(F.col("path").alias("file"), url.alias("url"), F.when(methods == "", "ALL").otherwise(methods).alias("methods"))
 
@@ -282,7 +288,7 @@ def routes(files: DataFrame) -> DataFrame:
 def channels(files: DataFrame) -> DataFrame:
     """(file, channel, type, line): events that sources emit or listen on, first line of each."""
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    calls = {"EMITS": r"[.](?:emit|send|publish|broadcast)\s*\(\s*['\"]([^'\"]+)['\"]", "LISTENS_ON": r"[.](?:on|once|subscribe|addListener)\s*\(\s*['\"]([^'\"]+)['\"]"}
+    calls = {t: rf"[.](?:{'|'.join(names)})\s*\(\s*['\"]([^'\"]+)['\"]" for t, names in CHANNEL_CALLS.items()}
     found = [lines.select("file", "at", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("channel"), F.lit(t).alias("type")) for t, p in calls.items()]
     return found[0].unionByName(found[1]).groupBy("file", "channel", "type").agg((F.min("at") + 1).alias("line"))
 
@@ -309,10 +315,9 @@ def decorator_edges(decorators: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def registry_edges(files: DataFrame, calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """REGISTRY_DISPATCH: calls through an object literal of functions may reach each of them."""
-    head = r"\b(?:const|let)\s+([A-Za-z_$][\w$]*(?:handlers|registry|dispatch|map)[\w$]*)\s*=\s*\{([^}]*)\}"
     text = F.col("content")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit("(?i)" + head), F.lit(1)).alias("registry"), F.regexp_extract_all(text, F.lit("(?i)" + head), F.lit(2)).alias("body"))
-    found = files.where(F.col("path").rlike("[.](ts|tsx|js|jsx)$")).select(F.col("path").alias("file"), F.explode(pairs).alias("p")).select("file", "p.registry", F.explode(F.regexp_extract_all("p.body", F.lit(r"(?:^|[,\n])\s*(?:[\"'][^\"']+[\"']|[A-Za-z_$][\w$]*)\s*:\s*([A-Za-z_$][\w$]*)"), F.lit(1))).alias("name")).distinct()
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(REGISTRY), F.lit(1)).alias("registry"), F.regexp_extract_all(text, F.lit(REGISTRY), F.lit(2)).alias("body"))
+    found = files.where(F.col("path").rlike("[.](ts|tsx|js|jsx)$")).select(F.col("path").alias("file"), F.explode(pairs).alias("p")).select("file", "p.registry", F.explode(F.regexp_extract_all("p.body", F.lit(REGISTRY_ENTRY), F.lit(1))).alias("name")).distinct()
     used = calls.where("callee like '%[%'").select("file", F.substring_index("callee", "[", 1).alias("registry"), "caller", "line")
     rows = near_or_unique(sources_of(used.join(found, ["file", "registry"]), nodes, "caller"), nodes, CALLABLE, "name")
     return _edge(rows.withColumn("target_id", F.coalesce("near", "only")), "REGISTRY_DISPATCH", "static-registry-pattern", 0.35)

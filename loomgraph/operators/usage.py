@@ -30,7 +30,7 @@ def archive(events: DataFrame) -> DataFrame:
     rows = known.unionByName(events.where("event_id is null"))
     kind = F.replace(tidy_name(F.col("type")), F.lit("-"), F.lit("_"))
     out = rows.withColumns({"project": tidy_name(F.col("project")), "type": kind, "at": micros_of_text(F.col("ts"))}).where("at is not null")
-    return out.withColumns({"tool": F.split_part("type", F.lit("."), F.lit(1)), "day": F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd")})
+    return out.withColumns({"tool": F.split_part("type", F.lit("."), F.lit(1)), "day": F.date_from_unix_date(F.floor(F.col("at") / DAY_US).cast("int")).cast("string")})
 
 
 def fnv1a(text: Column) -> Column:

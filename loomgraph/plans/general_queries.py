@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entity_history(table(spark, sf_dir, "semantic_entities"), table(spark, sf_dir, "graph_snapshots"))
-    return rows.select("project", "semantic_id", "entity_class", "name", "qualified_name", "normalized_signature", "structural_context", F.col("start_snapshot").alias("first_seen_snapshot"), F.col("end_snapshot").alias("end_snapshot"), "valid_from", "valid_to")
+    return rows.select("project", "semantic_id", "entity_class", "name", "qualified_name", "normalized_signature", "structural_context", F.col("start_snapshot").alias("first_seen_snapshot"), "end_snapshot", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("valid_from", "valid_to")))
 
 
 def p2_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ ORACLES = {
     "p1_found": f"{_EVENTS} SELECT project, event_type FROM features WHERE n_events >= {LAPSED_EVENTS} AND tokens_saved >= {LAPSED_TOKENS} AND last_at < TIMESTAMP '{LAPSED_BEFORE}'",
     "p1_features": f"{_EVENTS} SELECT project, event_type, n_events, tokens_saved, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_at)) / 1000000) AS BIGINT) AS age_s FROM features",
     "p2_found": f"{_VERSIONS} SELECT project, semantic_id, snapshot_id AS start_snapshot, coalesce(end_snapshot, '') AS end_snapshot FROM versions WHERE NOT closing",
-    "p2_history": f"{_VERSIONS} SELECT project, semantic_id, entity_class, name, qualified_name, normalized_signature, structural_context, snapshot_id AS first_seen_snapshot, end_snapshot, moment AS valid_from, valid_to FROM versions WHERE NOT closing",
+    "p2_history": f"{_VERSIONS} SELECT project, semantic_id, entity_class, name, qualified_name, normalized_signature, structural_context, snapshot_id AS first_seen_snapshot, end_snapshot, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S.%f') AS valid_to FROM versions WHERE NOT closing",
     "p2_attributes": f"{_WRITES}, logged AS ({_LOGGED}), ended AS (SELECT *, lead(snapshot_id) OVER (PARTITION BY project, semantic_id, attribute ORDER BY seq) AS end_snapshot FROM logged) SELECT project, semantic_id, attribute, value, snapshot_id AS start_snapshot, end_snapshot FROM ended WHERE NOT closing",
     "p3_found": f"""{_SEQUENCE},
 ranked AS (SELECT n.*, seq.seq, seq.next_id, seq.previous_id, row_number() OVER (PARTITION BY n.project, n.snapshot_id, qualified_name ORDER BY n.id DESC NULLS LAST) AS r FROM nodes n JOIN seq ON n.project = seq.project AND n.snapshot_id = seq.snapshot_id WHERE qualified_name IS NOT NULL),
