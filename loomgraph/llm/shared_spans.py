@@ -42,8 +42,9 @@ LENGTH, SKETCH_BITS = 160, 26
 PART_BITS, BLOCK_CHARS = 20, 1 << 18
 #: Cells that a task gathers before it hands them on, and above which a part goes as bits.
 GATHERED, SPARSE_MAX = 2_000_000, 1 << 16
-#: Documents with candidate windows up to which their list is broadcast to the texts.
-BROADCAST_DOCS = 50_000
+#: Documents and runs of candidate windows up to which their list (about 16 bytes a run) is
+#: broadcast to the texts; a longer list is joined by shuffle.
+BROADCAST_DOCS, BROADCAST_RUNS = 50_000, 2_000_000
 #: Odd multipliers: of characters, of the polynomial, of the final mix, of the sketch's rows.
 MIX, BASE, FINAL, ROWS = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, (0xC4CEB9FE1A85EC53, 0x94D049BB133111EB)
 
@@ -236,7 +237,10 @@ def shared_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     across = [F.min("doc").alias("a"), F.max("doc").alias("b")]
     anchors = runs.groupBy("anchor").agg(*across).where("a < b").select("anchor")
     kept = bounded_join(runs, anchors, ["anchor"]).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    with_text = bounded_join(rows, written(kept, "docs"), ["doc"], max_rows=BROADCAST_DOCS)
+    listed = written(kept, "docs")
+    size = listed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("runs")).first()
+    few = size["docs"] <= BROADCAST_DOCS and size["runs"] <= BROADCAST_RUNS
+    with_text = rows.join(F.broadcast(listed) if few else listed, "doc")
     windows = written(with_text.select("doc", "text", "runs").mapInArrow(_window_keys(length), "k1 long, k2 long, doc long, at int"), "windows")
     repeated = windows.groupBy("k1", "k2").agg(*across).where("a < b").select("k1", "k2")
     return windows.join(repeated, ["k1", "k2"], "left_semi").select("doc", "at")
