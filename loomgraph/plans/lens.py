@@ -19,6 +19,8 @@ NODE_COLUMNS = ["id", "project", "kind", "name", "qualified_name", "file_path",
 EDGE_COLUMNS = ["id", "project", "source_id", "target_id", "type", "line"]
 #: Offset of each kind's ids.
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER, CHANNEL = (i * 10**12 for i in range(1, 8))
+#: Offset of the ids of Order-CALLS->Part edges.
+ORDER_CALLS = 4 * 10**13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,10 @@ def _edge(rows: DataFrame, offset: int, key: Column, source: Column, target: Col
     return rows.select((key.cast("long") + offset).alias("id"), F.lit(PROJECT).alias("project"), source.cast("long").alias("source_id"), target.cast("long").alias("target_id"), F.lit(kind).alias("type"), line.cast("int").alias("line"))
 
 
+def _order_calls(item: DataFrame) -> DataFrame:
+    return _edge(item, ORDER_CALLS, F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_orderkey") + ORDER, F.col("l_partkey") + PART, "CALLS", F.col("l_linenumber"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of all types; parallel edges are kept."""
     nation, customer, supplier, part, item = (_table(spark, sf_dir, t) for t in ("nation", "customer", "supplier", "part", "lineitem"))
@@ -75,18 +81,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel = _channels(spark, sf_dir)
     of_segment = customer.join(F.broadcast(channel), c("c_mktsegment") == c("segment"))
     heard = supplier.join(F.broadcast(channel), c("s_suppkey") % 5 == c("c_key"))
-    used = item.where("l_quantity between 10 and 12").select("l_partkey", "l_suppkey").distinct()
+    used = item.select("l_partkey", "l_suppkey").distinct()
     kinds = [
         _edge(nation, 1 * base, c("n_nationkey"), c("n_regionkey") + REGION, c("n_nationkey") + NATION, "CONTAINS_FOLDER", zero),
         _edge(supplier, 2 * base, c("s_suppkey"), c("s_nationkey") + NATION, c("s_suppkey") + SUPPLIER, "DEFINES", zero),
         _edge(customer, 3 * base, c("c_custkey"), c("c_nationkey") + NATION, c("c_custkey") + CUSTOMER, "DEFINES", zero),
-        _edge(item.where("l_quantity >= 45"), 4 * base, row, c("l_orderkey") + ORDER, c("l_partkey") + PART, "CALLS", c("l_linenumber")),
+        _order_calls(item),
         _edge(part.where("p_partkey > 0"), 5 * base, p, p + PART, F.floor(p / 2) + PART, "CALLS", p % 97),
         _edge(part.where("p_partkey >= 37"), 6 * base, p, p + PART, p % 37 + PART, "CALLS", p % 89),
         _edge(part, 7 * base, p, p + PART, (p * 7 + 3) % 199 + PART, "REGISTRY_DISPATCH", zero),
-        _edge(item.where("l_quantity <= 5"), 8 * base, row, c("l_orderkey") + ORDER, c("l_suppkey") + SUPPLIER, "USAGE", c("l_linenumber")),
+        _edge(item, 8 * base, row, c("l_orderkey") + ORDER, c("l_suppkey") + SUPPLIER, "USAGE", c("l_linenumber")),
         _edge(used, 9 * base, c("l_partkey") * 100_000 + c("l_suppkey"), c("l_partkey") + PART, c("l_suppkey") + SUPPLIER, "IMPORTS", zero),
-        _edge(item.where("l_orderkey % 11 = 0 and l_quantity between 20 and 22"), 10 * base, row, c("l_orderkey") + ORDER, c("l_partkey") + PART, "TESTS", c("l_linenumber")),
+        _edge(item.where("l_orderkey % 11 = 0"), 10 * base, row, c("l_orderkey") + ORDER, c("l_partkey") + PART, "TESTS", c("l_linenumber")),
         _edge(of_segment, 11 * base, c("c_custkey"), c("c_custkey") + CUSTOMER, c("c_key") + CHANNEL, "EMITS", zero),
         _edge(heard, 12 * base, c("s_suppkey"), c("s_suppkey") + SUPPLIER, c("c_key") + CHANNEL, "LISTENS_ON", zero),
     ]
@@ -105,6 +111,13 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _STORED[key]
 
 
+def with_few_calls(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    """`edges` with the Order-CALLS->Part edges of large quantities only. With all of them every
+    part has callers; only the search for unreferenced symbols (OP-32, OP-150) uses this view."""
+    others = edges.where(~F.col("id").between(ORDER_CALLS, ORDER_CALLS + 10**13 - 1))
+    return others.unionByName(_order_calls(_table(spark, sf_dir, "lineitem").where("l_quantity >= 45")))
+
+
 def _sql_node(offset: int, key: str, kind: str, name: str, qualified: str, path: str, size: str, source: str) -> str:
     return f"""SELECT ({key})::BIGINT + {offset} AS id, '{PROJECT}' AS project, '{kind}' AS kind, {name} AS name, {qualified} AS qualified_name, {path} AS file_path,
 ({key} % 40 * 25 + 1)::INT AS start_line, ({key} % 40 * 25 + 1 + {key} % 30)::INT AS end_line, ({key} % 2 = 0)::INT AS is_exported, ({key} % 11 = 0)::INT AS is_test, ({key} % 17 = 0)::INT AS is_entry_point,

@@ -26,12 +26,14 @@ class Registry:
 
         return add
 
-    def graph(self, name: str, sql: str | None = None):
-        """A query given (nodes, edges) of the graph lens; `sql` may use g_nodes and g_edges."""
+    def graph(self, name: str, sql: str | None = None, few_calls: bool = False):
+        """A query given (nodes, edges) of the graph lens; `sql` may use g_nodes and g_edges.
+        `few_calls`: see `lens.with_few_calls`."""
 
         def add(f):
             def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(*lens.stored(spark, sf_dir))
+                nodes, edges = lens.stored(spark, sf_dir)
+                return f(nodes, lens.with_few_calls(spark, sf_dir, edges) if few_calls else edges)
 
             self._put(name, query, sql and lens.LENS_SQL + (sql if sql.lstrip().startswith(",") else " " + sql))
             return f

@@ -46,7 +46,7 @@ def _(nodes, edges):
     return G.incident_counts(edges, ["CALLS", "USAGE"])
 
 
-@R.graph("op32_unreferenced", f"SELECT id, 'low' AS confidence FROM g_nodes n WHERE kind IN ('Function', 'Class', 'Method') AND is_test = 0 AND is_entry_point = 0 AND end_line - start_line >= 2 AND file_path NOT LIKE 'tests/%' AND length(name) > 2 AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.target_id = n.id AND e.type IN ('CALLS', 'USAGE', 'READS', 'TESTS', 'TESTS_FILE'))")
+@R.graph("op32_unreferenced", f"SELECT id, 'low' AS confidence FROM g_nodes n WHERE kind IN ('Function', 'Class', 'Method') AND is_test = 0 AND is_entry_point = 0 AND end_line - start_line >= 2 AND file_path NOT LIKE 'tests/%' AND length(name) > 2 AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.target_id = n.id AND e.type IN ('CALLS', 'USAGE', 'READS', 'TESTS', 'TESTS_FILE'))", few_calls=True)
 def _(nodes, edges):
     return G.unreferenced(nodes, edges, ("Function", "Class", "Method")).select("id", "confidence")
 
