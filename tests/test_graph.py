@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import evidence, graph_stats, rules, search, traversal, usage
 from loomgraph.operators.query_language import QueryError, guarded_sql, parse, run
 from loomgraph.functions import texts
+from loomgraph.plans import graph_queries, lens
 from tests.conftest import rows_of
 
 NODES = "id long, project string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int, is_exported int, is_test int, is_entry_point int, properties string"
@@ -125,6 +126,15 @@ def test_communities(frame):
         assert found == [(5, 0.9091), (5, 0.9091)]
 
 
+@pytest.mark.parametrize("name", ["op115_communities", "op115_sequential_communities"])
+def test_community_queries_follow_calls(spark, frame, monkeypatch, name):
+    nodes = frame(NODES, [node(i, "Method" if i % 2 else "Function", f"f{i}") for i in range(1, 12)])
+    group = lambda ids: [(a, b) for a in ids for b in ids if a < b]
+    links = edges(frame, group(range(1, 6)) + [(1, 6)]).unionByName(edges(frame, group(range(6, 11)), "IMPORTS"))
+    monkeypatch.setattr(lens, "stored", lambda *_: (nodes, links))
+    assert rows_of(graph_queries.QUERIES[name](spark, "").select("members", "cohesion")) == [(5, 0.9091), (5, 0.9091)]
+
+
 def test_query_language(frame):
     nodes = frame(NODES, [node(1, "Function", "a", properties='{"cyclomaticComplexity":7}'), node(2, "Function", "b's"), node(3, "Class", "c"), node(4, "Function", "other", project="q")])
     links = edges(frame, [(1, 2), (1, 2), (2, 3)])
