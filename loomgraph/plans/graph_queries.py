@@ -63,9 +63,8 @@ _PARTS = ", own AS (SELECT id, id % 4 AS depth FROM g_nodes WHERE kind = 'Functi
 
 @R.graph("op116_transitive_depth", f"{_PARTS}, walk AS (SELECT id AS root, id AS pos, 0 AS hop FROM own UNION SELECT root, target_id, hop + 1 FROM walk JOIN calls ON source_id = pos WHERE hop < 10) SELECT root AS id, max(depth + hop)::BIGINT AS depth FROM walk JOIN own ON own.id = pos GROUP BY root")
 def _(nodes, edges):
-    own = nodes.where("kind = 'Function'").select("id", (F.col("id") % 4).alias("depth"))
-    inner = edges.where(F.col("source_id").between(PART, ORDER - 1))
-    return V.transitive_depth(own, inner)
+    own = nodes.where("kind in ('Function', 'Method')").select("id", (F.col("id") % 4).alias("depth"))
+    return V.transitive_depth(own, edges)
 
 
 @R.graph("op115_communities")

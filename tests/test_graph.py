@@ -126,6 +126,12 @@ def test_communities(frame):
         assert found == [(5, 0.9091), (5, 0.9091)]
 
 
+def test_depth_query_has_methods(spark, frame, monkeypatch):
+    nodes = frame(NODES, [node(1, "Function", "f"), node(2, "Method", "g"), node(4, "Method", "h"), node(7, "Class", "c")])
+    monkeypatch.setattr(lens, "stored", lambda *_: (nodes, edges(frame, [(4, 2), (2, 1), (1, 7), (7, 4)])))
+    assert rows_of(graph_queries.QUERIES["op116_transitive_depth"](spark, "")) == [(1, 1), (2, 2), (4, 3)]
+
+
 @pytest.mark.parametrize("name", ["op115_communities", "op115_sequential_communities"])
 def test_community_queries_follow_calls(spark, frame, monkeypatch, name):
     nodes = frame(NODES, [node(i, "Method" if i % 2 else "Function", f"f{i}") for i in range(1, 12)])

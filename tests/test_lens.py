@@ -43,3 +43,9 @@ def test_rows_equal_the_sql_without_cuts(spark, name):
     want = connect(SMALL).execute(whole(entry.oracle_sql()[name], keep_calls=name == "op32_unreferenced"))
     names = [c[0] for c in want.description]
     assert Counter(tuple(map(plain, r)) for r in got.select(*names).collect()) == Counter(tuple(map(plain, r)) for r in want.fetchall())
+
+
+def test_depths_equal_the_sql_with_methods(spark):
+    sql = whole(entry.oracle_sql()["op116_transitive_depth"]).replace("kind = 'Function'", "kind IN ('Function', 'Method')")
+    want = Counter(connect(SMALL).execute(sql).fetchall())
+    assert Counter(tuple(r) for r in entry.queries()["op116_transitive_depth"](spark, SMALL).select("id", "depth").collect()) == want
