@@ -36,12 +36,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entity_history(table(spark, sf_dir, "semantic_entities"), table(spark, sf_dir, "graph_snapshots"))
-    return rows.select("project", "semantic_id", "entity_class", "name", "qualified_name", "normalized_signature", "structural_context", F.col("start_snapshot").alias("first_seen_snapshot"), "end_snapshot", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("valid_from", "valid_to")))
+    return rows.select("project", "semantic_id", "entity_class", "name", "qualified_name", "normalized_signature", "structural_context", "properties_json", F.col("start_snapshot").alias("first_seen_snapshot"), "end_snapshot", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("valid_from", "valid_to")))
 
 
 def p2_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes = effective_writes(table(spark, sf_dir, "semantic_entities"), ready_sequence(table(spark, sf_dir, "graph_snapshots")))
-    return attribute_intervals(attribute_log(writes)).where("attribute <> 'properties_json'").select("project", "semantic_id", "attribute", "value", "start_snapshot", "end_snapshot")
+    return attribute_intervals(attribute_log(writes)).select("project", "semantic_id", "attribute", "value", "start_snapshot", "end_snapshot")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from loomgraph.operators.rolling import bursts, rolling_totals
 from loomgraph.operators.snapshot_diff import snapshot_changes
 from loomgraph.operators.snapshots import ready_sequence
 from loomgraph.operators.top_n import top_n, worst_functions
+from loomgraph.plans import general_queries
 from tests.conftest import rows_of
 
 AS_OF = "2026-06-30 00:00:00"
@@ -158,6 +159,29 @@ def test_history_against_brute_force(frame):
     assert len(ATTRIBUTES) == 6
 
 
+def test_history_queries_return_the_properties(spark, frame, tmp_path):
+    rng = random.Random(3)
+    writes = [write(e * 10 + s, f"e{e}", f"s{s}", "x", props=rng.choice(['{"a":1,"b":2}', '{"b":2.0, "a":1}', '{"a":1', "{}", None]), closing=rng.random() < 0.2) for e in range(8) for s in range(1, 9)]
+    frame(WRITES, writes).write.parquet(f"{tmp_path}/semantic_entities.parquet")
+    snapshots(frame, count=8).write.parquet(f"{tmp_path}/graph_snapshots.parquet")
+    want = []
+    for e in range(8):
+        began = None
+        for w in writes[e * 8 : e * 8 + 8]:
+            value = canonical(w[8])
+            if began and (w[10] or value != began[0]):
+                want.append((f"e{e}", *began, w[9]))
+                began = None
+            if not w[10] and not began:
+                began = (value, w[9])
+        if began:
+            want.append((f"e{e}", *began, None))
+    attributes = general_queries.p2_attributes(spark, str(tmp_path)).where("attribute = 'properties_json'")
+    assert rows_of(attributes.select("semantic_id", "value", "start_snapshot", "end_snapshot")) == sorted(want, key=repr)
+    history = general_queries.p2_history(spark, str(tmp_path))
+    assert rows_of(history.select("semantic_id", "properties_json", "first_seen_snapshot", "end_snapshot")) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("a, b, same", [('{"a":1,"b":[]}', '{ "b" : [], "a": 1.0}', True), ('{"a":"\\u00e9"}', '{"a":"é"}', True), ('{"a":1}', '{"a":1} x', False), ("{", "{", True), ("{", "{}", False), ('{"a":1,"a":2}', '{"a":2}', True), ("NaN", "null", False), ('"x"', "x", False), ('{"a":1e2}', '{"a":100}', True)])
 def test_json_values(a, b, same):
     assert (canonical(a) == canonical(b)) is same
