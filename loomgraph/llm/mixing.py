@@ -101,7 +101,9 @@ def _calibrated(cells: pd.DataFrame) -> pd.DataFrame:
     for s in range(len(names)):
         at = source == s
         copies[at] = fill(size[at], raked[at], cap[s], wanted[s])
-    return pd.DataFrame({"mix_name": cells["mix_name"], "source": cells["source"], "lang": cells["lang"], "topic": cells["topic"], "tokens": cells["tokens"], "copies": copies, "share": share[source], "wanted": wanted[source], "max_repeats": cap[source], "short": (have * cap < wanted)[source]})
+    filled = np.bincount(source, copies * size, len(names))
+    short = (filled < wanted) & (have * cap < wanted)  # the second is free of the rounding in `fill`
+    return pd.DataFrame({"mix_name": cells["mix_name"], "source": cells["source"], "lang": cells["lang"], "topic": cells["topic"], "tokens": cells["tokens"], "copies": copies, "share": share[source], "wanted": wanted[source], "max_repeats": cap[source], "short": short[source]})
 
 
 CALIBRATED = "mix_name string, source string, lang string, topic int, tokens long, copies double, share double, wanted double, max_repeats double, short boolean"

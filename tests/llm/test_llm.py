@@ -4,11 +4,13 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomgraph.llm.bpe import PairIndexEncoder, count_tokens, encode_corpus, load_merges, vocabulary_path
+from loomgraph.llm import mixing
 from loomgraph.llm.mixing import calibrate, fill, mix, rake, short_sources
 from loomgraph.llm.shared_spans import Anchors, candidate_runs, repeated_sketch, shared_share, shared_spans
 from tests.conftest import rows_of
@@ -85,6 +87,13 @@ def test_short_sources(frame):
     assert rows_of(short_sources(frame(DOCS, []), frame(TARGETS, targets))) == []
 
 
+def test_short_follows_the_filled_copies(monkeypatch):
+    cells = pd.DataFrame({"mix_name": "m", "source": ["a", "b"], "lang": "en", "topic": 0, "tokens": [80, 20], "weight": 50.0, "max_repeats": [1, 2]})
+    assert list(mixing._calibrated(cells)["short"]) == [False, True]
+    monkeypatch.setattr(mixing, "fill", lambda size, weight, cap, wanted: np.full(len(size), wanted / size.sum()))
+    assert list(mixing._calibrated(cells)["short"]) == [False, False]
+
+
 def test_rake_meets_all_margins():
     rng = np.random.default_rng(0)
     source, lang, topic = (rng.integers(0, k, 300) for k in (4, 5, 6))
