@@ -58,7 +58,7 @@ def _(nodes, edges):
     return V.neighbour_names(nodes, edges)
 
 
-_PARTS = ", own AS (SELECT id, id % 4 AS depth FROM g_nodes WHERE kind = 'Function'), calls AS (SELECT DISTINCT source_id, target_id FROM g_edges WHERE type = 'CALLS' AND source_id <> target_id)"
+_PARTS = ", own AS (SELECT id, id % 4 AS depth FROM g_nodes WHERE kind IN ('Function', 'Method')), calls AS (SELECT DISTINCT source_id, target_id FROM g_edges WHERE type = 'CALLS' AND source_id <> target_id)"
 
 
 @R.graph("op116_transitive_depth", f"{_PARTS}, walk AS (SELECT id AS root, id AS pos, 0 AS hop FROM own UNION SELECT root, target_id, hop + 1 FROM walk JOIN calls ON source_id = pos WHERE hop < 10) SELECT root AS id, max(depth + hop)::BIGINT AS depth FROM walk JOIN own ON own.id = pos GROUP BY root")

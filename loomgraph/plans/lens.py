@@ -147,20 +147,23 @@ _EDGE_SQL = " UNION ALL ".join(
         _sql_edge(1 * _B, "n_nationkey", f"n_regionkey + {REGION}", f"n_nationkey + {NATION}", "CONTAINS_FOLDER", "0", "nation"),
         _sql_edge(2 * _B, "s_suppkey", f"s_nationkey + {NATION}", f"s_suppkey + {SUPPLIER}", "DEFINES", "0", "supplier"),
         _sql_edge(3 * _B, "c_custkey", f"c_nationkey + {NATION}", f"c_custkey + {CUSTOMER}", "DEFINES", "0", "customer"),
-        _sql_edge(4 * _B, _ITEM, f"l_orderkey + {ORDER}", f"l_partkey + {PART}", "CALLS", "l_linenumber", "lineitem WHERE l_quantity >= 45"),
+        _sql_edge(4 * _B, _ITEM, f"l_orderkey + {ORDER}", f"l_partkey + {PART}", "CALLS", "l_linenumber", "lineitem{calls}"),
         _sql_edge(5 * _B, "p_partkey", f"p_partkey + {PART}", f"p_partkey // 2 + {PART}", "CALLS", "p_partkey % 97", "part WHERE p_partkey > 0"),
         _sql_edge(6 * _B, "p_partkey", f"p_partkey + {PART}", f"p_partkey % 37 + {PART}", "CALLS", "p_partkey % 89", "part WHERE p_partkey >= 37"),
         _sql_edge(7 * _B, "p_partkey", f"p_partkey + {PART}", f"(p_partkey * 7 + 3) % 199 + {PART}", "REGISTRY_DISPATCH", "0", "part"),
-        _sql_edge(8 * _B, _ITEM, f"l_orderkey + {ORDER}", f"l_suppkey + {SUPPLIER}", "USAGE", "l_linenumber", "lineitem WHERE l_quantity <= 5"),
-        _sql_edge(9 * _B, "l_partkey * 100000 + l_suppkey", f"l_partkey + {PART}", f"l_suppkey + {SUPPLIER}", "IMPORTS", "0", "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity BETWEEN 10 AND 12)"),
-        _sql_edge(10 * _B, _ITEM, f"l_orderkey + {ORDER}", f"l_partkey + {PART}", "TESTS", "l_linenumber", "lineitem WHERE l_orderkey % 11 = 0 AND l_quantity BETWEEN 20 AND 22"),
+        _sql_edge(8 * _B, _ITEM, f"l_orderkey + {ORDER}", f"l_suppkey + {SUPPLIER}", "USAGE", "l_linenumber", "lineitem"),
+        _sql_edge(9 * _B, "l_partkey * 100000 + l_suppkey", f"l_partkey + {PART}", f"l_suppkey + {SUPPLIER}", "IMPORTS", "0", "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"),
+        _sql_edge(10 * _B, _ITEM, f"l_orderkey + {ORDER}", f"l_partkey + {PART}", "TESTS", "l_linenumber", "lineitem WHERE l_orderkey % 11 = 0"),
         _sql_edge(11 * _B, "c_custkey", f"c_custkey + {CUSTOMER}", f"c_key + {CHANNEL}", "EMITS", "0", "customer JOIN g_channel ON c_mktsegment = segment"),
         _sql_edge(12 * _B, "s_suppkey", f"s_suppkey + {SUPPLIER}", f"c_key + {CHANNEL}", "LISTENS_ON", "0", "supplier JOIN g_channel ON s_suppkey % 5 = c_key"),
     ]
 )
-LENS_SQL = f"""
+_LENS = f"""
 WITH RECURSIVE g_place AS (SELECT n_nationkey, n_name, {_S("r_name")} || '/' || {_S("n_name")} AS folder FROM nation JOIN region ON n_regionkey = r_regionkey),
 g_channel AS (SELECT row_number() OVER (ORDER BY segment) - 1 AS c_key, segment FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer WHERE c_mktsegment IS NOT NULL)),
 g_nodes AS ({_NODE_SQL}),
 g_edges AS ({_EDGE_SQL})
 """
+
+#: The lens in SQL, and the same as `with_few_calls` shows it.
+LENS_SQL, FEW_CALLS_SQL = (_LENS.replace("{calls}", rows) for rows in ("", " WHERE l_quantity >= 45"))

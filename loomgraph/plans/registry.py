@@ -35,7 +35,8 @@ class Registry:
                 nodes, edges = lens.stored(spark, sf_dir)
                 return f(nodes, lens.with_few_calls(spark, sf_dir, edges) if few_calls else edges)
 
-            self._put(name, query, sql and lens.LENS_SQL + (sql if sql.lstrip().startswith(",") else " " + sql))
+            shown = lens.FEW_CALLS_SQL if few_calls else lens.LENS_SQL
+            self._put(name, query, sql and shown + (sql if sql.lstrip().startswith(",") else " " + sql))
             return f
 
         return add
