@@ -100,6 +100,17 @@ def _json(col: str) -> str:
     return f"coalesce((SELECT string_agg(fullkey || ':' || type || ':' || coalesce(atom::VARCHAR, ''), '|' ORDER BY fullkey) FROM json_tree(CASE WHEN json_valid({col}) THEN {col} END)), 'text:' || {col})"
 
 
+def _spelled(v: str) -> str:
+    return f"CASE json_type({v}) WHEN 'VARCHAR' THEN to_json({v}->>'$')::VARCHAR WHEN 'DOUBLE' THEN CASE WHEN {v}::DOUBLE = floor({v}::DOUBLE) THEN {v}::DOUBLE::HUGEINT::VARCHAR ELSE {v}::DOUBLE::VARCHAR END WHEN 'NULL' THEN 'null' ELSE {v}::VARCHAR END"
+
+
+def _canonical(col: str) -> str:
+    """The canonical spelling of JSON objects of plain values and lists of them, as
+    `json_text.canonical` writes it."""
+    items = f"string_agg(to_json(key)::VARCHAR || ':' || CASE WHEN json_type(value) = 'ARRAY' THEN '[' || array_to_string([{_spelled('x')} FOR x IN value::JSON[]], ',') || ']' ELSE {_spelled('value')} END, ',' ORDER BY key)"
+    return f"CASE WHEN {col} IS NULL THEN NULL WHEN NOT json_valid({col}) THEN chr(0) || {col} WHEN json_type({col}) = 'OBJECT' THEN '{{' || coalesce((SELECT {items} FROM json_each({col})), '') || '}}' ELSE json({col})::VARCHAR END"
+
+
 _SEQUENCE = """
 WITH status AS (SELECT *, row_number() OVER (PARTITION BY project, snapshot_id ORDER BY id DESC) AS r FROM graph_snapshots WHERE project IS NOT NULL AND snapshot_id IS NOT NULL),
 seq AS (
@@ -113,7 +124,7 @@ ranked AS (
          entity_class, name, qualified_name, normalized_signature, structural_context, properties_json,
          row_number() OVER (PARTITION BY e.project, semantic_id, seq.seq ORDER BY updated_at DESC NULLS LAST, e.id DESC) AS r
   FROM semantic_entities e JOIN seq ON e.project = seq.project AND e.last_seen_snapshot = seq.snapshot_id WHERE semantic_id IS NOT NULL),
-writes AS (SELECT *, {_json("properties_json")} AS props FROM ranked WHERE r = 1),
+writes AS (SELECT *, {_json("properties_json")} AS props, {_canonical("properties_json")} AS spelled FROM ranked WHERE r = 1),
 marked AS (
   SELECT *, coalesce(lag(closing) OVER w, true) AS shut,
          {", ".join(f"{a} IS DISTINCT FROM lag({a}) OVER w AS d_{a}" for a in _ATTRIBUTES)}
@@ -126,6 +137,7 @@ versions AS (
   FROM bounds WINDOW w AS (PARTITION BY project, semantic_id ORDER BY seq))
 """
 _LOGGED = " UNION ALL ".join(f"SELECT project, semantic_id, seq, snapshot_id, '{a}' AS attribute, {a} AS value, closing FROM marked WHERE CASE WHEN closing THEN NOT shut ELSE shut OR d_{a} END" for a in _ATTRIBUTES[:-1])
+_LOGGED += " UNION ALL SELECT project, semantic_id, seq, snapshot_id, 'properties_json', spelled, closing FROM marked WHERE CASE WHEN closing THEN NOT shut ELSE shut OR d_props END"
 _PATH = r"regexp_replace(replace(file_path, '\', '/'), '^\./', '')"
 _WORST = f"""
 WITH rows AS (SELECT *, {_PATH} AS path FROM hotspot_rows),
@@ -148,7 +160,7 @@ ORACLES = {
     "p1_found": f"{_EVENTS} SELECT project, event_type FROM features WHERE n_events >= {LAPSED_EVENTS} AND tokens_saved >= {LAPSED_TOKENS} AND last_at < TIMESTAMP '{LAPSED_BEFORE}'",
     "p1_features": f"{_EVENTS} SELECT project, event_type, n_events, tokens_saved, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_at)) / 1000000) AS BIGINT) AS age_s FROM features",
     "p2_found": f"{_VERSIONS} SELECT project, semantic_id, snapshot_id AS start_snapshot, coalesce(end_snapshot, '') AS end_snapshot FROM versions WHERE NOT closing",
-    "p2_history": f"{_VERSIONS} SELECT project, semantic_id, entity_class, name, qualified_name, normalized_signature, structural_context, snapshot_id AS first_seen_snapshot, end_snapshot, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S.%f') AS valid_to FROM versions WHERE NOT closing",
+    "p2_history": f"{_VERSIONS} SELECT project, semantic_id, entity_class, name, qualified_name, normalized_signature, structural_context, spelled AS properties_json, snapshot_id AS first_seen_snapshot, end_snapshot, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S.%f') AS valid_to FROM versions WHERE NOT closing",
     "p2_attributes": f"{_WRITES}, logged AS ({_LOGGED}), ended AS (SELECT *, lead(snapshot_id) OVER (PARTITION BY project, semantic_id, attribute ORDER BY seq) AS end_snapshot FROM logged) SELECT project, semantic_id, attribute, value, snapshot_id AS start_snapshot, end_snapshot FROM ended WHERE NOT closing",
     "p3_found": f"""{_SEQUENCE},
 ranked AS (SELECT n.*, seq.seq, seq.next_id, seq.previous_id, row_number() OVER (PARTITION BY n.project, n.snapshot_id, qualified_name ORDER BY n.id DESC NULLS LAST) AS r FROM nodes n JOIN seq ON n.project = seq.project AND n.snapshot_id = seq.snapshot_id WHERE qualified_name IS NOT NULL),
