@@ -1,4 +1,4 @@
-"""Queries of problems 1 to 5 (the general ones) and their SQL."""
+"""Queries of the general problems (1, 2, 3 and 5) and their SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from loomgraph.operators.history import attribute_intervals, attribute_log, effe
 from loomgraph.operators.rolling import bursts, rolling_totals
 from loomgraph.operators.snapshot_diff import snapshot_changes
 from loomgraph.operators.snapshots import ready_sequence
-from loomgraph.operators.top_n import worst_functions
 
 AS_OF = "2026-06-30 00:00:00"
 #: A case of p1_found: a type once used, then given up.
@@ -53,15 +52,6 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "graph_snapshots")).select("project", "snapshot_id", "qualified_name", "change")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worst_functions(table(spark, sf_dir, "hotspot_rows")).select("hotspot_id")
-
-
-def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = worst_functions(table(spark, sf_dir, "hotspot_rows"))
-    return rows.select("project", "path", "position", "hotspot_id", "qualified_name", "complexity", "fan_in")
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bursts(rolling_totals(table(spark, sf_dir, "daily_snapshots")))
     return rows.select(F.col("entity").alias("project"), F.date_format("day", "yyyy-MM-dd").alias("day"), "measure")
@@ -76,7 +66,7 @@ def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*out)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_history, p2_attributes, p3_found, p4_found, p4_ranked, p5_found, p5_rolling)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_history, p2_attributes, p3_found, p5_found, p5_rolling)}
 
 _TRIM = r"lower(regexp_replace({c}, '^\s+|\s+$', '', 'g'))"
 _EVENTS = rf"""
@@ -138,12 +128,6 @@ versions AS (
 """
 _LOGGED = " UNION ALL ".join(f"SELECT project, semantic_id, seq, snapshot_id, '{a}' AS attribute, {a} AS value, closing FROM marked WHERE CASE WHEN closing THEN NOT shut ELSE shut OR d_{a} END" for a in _ATTRIBUTES[:-1])
 _LOGGED += " UNION ALL SELECT project, semantic_id, seq, snapshot_id, 'properties_json', spelled, closing FROM marked WHERE CASE WHEN closing THEN NOT shut ELSE shut OR d_props END"
-_PATH = r"regexp_replace(replace(file_path, '\', '/'), '^\./', '')"
-_WORST = f"""
-WITH rows AS (SELECT *, {_PATH} AS path FROM hotspot_rows),
-latest AS (SELECT *, row_number() OVER (PARTITION BY project, path, qualified_name ORDER BY measured_at DESC NULLS LAST, hotspot_id DESC) AS r FROM rows WHERE path <> ''),
-placed AS (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY complexity DESC NULLS LAST, fan_in DESC NULLS LAST, qualified_name NULLS FIRST) AS position FROM latest WHERE r = 1)
-"""
 _ROLLING = """
 WITH parsed AS (SELECT project, try_cast(substr(date, 1, 10) AS date) AS day, written_at, coalesce(tokens_saved, 0)::BIGINT AS tokens, coalesce(round(llm_cost * 10000), 0)::BIGINT AS cost FROM daily_snapshots WHERE regexp_matches(substr(date, 1, 10), '^\\d{4}-\\d{2}-\\d{2}$') AND project IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY project, day ORDER BY written_at DESC NULLS LAST, tokens DESC, cost DESC) AS r FROM parsed WHERE day IS NOT NULL),
@@ -171,8 +155,6 @@ WHERE b.seq > 1 AND (a.id IS NULL OR (a.kind, a.name, a.file_path, a.is_exported
 UNION ALL
 SELECT a.project, a.next_id, a.qualified_name, 'removed' FROM present a
 WHERE a.next_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present b WHERE b.project = a.project AND b.qualified_name = a.qualified_name AND b.seq = a.seq + 1)""",
-    "p4_found": f"{_WORST} SELECT hotspot_id FROM placed WHERE position <= 5",
-    "p4_ranked": f"{_WORST} SELECT project, path, position, hotspot_id, qualified_name, complexity, fan_in FROM placed WHERE position <= 5",
     "p5_found": f"{_ROLLING} SELECT project, day, 'tokens_saved' AS measure FROM rolled WHERE n >= 30 AND t7 * 30 > t30 * 14 UNION ALL SELECT project, day, 'llm_cost' FROM rolled WHERE n >= 30 AND c7 * 30 > c30 * 14",
     "p5_rolling": f"{_ROLLING} SELECT project, day, t7::BIGINT AS tokens_7d, round(t7 / 7.0::DOUBLE, 6) AS tokens_avg_7d, c7::BIGINT AS cost_e4_7d, round((c7 / 10000::DOUBLE) / 7, 6) AS cost_avg_7d, t30::BIGINT AS tokens_30d, round(t30 / 30.0::DOUBLE, 6) AS tokens_avg_30d, c30::BIGINT AS cost_e4_30d, round((c30 / 10000::DOUBLE) / 30, 6) AS cost_avg_30d FROM rolled",
 }
