@@ -3,33 +3,50 @@
 Method: iterative proportional fitting. Token sizes are summed into cells of source, language
 and topic; for each mixture the cells' weights are raked until the source margins equal the
 wanted shares of the total, while the margins of language and topic stay those of the
-mixture's documents; documents are then sampled with the calibrated number of copies, which
-never exceeds max_repeats.
+mixture's documents. The cap is part of the raking: no cell's weight passes its size times
+max_repeats, and what a cell can't take goes to the cells of its margin that still can. A
+source whose cells all end at the cap and still weigh less than wanted is short. Documents are
+then sampled with the calibrated number of copies.
+
+Sampling is systematic: the documents of a mixture's source are range-partitioned and sorted
+by size, longest first. Each task walks its part of that order and gives a document the
+further copy where this brings the tokens taken so far nearer to the calibrated tokens so far.
+Short documents come last and settle what long ones leave over, so what is taken of a source
+lies within half a document's tokens of what is wanted in each part of the order, and mostly
+within those of its shortest documents.
 
 Only cell sums are raked: their number is bounded by the mixture's sources times primary
 language tags times TOPICS, however many documents there are. A source that holds a third of
-all documents is summed before any shuffle.
+all documents is summed before any shuffle and spread over tasks by size when sampled.
 
 Defined cases: sources are compared trimmed and in lower case; several targets of a mixture
 for one source count as one with the sum of weights and the greatest max_repeats. Null or
 negative weights are 0, a null max_repeats is 1. Targets without mixture or source, and
 documents without source, are left out. Null and empty texts have 0 tokens. A source without
-documents reaches 0. A mixture whose weights sum to 0 has shares of 0.
+documents reaches 0. A mixture whose weights sum to 0 has shares of 0. Where the cap makes
+margins of language or topic impossible, they come as near as the sources allow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.times import tidy_name
 from loomgraph.llm.bpe import count_tokens
+from loomgraph.llm.top_n import run_starts
 from loomgraph.session import bounded_join, written
 
 TOPICS, SWEEPS, TOLERANCE = 64, 200, 1e-10
 CELL = ["source", "lang", "topic"]
+#: Fractions of a copy are kept as integers of this unit.
+ONE = 1 << 24
 
 
 def targets_of(mixtures: DataFrame) -> DataFrame:
@@ -47,25 +64,39 @@ def sized_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return count_tokens(rows.where("source is not null"), path=path)
 
 
-def rake(size: np.ndarray, source: np.ndarray, wanted: np.ndarray, margins: list[np.ndarray]) -> np.ndarray:
-    """Weights of the cells whose sums by `source` are `wanted` and by each of `margins` are in
-    proportion to those of `size`. Source comes last in a sweep, so its margins are exact."""
-    weight = size.astype(float)
+def _bounded(weight: np.ndarray, by: np.ndarray, to: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """`weight` scaled so that its sums by `by` are `to`, each at most `most`: what is cut off is
+    spread over the cells of the same sum that have room."""
+    now = np.bincount(by, weight, len(to))
+    weight = np.minimum(weight * np.divide(to, now, out=np.zeros(len(to)), where=now > 0)[by], most)
+    for _ in range(len(weight)):
+        lost = to - np.bincount(by, weight, len(to))
+        room = np.bincount(by, np.where(weight < most, weight, 0.0), len(to))
+        if not ((lost > TOLERANCE * to) & (room > 0)).any():
+            break
+        more = 1 + np.divide(np.maximum(lost, 0.0), room, out=np.zeros(len(to)), where=room > 0)
+        weight = np.where(weight < most, np.minimum(weight * more[by], most), weight)
+    return weight
+
+
+def rake(size: np.ndarray, source: np.ndarray, wanted: np.ndarray, margins: list[np.ndarray], cap: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the cells, at most `cap` (of each source) times their size, whose sums by
+    `source` are `wanted`, or all that the cap allows, and by each of `margins` in proportion
+    to those of `size`. Source comes last in a sweep, so its margins are exact."""
+    most = np.full(len(size), np.inf) if cap is None else cap[source] * size
     have = np.bincount(source, size, len(wanted))
     goal = np.where(have > 0, wanted, 0.0)
+    if cap is not None:
+        goal = np.minimum(goal, cap * have)
     if not goal.sum():
         return np.zeros(len(size))
     kept = [np.bincount(m, size) / size.sum() * goal.sum() for m in margins]
-
-    def scaled(weight: np.ndarray, by: np.ndarray, to: np.ndarray) -> np.ndarray:
-        now = np.bincount(by, weight, len(to))
-        return weight * np.divide(to, now, out=np.zeros(len(to)), where=now > 0)[by]
-
+    weight = np.minimum(size.astype(float), most)
     for _ in range(SWEEPS):
         before = weight
         for m, to in zip(margins, kept):
-            weight = scaled(weight, m, to)
-        weight = scaled(weight, source, goal)
+            weight = _bounded(weight, m, to, most)
+        weight = _bounded(weight, source, goal, most)
         if np.abs(weight - before).max() <= TOLERANCE * goal.sum():
             break
     return weight
@@ -96,13 +127,14 @@ def _calibrated(cells: pd.DataFrame) -> pd.DataFrame:
     share = weight / weight.sum() if weight.sum() else np.zeros(len(names))
     wanted = share * have.sum()
     margins = [pd.factorize(cells[c].fillna(-1 if c == "topic" else ""))[0] for c in ("lang", "topic")]
-    raked = rake(size, source, wanted, margins)
+    raked = rake(size, source, wanted, margins, cap)
     copies = np.zeros(len(size))
-    for s in range(len(names)):
+    for s in range(len(names)):  # what the raking leaves to rounding is settled within the source
         at = source == s
         copies[at] = fill(size[at], raked[at], cap[s], wanted[s])
     filled = np.bincount(source, copies * size, len(names))
-    short = (filled < wanted) & (have * cap < wanted)  # the second is free of the rounding in `fill`
+    room = np.bincount(source, (copies < cap[source]) & (size > 0), len(names)) > 0
+    short = ~room & (filled < wanted) & (have * cap < wanted)  # the last is free of rounding
     return pd.DataFrame({"mix_name": cells["mix_name"], "source": cells["source"], "lang": cells["lang"], "topic": cells["topic"], "tokens": cells["tokens"], "copies": copies, "share": share[source], "wanted": wanted[source], "max_repeats": cap[source], "short": short[source]})
 
 
@@ -122,25 +154,77 @@ def short_sources(docs: DataFrame, mixtures: DataFrame, path: str | None = None)
     return calibrate(sized_documents(docs, path), mixtures).where("short").select("mix_name", "source").distinct()
 
 
-def select_documents(sized: DataFrame, calibrated: DataFrame) -> DataFrame:
-    """(mix_name, doc_id, source, tokens, copies): the documents of each mixture; the fraction of
-    a copy is drawn by a hash of mixture and document, so every run takes the same ones."""
-    cells = calibrated.where("copies > 0").select("mix_name", *CELL, F.col("copies").alias("rate"))
-    rows = bounded_join(sized, cells, CELL)
-    draw = F.pmod(F.xxhash64("mix_name", "doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    whole = F.floor("rate")
-    return rows.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("int")).cast("long")).where("copies > 0").select("mix_name", "doc_id", "source", "tokens", "copies")
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, tail, left = ["mix_name", "source"], None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = set(run_starts(batch, group)[1:].tolist())
+        if tail != tuple(batch.column(g)[0].as_py() for g in group):
+            left = 0
+        further = []
+        for i, (tokens, part) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("part").to_pylist())):
+            if i in new:
+                left = 0
+            left += tokens * part
+            taken = 2 * left >= tokens * ONE if tokens else 2 * part >= ONE
+            left -= taken * tokens * ONE
+            further.append(int(taken))
+        tail = tuple(batch.column(g)[batch.num_rows - 1].as_py() for g in group)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(further, pa.int64())], names=[*batch.schema.names, "further"])
 
 
-def mix(docs: DataFrame, mixtures: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(selection, report): the documents taken, and per mixture and source the wanted and
-    reached tokens and shares."""
-    sized = written(sized_documents(docs, path), "sized")
-    calibrated = written(calibrate(sized, mixtures), "calibrated")
-    chosen = select_documents(sized, calibrated)
+def select_documents(sized: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """(mix_name, doc_id, source, lang, topic, tokens, copies): the documents of each mixture. Of
+    equally long documents a hash of mixture and document decides the order, so the same input
+    in as many partitions gives the same ones."""
+    cells = calibrated.where("copies > 0").select("mix_name", *CELL, F.floor("copies").alias("copies"), F.round((F.col("copies") - F.floor("copies")) * ONE).cast("long").alias("part"))
+    rows = bounded_join(sized, cells, CELL).select("mix_name", "doc_id", *CELL, "tokens", "copies", "part")
+    width = max(2, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["mix_name", "source", F.col("tokens").desc(), F.xxhash64("mix_name", "doc_id"), "doc_id", "lang", "topic"]
+    in_order = rows.where("part > 0").repartitionByRange(width, *order).sortWithinPartitions(*order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("further", T.LongType())])
+    drawn = written(in_order.mapInArrow(_drawn, schema), "drawn")
+    out = rows.where("part = 0").unionByName(drawn.withColumn("copies", F.col("copies") + F.col("further")).select(rows.columns))
+    return out.where("copies > 0").drop("part")
+
+
+def shares_reached(sized: DataFrame, calibrated: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per mixture and source the wanted and reached tokens and shares, and the tokens of the
+    source's largest document: `reached` is nearer to `wanted` than that, unless the source is short."""
     reached = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     wanted = calibrated.groupBy("mix_name", "source").agg(F.sum("tokens").alias("size"), F.max("share").alias("share"), F.max("wanted").alias("wanted"), F.max("max_repeats").cast("long").alias("max_repeats"), F.bool_or("short").alias("short"))
     totals = reached.groupBy("mix_name").agg(F.sum("reached").alias("all"))
     zero = F.lit(0).cast("long")
-    report = wanted.join(reached, ["mix_name", "source"], "left").join(totals, "mix_name", "left")
-    return chosen, report.select("mix_name", "source", "size", F.round("share", 9).alias("share"), F.round("wanted", 3).alias("wanted"), "max_repeats", "short", F.coalesce("documents", zero).alias("documents"), F.coalesce("most_copies", zero).alias("most_copies"), F.coalesce("reached", zero).alias("reached"), F.round(F.coalesce(F.col("reached") / F.col("all"), F.lit(0.0)), 9).alias("reached_share"))
+    report = wanted.join(sized.groupBy("source").agg(F.max("tokens").alias("largest")), "source", "left").join(reached, ["mix_name", "source"], "left").join(totals, "mix_name", "left")
+    return report.select("mix_name", "source", "size", F.coalesce("largest", zero).alias("largest"), F.round("share", 9).alias("share"), F.round("wanted", 3).alias("wanted"), "max_repeats", "short", F.coalesce("documents", zero).alias("documents"), F.coalesce("most_copies", zero).alias("most_copies"), F.coalesce("reached", zero).alias("reached"), F.round(F.coalesce(F.col("reached") / F.col("all"), F.lit(0.0)), 9).alias("reached_share"))
+
+
+def margins_reached(calibrated: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(mix_name, dimension, value, wanted_share, calibrated_share, reached_share) of languages and
+    topics: their shares of the mixture's documents, after raking, and of the tokens taken."""
+    ways = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in ("lang", "topic")))
+    by = ["mix_name", "dimension", "value"]
+
+    def share(rows: DataFrame, tokens, name: str) -> DataFrame:
+        sums = rows.where("lang is not null").select("mix_name", tokens.alias("t"), F.explode(ways).alias("w")).groupBy("mix_name", "w.dimension", "w.value").agg(F.sum("t").alias("t"))
+        all_of = sums.groupBy("mix_name", "dimension").agg(F.sum("t").alias("all"))
+        return sums.join(all_of, ["mix_name", "dimension"]).select(*by, F.coalesce(F.try_divide("t", "all"), F.lit(0.0)).alias(name))
+
+    wanted = share(calibrated, F.col("tokens"), "wanted_share")
+    raked = share(calibrated, F.col("tokens") * F.col("copies"), "calibrated_share")
+    taken = share(chosen, F.col("tokens") * F.col("copies"), "reached_share")
+    return wanted.join(raked, by, "left").join(taken, by, "left").select(*by, *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("wanted_share", "calibrated_share", "reached_share")))
+
+
+def mix_sized(sized: DataFrame, mixtures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(selection, shares, margins) of documents whose tokens are counted."""
+    calibrated = written(calibrate(sized, mixtures), "calibrated")
+    chosen = select_documents(sized, calibrated)
+    return chosen, shares_reached(sized, calibrated, chosen), margins_reached(calibrated, chosen)
+
+
+def mix(docs: DataFrame, mixtures: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selection, report): the documents taken, and per mixture and source the wanted and
+    reached tokens and shares."""
+    return mix_sized(written(sized_documents(docs, path), "sized"), mixtures)[:2]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.bpe import encode_corpus
-from loomgraph.llm.mixing import mix, short_sources
+from loomgraph.llm.mixing import mix_sized, short_sources, sized_documents
 from loomgraph.llm.shared_spans import LENGTH, shared_share, shared_spans
 from loomgraph.llm.top_n import worst_functions
+from loomgraph.session import exists, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mixture_targets"))
 
 
+_SIZED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token sizes of the documents, written once per application and input: the selection
+    and its reports read one encoding. p7_found encodes by itself."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SIZED or not all(exists(spark, f) for f in _SIZED[key].inputFiles()[:1]):
+        _SIZED[key] = written(sized_documents(_table(spark, sf_dir, "documents")), "sized")
+    return _SIZED[key]
+
+
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mixture_targets"))[0]
+    return mix_sized(_sized(spark, sf_dir), _table(spark, sf_dir, "mixture_targets"))[0].select("mix_name", "doc_id", "source", "tokens", "copies")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mixture_targets"))[1]
+    return mix_sized(_sized(spark, sf_dir), _table(spark, sf_dir, "mixture_targets"))[1]
+
+
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sized(_sized(spark, sf_dir), _table(spark, sf_dir, "mixture_targets"))[2]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +64,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_ranked, p6_ids, p7_found, p7_selection, p7_shares, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_ranked, p6_ids, p7_found, p7_selection, p7_shares, p7_margins, p8_found, p8_share)}
 
 _PATH = r"regexp_replace(replace(file_path, '\', '/'), '^\./', '')"
 _WORST = f"""

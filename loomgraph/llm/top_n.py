@@ -27,35 +27,46 @@ from pyspark.sql import types as T
 from loomgraph.session import written
 
 
-def _local_positions(group: list[str], n: int):
-    def same_as_before(batch: pa.RecordBatch) -> np.ndarray:
-        same = np.ones(batch.num_rows - 1, bool)
-        for g in group:
-            a, b = batch.column(g).slice(1), batch.column(g).slice(0, batch.num_rows - 1)
-            equal = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False).astype(bool)
-            both_null = pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False).astype(bool)
-            same &= equal | both_null
-        return same
+def run_starts(batch: pa.RecordBatch, group: list[str]) -> np.ndarray:
+    """Where runs of equal group columns (null equals null) begin in a sorted batch that has rows."""
+    same = np.ones(batch.num_rows - 1, bool)
+    for g in group:
+        a, b = batch.column(g).slice(1), batch.column(g).slice(0, batch.num_rows - 1)
+        equal = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False).astype(bool)
+        both_null = pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False).astype(bool)
+        same &= equal | both_null
+    return np.flatnonzero(np.concatenate([[True], ~same]))
+
+
+def running_sums(batches: Iterator[pa.RecordBatch], group: list[str], of) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, sum of `of(batch)` so far in the row's run, whether the run is the partition's
+    first) of the sorted batches of a partition."""
+    tail, total, first_run = None, 0, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = run_starts(batch, group)
+        lengths = np.diff([*start, batch.num_rows])
+        sums = np.cumsum(of(batch))
+        before = np.where(start > 0, sums[start - 1], 0)
+        sums = sums - np.repeat(before, lengths)
+        head = tuple(batch.column(g)[0].as_py() for g in group)
+        if tail == head:
+            sums[: lengths[0]] += total
+        elif tail is not None:
+            first_run = False
+        in_first = np.zeros(batch.num_rows, bool)
+        in_first[: lengths[0]] = first_run
+        if len(start) > 1:
+            first_run = False
+        tail, total = tuple(batch.column(g)[batch.num_rows - 1].as_py() for g in group), int(sums[-1])
+        yield batch, sums, in_first
+
 
+def _local_positions(group: list[str], n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, count, first_run, rows = None, 0, True, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.concatenate([[True], ~same_as_before(batch)])
-            start = np.flatnonzero(new)
-            position = np.arange(batch.num_rows) - np.repeat(start, np.diff([*start, batch.num_rows])) + 1
-            head = tuple(batch.column(g)[0].as_py() for g in group)
-            lengths = int(start[1] if len(start) > 1 else batch.num_rows)
-            if tail == head:
-                position[:lengths] += count
-            elif tail is not None:
-                first_run = False
-            in_first = np.zeros(batch.num_rows, bool)
-            in_first[:lengths] = first_run
-            if len(start) > 1:
-                first_run = False
-            tail, count = tuple(batch.column(g)[batch.num_rows - 1].as_py() for g in group), int(position[-1])
+        rows = 0
+        for batch, position, in_first in running_sums(batches, group, lambda b: np.ones(b.num_rows, np.int64)):
             keep = pa.array(np.flatnonzero(position <= n))
             kept = batch.take(keep)
             number = pa.array(np.arange(rows, rows + len(keep)))
@@ -65,14 +76,15 @@ def _local_positions(group: list[str], n: int):
     return run
 
 
-def _offsets(kept: DataFrame, group: list[str]) -> DataFrame:
-    """(_part, _before): how many kept rows of a partition's first run lie in partitions before
-    it. Of each partition one row with its first and last run enters the prefix sums."""
-    of_run = F.struct(*group, F.col("_local").alias("_count"))
+def offsets(kept: DataFrame, group: list[str], local: str = "_local") -> DataFrame:
+    """(_part, _before): what the partitions before it add to the `local` running sums of a
+    partition's first run. Of each partition one row with its first and last run enters the
+    prefix sums; `_row` numbers a partition's rows."""
+    of_run = F.struct(*group, F.col(local).alias("_sum"))
     ends = kept.groupBy("_part").agg(F.min_by(of_run, "_row").alias("_head"), F.max_by(of_run, "_row").alias("_tail"))
-    head, tail = (ends.select("_part", F.lit(k).alias("_end"), *(F.col(f"{side}.{g}").alias(g) for g in group), count.alias("_count")) for k, side, count in ((0, "_head", F.lit(0).cast("long")), (1, "_tail", F.col("_tail._count"))))
+    head, tail = (ends.select("_part", F.lit(k).alias("_end"), *(F.col(f"{side}.{g}").alias(g) for g in group), total.alias("_sum")) for k, side, total in ((0, "_head", F.lit(0).cast("long")), (1, "_tail", F.col("_tail._sum"))))
     earlier = Window.partitionBy(*group).orderBy("_part", "_end").rowsBetween(Window.unboundedPreceding, -1)
-    summed = head.unionByName(tail).select("_part", "_end", F.sum("_count").over(earlier).alias("_before"))
+    summed = head.unionByName(tail).select("_part", "_end", F.sum("_sum").over(earlier).alias("_before"))
     return summed.where("_end = 0 and _before > 0").select("_part", "_before")
 
 
@@ -86,7 +98,7 @@ def top_n(rows: DataFrame, group: list[str], order: list[Column], n: int) -> Dat
     schema = T.StructType([*rows.schema.fields, T.StructField("_local", T.LongType()), T.StructField("_first", T.BooleanType()), T.StructField("_row", T.LongType())])
     ranged = rows.repartitionByRange(width, *keys, *order).sortWithinPartitions(*keys, *order)
     kept = written(ranged.mapInArrow(_local_positions(group, n), schema).withColumn("_part", F.spark_partition_id()), "top-n")
-    placed = kept.join(F.broadcast(_offsets(kept, group)), "_part", "left")
+    placed = kept.join(F.broadcast(offsets(kept, group)), "_part", "left")
     position = F.col("_local") + F.when(F.col("_first"), F.coalesce("_before", F.lit(0))).otherwise(0)
     return placed.withColumn("position", position).where(F.col("position") <= n).drop("_local", "_first", "_row", "_part", "_before")
 
