@@ -18,8 +18,13 @@ def reconcile(evidence: DataFrame, now: str, ceilings: dict[str, float] | None =
 
     A strength is cut to its kind's ceiling and halved every half-life; of one independence
     source and polarity the strongest counts; sources combine as 1 - prod(1 - s); confidence is
-    support * (1 - contradiction). Copies of an evidence_id count once; null strengths are 0."""
-    rows = evidence.dropDuplicates(["relation", "evidence_id"]).where("polarity in ('supports', 'contradicts')")
+    support * (1 - contradiction). Copies of an evidence_id count once and must be equal: the
+    query fails where they differ. Null strengths are 0."""
+    said = F.struct("kind", "polarity", "strength", "source", "observed_at")
+    once = evidence.groupBy("relation", "evidence_id").agg(F.min(said).alias("e"), F.max(said).alias("f"))
+    conflict = F.raise_error(F.concat(F.lit("conflicting copies of evidence "), F.col("evidence_id").cast("string")))
+    agreed = once.select("relation", "evidence_id", F.when(F.col("e").eqNullSafe(F.col("f")), F.col("e")).otherwise(conflict).alias("e"))
+    rows = agreed.select("relation", "evidence_id", "e.*").where("polarity in ('supports', 'contradicts')")
     strength = F.coalesce("strength", F.lit(0.0))
     if ceilings:
         strength = F.least(strength, F.coalesce(_by_type("kind", ceilings), F.lit(1.0)))

@@ -233,22 +233,57 @@ def run(text: str, nodes: DataFrame, edges: DataFrame, project: str, max_rows: i
 
 
 ALLOWED = ("nodes", "edges", "projects")
+#: Kinds of plan nodes that read or do anything besides naming a table.
+REFUSED = ("UnresolvedTableValuedFunction", "ScriptTransformation", "UnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "RelationTimeTravel")
+
+
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _foreign(plan, known: frozenset[str]) -> set[str]:
+    """Names that a parsed plan reads, subqueries included, and that are neither in `known` nor
+    common table expressions in scope where they are read."""
+    kind = plan.getClass().getSimpleName()
+    if kind in REFUSED or plan.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical.Insert"):
+        raise QueryError(f"{kind} is not allowed")
+    if kind == "UnresolvedRelation":
+        parts = _each(plan.multipartIdentifier())
+        return set() if len(parts) == 1 and parts[0].lower() in known else {".".join(parts)}
+    found, inner = set(), plan.innerChildren()
+    if kind == "UnresolvedWith":
+        for cte in _each(plan.cteRelations()):
+            name = cte._1().lower()
+            found |= _foreign(cte._2(), known | {name} if plan.allowRecursion() else known)
+            known = known | {name}
+    else:
+        for child in _each(inner):
+            found |= _foreign(child, known)
+    for child in _each(plan.children()):
+        found |= _foreign(child, known)
+    return found
 
 
 def guarded_sql(sql: str, nodes: DataFrame, edges: DataFrame, project: str, max_rows: int = DEFAULT_LIMIT) -> DataFrame:
     """A read-only query over nodes, edges and projects, each already limited to the project.
-    What it reads is taken from the parsed plan, not guessed from the text."""
+
+    What it reads is taken from the tree of the parsed plan: only the three names, and its own
+    common table expressions where they are in scope. The frames are bound as common table
+    expressions around the text, which is not rewritten, so session views of these names are
+    out of reach; an expression of the query's own may take one of the names for itself."""
     spark = nodes.sparkSession
-    if not re.match(r"\s*(SELECT|WITH)\b", sql, re.I):
+    text = sql.strip().rstrip(";").rstrip()
+    if not re.match(r"(SELECT|WITH)\b", text, re.I):
         raise QueryError("only SELECT and WITH")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    read = {m.strip("`[]").lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan)}
-    own = {m.strip("`").lower() for m in re.findall(r"(?:\bWITH\b|,)\s*(?:RECURSIVE\s+)?(`?\w+`?)\s+AS\s*\(", sql, re.I)}
-    if re.search(r"UnresolvedTableValuedFunction|InsertInto|CreateTable|ScriptTransformation", plan) or read - own - set(ALLOWED):
-        raise QueryError(f"only {', '.join(ALLOWED)} can be read")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as error:
+        raise QueryError("not a query") from error
+    foreign = _foreign(plan, frozenset(ALLOWED))
+    if foreign:
+        raise QueryError(f"only {', '.join(ALLOWED)} can be read, not {', '.join(sorted(foreign))}")
     scoped = {"nodes": nodes.where(F.col("project") == project), "edges": edges.where(F.col("project") == project)}
     scoped["projects"] = scoped["nodes"].select("project").distinct()
-    # frames are passed by name, so nothing is registered in the session's catalog
-    names = {t: f"{{{t}}}" for t in ALLOWED if t in read}
-    text = re.sub(r"\b(FROM|JOIN|,)(\s+)(" + "|".join(ALLOWED) + r")\b(?!\s*[.(])", lambda m: f"{m[1]}{m[2]}{names.get(m[3].lower(), m[3])}" if m[1] != "," else m[0], sql, flags=re.I)
-    return spark.sql(text, **{t: scoped[t] for t in names}).limit(max(1, min(max_rows, MAX_ROWS)))
+    bound = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in ALLOWED)
+    whole = f"WITH {bound} SELECT * FROM (\n{text.replace('{', '{{').replace('}', '}}')}\n)"
+    return spark.sql(whole, **scoped).limit(max(1, min(max_rows, MAX_ROWS)))

@@ -151,7 +151,7 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
     receiver blocks the rest; one exported definition; the same folder; one definition; one
     suffix."""
     c = F.col
-    rows = calls.withColumn("_call", F.monotonically_increasing_id()).withColumns({"method": F.substring_index("callee", ".", -1), "qualified": c("callee").contains("."), "lang": group(c("file")), "dir": folder(c("file"))})
+    rows = calls.withColumns({"method": F.substring_index("callee", ".", -1), "qualified": c("callee").contains("."), "lang": group(c("file")), "dir": folder(c("file"))})
     callables = nodes.where(c("kind").isin(*CALLABLE)).withColumns({"lang": group(c("file_path")), "dir": folder(c("file_path"))})
 
     own = callables.groupBy(c("file_path").alias("file"), c("qualified_name").alias("own_qn")).agg(F.min("id").alias("own"))
@@ -179,14 +179,15 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
         rows = rows.withColumns({"typed": F.lit(None).cast("long"), "origin": F.lit(None).cast("string")})
     else:
         held = bindings.select(c("owner").alias("caller"), c("name").alias("receiver"), F.regexp_replace("type_name", r"\s*(<.*|\[\].*|\|.*)$", "").alias("type_name"), "declaration_line", "scope_start", "scope_end", "origin")
-        hit = rows.select("_call", "file", "caller", "receiver", "method", "lang", "line").join(held, ["caller", "receiver"]).where("declaration_line <= line and line between scope_start and scope_end")
-        first = hit.groupBy("_call", "file", "method", "lang").agg(F.min(F.struct("declaration_line", "type_name", "origin")).alias("b")).select("_call", "file", "method", "lang", "b.type_name", "b.origin")
+        use = ["file", "caller", "receiver", "method", "lang", "line"]  # calls that agree in these have one type
+        hit = rows.select(*use).distinct().join(held, ["caller", "receiver"]).where("declaration_line <= line and line between scope_start and scope_end")
+        first = hit.groupBy(*use).agg(F.min(F.struct("declaration_line", "type_name", "origin")).alias("b")).select(*use, "b.type_name", "b.origin")
         kinds = nodes.where(c("kind").isin("Class", "Interface")).select(c("name").alias("type_name"), c("qualified_name").alias("owner"), c("file_path").alias("at"), group(c("file_path")).alias("lang"))
         local = kinds.select(c("at").alias("file"), "type_name", "owner", "lang")
         away = visible.join(kinds.withColumnRenamed("owner", "qualified_name"), "qualified_name").select("file", "type_name", c("qualified_name").alias("owner"), "lang")
         typed_owner = local.unionByName(away).distinct().groupBy("file", "type_name", "lang").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1").drop("n")
-        typed = first.join(typed_owner, ["file", "type_name", "lang"]).join(children, ["owner", "method", "lang"]).select("_call", c("child").alias("typed"), "origin")
-        rows = rows.join(typed, "_call", "left")
+        typed = first.join(typed_owner, ["file", "type_name", "lang"]).join(children, ["owner", "method", "lang"]).select(*use, c("child").alias("typed"), "origin")
+        rows = rows.join(typed, use, "left")
 
     free = (c("kind") != "Method") & (F.coalesce("is_exported", F.lit(1)) != 0)
     names = callables.groupBy("lang", c("name").alias("method")).agg(F.count("*").alias("all_n"), F.min("id").alias("any"), F.count_if(free).alias("exp_n"), F.min(F.when(free, c("id"))).alias("exp"), F.bool_and(free).alias("any_free"))
@@ -269,7 +270,7 @@ def test_edges(nodes: DataFrame, import_edges: DataFrame, calls: DataFrame) -> D
     by_name = _edge(source.withColumn("path", test_to_source(c("test_path"))).join(target, "path"), "TESTS_FILE", "test-name-convention", 0.95, None)
     ends = nodes.select("id", "name", test.alias("test"))
     s, t = (ends.select(c("id").alias(f"{e}_id"), c("name").alias(f"{e}_name"), c("test").alias(f"{e}_test")) for e in ("source", "target"))
-    named = lambda n: c(n).rlike(r"^(test|it|should|describe)(_|[A-Z]|$)|(_test|Test)$")
+    named = lambda n: c(n).rlike(r"^(test|it|describe)$|^test(_|[A-Z])|^(Test|Benchmark|Example)([A-Z]|$)")
     placed = calls.join(s, "source_id").join(t, "target_id").where(c("source_test") & ~c("target_test") & ~named("target_name"))
     return by_import.unionByName(by_name).unionByName(_edge(placed, "TESTS", "test-call", F.when(named("source_name"), 0.95).otherwise(0.8)))
 

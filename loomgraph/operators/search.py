@@ -226,8 +226,11 @@ def code_score(in_degree: Column) -> Column:
 
 def enclosing_symbols(matches: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each match (file_path, line, ...) with the smallest symbol whose lines enclose it, null
-    without one. The range condition is tested within one file only; ties go to the id."""
-    keyed = matches.withColumn("_match", F.monotonically_increasing_id())
-    spans = nodes.where("kind not in ('File', 'Folder', 'Module')").select("file_path", "start_line", "end_line", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id", "name", "qualified_name", "kind").alias("s"))
-    inside = keyed.join(spans, "file_path").where("line between start_line and end_line").groupBy("_match").agg(F.min("s").alias("s"))
-    return keyed.join(inside, "_match", "left").select(*matches.columns, "s.id", "s.name", "s.qualified_name", "s.kind")
+    without one. The range condition is tested within one file only; ties go to the id. Equal
+    matches are looked up once, by their own columns, and come out as often as they went in."""
+    keyed = matches.groupBy(*matches.columns).agg(F.count("*").alias("_times"))
+    spans = nodes.where("kind not in ('File', 'Folder', 'Module')").select(F.col("file_path").alias("_file"), "start_line", "end_line", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id", "name", "qualified_name", "kind").alias("_s"))
+    inside = keyed.join(spans, (F.col("file_path") == F.col("_file")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
+    found = inside.groupBy(*matches.columns, "_times").agg(F.min("_s").alias("_s"))
+    out = found.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
+    return out.select(*matches.columns, "_s.id", "_s.name", "_s.qualified_name", "_s.kind")

@@ -10,15 +10,41 @@ from pyspark.sql import functions as F
 from loomgraph.functions.times import micros_of, micros_of_text, tidy_name
 
 DAY_US = 86_400_000_000
-# The category each tool's events count for; any other tool is 'other'.
-CATEGORIES = {
-    "direct_discovery": ("search_graph", "search_code", "semantic_search"),
-    "smart_navigation": ("trace_path", "get_code_snippet", "batch_get_code", "investigate_symbol", "get_edge_evidence"),
-    "context_packing": ("pack_context", "pack_memory", "get_graph_schema"),
-    "impact_analysis": ("explain_symbol", "smart_review", "find_tests", "detect_changes", "assess_impact", "analyze_hotspots", "find_dead_code", "compare_runs"),
-    "project_operations": ("index_repository", "index_status", "ingest_traces", "watch_project", "manage_adr", "delete_project", "auto_index"),
-    "llm_rerank": ("llm_rerank",),
-    "hook_augment": ("hook_augment",),
+# The category of each type of event, and of an observation by the tool it hints
+# at; any other is 'other'.
+CATEGORY_OF_TYPE = {
+    "architecture_overview": "architecture_overview",
+    "search_graph": "direct_discovery",
+    "search_code": "direct_discovery",
+    "semantic_search": "direct_discovery",
+    "trace_path": "smart_navigation",
+    "get_code_snippet": "smart_navigation",
+    "batch_get_code": "smart_navigation",
+    "pack_context": "context_packing",
+    "explain_symbol": "impact_analysis",
+    "smart_review": "impact_analysis",
+    "find_tests": "impact_analysis",
+    "llm_rerank": "llm_rerank",
+    "hook_augment": "hook_augment",
+    "tool_observation": "other",
+}
+CATEGORY_OF_HINT = {
+    "investigate_symbol": "smart_navigation",
+    "get_edge_evidence": "smart_navigation",
+    "detect_changes": "impact_analysis",
+    "assess_impact": "impact_analysis",
+    "analyze_hotspots": "impact_analysis",
+    "find_dead_code": "impact_analysis",
+    "pack_memory": "context_packing",
+    "get_graph_schema": "context_packing",
+    "compare_runs": "impact_analysis",
+    "index_repository": "project_operations",
+    "index_status": "project_operations",
+    "ingest_traces": "project_operations",
+    "watch_project": "project_operations",
+    "manage_adr": "project_operations",
+    "delete_project": "project_operations",
+    "auto_index": "project_operations",
 }
 
 
@@ -40,16 +66,24 @@ def fnv1a(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(hashed)), 8, "0")
 
 
-def legacy_key(project: str = "project", ts: str = "ts", kind: str = "type") -> Column:
-    """Identity of an event that has no event_id."""
+def _identity(project: str = "project", ts: str = "ts", kind: str = "type") -> list[Column]:
+    """The six values that tell events without an event_id apart."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    return F.concat(F.lit("legacy:"), fnv1a(F.concat_ws("|", F.coalesce(project, F.lit("")), F.coalesce(ts, F.lit("")), F.coalesce(kind, F.lit("")), F.coalesce("query_hash", F.lit("")), zero("files_avoided"), zero("tokens_saved"))))
+    return [F.coalesce(project, F.lit("")), F.coalesce(ts, F.lit("")), F.coalesce(kind, F.lit("")), F.coalesce("query_hash", F.lit("")), zero("files_avoided"), zero("tokens_saved")]
+
+
+def legacy_key(project: str = "project", ts: str = "ts", kind: str = "type") -> Column:
+    """A short label of an event that has no event_id. It has 32 bits, so many events share
+    labels: events are told apart by the values themselves."""
+    return F.concat(F.lit("legacy:"), fnv1a(F.concat_ws("|", *_identity(project, ts, kind))))
 
 
 def without_legacy_repeats(events: DataFrame) -> DataFrame:
-    """Events without event_id, each once by `legacy_key` (smallest id)."""
+    """Events without event_id, each once by all six values of its identity (smallest id), with
+    their `legacy_key`."""
     rows = events.where("event_id is null").withColumn("legacy_key", legacy_key())
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("legacy_key").orderBy("id"))).where("_rank = 1").drop("_rank")
+    first = Window.partitionBy(*_identity()).orderBy("id")
+    return rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def _llm() -> Column:
@@ -78,8 +112,11 @@ def day_flush(events: DataFrame, day: str) -> DataFrame:
     return events.where(F.col("day") == day).groupBy("project", "day").agg(total("tokens_saved").alias("tokens_saved"), F.countDistinct("files_json").alias("distinct_files"), F.count("*").alias("events_count"))
 
 
-def category(tool: Column) -> Column:
-    return F.coalesce(*(F.when(tool.isin(*tools), F.lit(name)) for name, tools in CATEGORIES.items()), F.lit("other"))
+def category(kind: Column, hint: Column) -> Column:
+    """The one category of an event of a type; observations that hint at a tool take the tool's."""
+    table = lambda names, key: F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
+    observed = F.coalesce((kind == "tool_observation") & (hint != ""), F.lit(False))
+    return F.coalesce(F.when(observed, table(CATEGORY_OF_HINT, hint)).otherwise(table(CATEGORY_OF_TYPE, kind)), F.lit("other"))
 
 
 def look_back(events: DataFrame, now: str, days: dict[str, int | None]) -> DataFrame:
@@ -87,7 +124,7 @@ def look_back(events: DataFrame, now: str, days: dict[str, int | None]) -> DataF
     exactly one category, so that categories add up to the window's total."""
     end = micros_of(now)
     inside = F.filter(F.array(*(F.when(F.lit(True) if n is None else F.col("at") >= end - n * DAY_US, F.lit(name)) for name, n in days.items())), lambda w: w.isNotNull())
-    rows = events.where(F.col("at") <= end).select(F.explode(inside).alias("window"), category(F.col("tool")).alias("category"), "tokens_saved", "files_avoided")
+    rows = events.where(F.col("at") <= end).select(F.explode(inside).alias("window"), category(F.col("tool"), F.col("tool_hint")).alias("category"), "tokens_saved", "files_avoided")
     found = rows.groupBy("window", "category").agg(total("tokens_saved").alias("tokens_saved"), total("files_avoided").alias("files_avoided"), F.count("*").alias("events"))
     return found.where("events > 0 or tokens_saved > 0")
 
@@ -114,20 +151,29 @@ def confidence_pivot(events: DataFrame, levels: tuple[str, ...] = ("high", "medi
     return events.groupBy("project").agg(*(F.coalesce(F.sum(F.when(F.col("confidence") == c, F.col("tokens_saved"))), F.lit(0)).cast("long").alias(f"tokens_{c}") for c in levels))
 
 
-def order_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, upper_median, p95): the values at floor(n/2) and ceil(0.95 n) - 1 in ascending
-    order, from a histogram: no group's values are collected."""
+def _histogram(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, k, to, n): how often each value occurs in a group, how many values don't
+    exceed it, and how many there are. No group's values are collected."""
     histogram = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
     up = Window.partitionBy(by).orderBy(value)
-    placed = histogram.withColumns({"to": F.sum("k").over(up), "n": F.sum("k").over(Window.partitionBy(by))})
+    return histogram.withColumns({"to": F.sum("k").over(up), "n": F.sum("k").over(Window.partitionBy(by))})
+
+
+def order_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, upper_median, p95): the values at floor(n/2) and ceil(0.95 n) - 1 in ascending
+    order."""
+    placed = _histogram(rows, by, value)
     at = lambda i: F.min(F.when(F.col("to") > i, F.col(value)))
     return placed.groupBy(by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("upper_median"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
 
 
 def nearest_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, p50, p95, most) by nearest rank."""
-    pick = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return rows.groupBy(by).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), F.max(value).alias("most"))
+    """(by, p50, p95, most) by nearest rank: the least values that at least the share of a group's
+    values don't exceed, from a histogram."""
+    placed = _histogram(rows, by, value)
+    at = lambda p: F.min(F.when(F.col("to") >= F.ceil(F.col("n") * p), F.col(value)))
+    found = placed.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("most"))
+    return rows.select(by).distinct().join(found.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def last_two(rows: DataFrame, by: str, order: str, measures: list[str]) -> DataFrame:
@@ -194,12 +240,19 @@ def churn(events: DataFrame, limit: int = 20) -> DataFrame:
     return event_files(events).groupBy("file").agg(F.count("*").alias("changes")).orderBy(F.col("changes").desc(), "file").limit(limit)
 
 
-def activity(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+def activity(events: DataFrame, gap_minutes: int = 30, slice_hours: int = 24) -> DataFrame:
     """(project, session, started, n): runs of a project's events with less than the gap between
-    neighbours."""
-    by = Window.partitionBy("project").orderBy("at", "id")
-    starts = events.select("project", "id", "at", F.coalesce(F.col("at") - F.lag("at").over(by) >= gap_minutes * 60_000_000, F.lit(True)).cast("int").alias("new"))
-    return starts.withColumn("session", F.sum("new").over(by)).groupBy("project", "session").agg(F.min("at").alias("started"), F.count("*").alias("n"))
+    neighbours. Runs are found within slices of time, so a busy project is spread over tasks;
+    what crosses a slice's edge is joined over one row per run and slice, of which a gap of half
+    an hour leaves at most 48 to a day."""
+    gap, width = gap_minutes * 60_000_000, slice_hours * 3_600_000_000
+    sliced = events.select("project", "at", F.floor(F.col("at") / width).alias("slice"))
+    inside = Window.partitionBy("project", "slice").orderBy("at")
+    starts = sliced.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(inside) >= gap, F.lit(False)).cast("int"))
+    parts = starts.withColumn("part", F.sum("new").over(inside)).groupBy("project", "slice", "part").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n"))
+    over = Window.partitionBy("project").orderBy("started")
+    joined = parts.withColumn("new", F.coalesce(F.col("started") - F.lag("ended").over(over) >= gap, F.lit(True)).cast("int"))
+    return joined.withColumn("session", F.sum("new").over(over)).groupBy("project", "session").agg(F.min("started").alias("started"), F.sum("n").alias("n"))
 
 
 def settled(suggestions: DataFrame, reads: DataFrame, now: str, minutes: int = 2) -> DataFrame:

@@ -36,7 +36,7 @@ def _(read):
     return U.archive(read("events_archive")).groupBy("project").agg(F.count("*").alias("n"), F.count("event_id").alias("keyed"))
 
 
-@R.table("op196_legacy_dedupe", "SELECT project, count(DISTINCT concat_ws('|', coalesce(project, ''), coalesce(ts, ''), coalesce(type, ''), coalesce(query_hash, ''), coalesce(files_avoided, 0), coalesce(tokens_saved, 0))) AS n FROM events_archive WHERE event_id IS NULL GROUP BY project")
+@R.table("op196_legacy_dedupe", "SELECT project, count(DISTINCT (coalesce(ts, ''), coalesce(type, ''), coalesce(query_hash, ''), coalesce(files_avoided, 0), coalesce(tokens_saved, 0))) AS n FROM events_archive WHERE event_id IS NULL GROUP BY project")
 def _(read):
     return U.without_legacy_repeats(read("events_archive")).groupBy("project").agg(F.count("*").alias("n"))
 
@@ -70,7 +70,13 @@ def _(read):
     return U.last_two(_latest_days(read), "project", "day", ["tokens_saved", "events_count"])
 
 
-_CATEGORY = "CASE " + " ".join(f"WHEN tool IN ({', '.join(repr(t) for t in tools)}) THEN '{name}'" for name, tools in U.CATEGORIES.items()) + " ELSE 'other' END"
+_CATEGORY = """CASE WHEN tool = 'tool_observation' AND tool_hint <> '' THEN CASE
+  WHEN tool_hint IN ('investigate_symbol', 'get_edge_evidence') THEN 'smart_navigation' WHEN tool_hint IN ('pack_memory', 'get_graph_schema') THEN 'context_packing'
+  WHEN tool_hint IN ('detect_changes', 'assess_impact', 'analyze_hotspots', 'find_dead_code', 'compare_runs') THEN 'impact_analysis'
+  WHEN tool_hint IN ('index_repository', 'index_status', 'ingest_traces', 'watch_project', 'manage_adr', 'delete_project', 'auto_index') THEN 'project_operations' ELSE 'other' END
+WHEN tool IN ('architecture_overview', 'llm_rerank', 'hook_augment') THEN tool WHEN tool IN ('search_graph', 'search_code', 'semantic_search') THEN 'direct_discovery'
+WHEN tool IN ('trace_path', 'get_code_snippet', 'batch_get_code') THEN 'smart_navigation' WHEN tool = 'pack_context' THEN 'context_packing'
+WHEN tool IN ('explain_symbol', 'smart_review', 'find_tests') THEN 'impact_analysis' ELSE 'other' END"""
 _WINDOWS = {"24h": 1, "7d": 7, "30d": 30, "total": None}
 
 
@@ -234,16 +240,26 @@ def _(read):
     return rows.select("doc_id", X.snippet(F.col("text"), F.lit(3), F.lit(3), 1).alias("snippet"))
 
 
-@R.table("op26_test_paths", "SELECT sum(regexp_matches(lower(file_path), '(^|/)(__tests__|tests?|spec)/|[._](test|spec)[.][a-z]+$|(^|/)test_[^/]+[.]py$')::INT)::BIGINT AS resolver, sum(regexp_matches(file_path, '(^|/)(tests?|__tests__)/|[.](test|spec)[.]')::INT)::BIGINT AS trace, sum((contains(lower(file_path), '/tests/') OR contains(lower(file_path), '/test/') OR starts_with(lower(file_path), 'tests/') OR starts_with(lower(file_path), 'test/') OR contains(lower(file_path), '__tests__/') OR contains(lower(file_path), '.test.') OR contains(lower(file_path), '.spec.'))::INT)::BIGINT AS impact FROM nodes")
+_BASE = "regexp_extract(file_path, '[^/]*$')"
+_FOLDERS = "starts_with({p}, 'tests/') OR starts_with({p}, 'test/') OR contains({p}, '/tests/') OR contains({p}, '/test/') OR contains({p}, '__tests__/') OR contains({p}, '.test.') OR contains({p}, '.spec.')"
+_STEM = "regexp_extract(file_path, '^(.*)[.][^.]+$', 1)"
+
+
+@R.table("op26_test_paths", f"SELECT sum((starts_with({_BASE}, 'test_') OR {_FOLDERS.format(p='file_path')} OR ends_with({_STEM}, '_test') OR ends_with({_STEM}, '_spec') OR ends_with({_STEM}, 'Test') OR ends_with({_STEM}, 'Spec'))::INT)::BIGINT AS resolver, sum(regexp_matches(file_path, '(^|/)(tests?|__tests__)/|[.](test|spec)[.]')::INT)::BIGINT AS trace, sum(({_FOLDERS.format(p='lower(file_path)')})::INT)::BIGINT AS impact FROM (SELECT file_path FROM nodes UNION ALL SELECT regexp_replace(file_path, '([.][a-z]+)$', s || '\\1') FROM nodes, (VALUES ('Test'), ('_spec'), ('.test'), ('Spec.x')) v(s))")
 def _(read):
-    return read("nodes").agg(*(F.count_if(test).alias(name) for name, test in X.is_test_path(F.col("file_path")).items()))
+    paths = read("nodes").select("file_path")
+    named = paths.withColumn("s", F.explode(F.array(*(F.lit(x) for x in ("Test", "_spec", ".test", "Spec.x"))))).select(F.regexp_replace("file_path", F.lit(r"([.][a-z]+)$"), F.concat("s", F.lit("$1"))).alias("file_path"))
+    return paths.unionByName(named).agg(*(F.count_if(test).alias(name) for name, test in X.is_test_path(F.col("file_path")).items()))
+
+
+_UNQUOTED = r"regexp_replace(regexp_replace(regexp_replace(text, chr(39) || '[^' || chr(39) || ']*' || chr(39), '', 'g'), '\"[^\"]*\"', '', 'g'), '`[^`]*`', '', 'g')"
 
 
-@R.table("fn_cyclomatic", r"SELECT doc_id, (len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda w: w IN ('if', 'for', 'while', 'case', 'catch', 'elif', 'except'))) + len(regexp_extract_all(text, '&&|\|\|')) + 1)::INT AS paths FROM documents WHERE text IS NOT NULL")
+@R.table("fn_cyclomatic", rf"SELECT doc_id, (1 + len(regexp_extract_all(text, '\b(if|for|while|do|catch|switch|case)\b')) + len(regexp_extract_all(text, '\bdefault\s*:')) + len(regexp_extract_all({_UNQUOTED}, '&&|[|][|]|[?][?]')))::INT AS paths FROM documents WHERE text IS NOT NULL")
 def _(read):
     return read("documents").where("text is not null").select("doc_id", X.cyclomatic(F.col("text")).alias("paths"))
 
 
-@R.table("fn_redacted", r"SELECT id, substr(regexp_replace(regexp_replace(query, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}', '[email]', 'g'), '\+?\d[\d .()-]{7,}\d', '[phone]', 'g'), 1, 180) AS query FROM events_archive WHERE query IS NOT NULL")
+@R.table("fn_redacted", r"SELECT id, substr(regexp_replace(regexp_replace(query, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}', '[email]', 'g'), '\+?\b\d(?:[ .()-]{0,2}\d){8,14}\b', '[phone]', 'g'), 1, 180) AS query FROM events_archive WHERE query IS NOT NULL")
 def _(read):
     return read("events_archive").where("query is not null").select("id", X.redacted(F.col("query")).alias("query"))
