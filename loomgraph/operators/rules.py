@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph_stats import endpoints
+from loomgraph.session import bounded_join, written
 
 
 def glob_regex(glob: str) -> str:
@@ -38,13 +39,13 @@ def violations(nodes: DataFrame, edges: DataFrame, layers: dict[str, str], forbi
 def callee_pairs(edges: DataFrame, callees: DataFrame, type: str, min_callers: int) -> tuple[DataFrame, DataFrame]:
     """(solo, pairs): distinct callers of each callee, and of each pair of callees of one caller.
 
-    Only callees with enough callers enter the self join; a caller's callees are collected once
-    and its pairs made in place, so the number of rows shuffled is that of pairs that occur."""
+    Only callees with enough callers enter the self join on the caller, whose pairs are counted
+    in part before the shuffle. A caller of k such callees makes k (k - 1) / 2 rows there."""
     calls = edges.where(F.col("type") == type).select("source_id", "target_id").distinct().join(callees.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     solo = calls.groupBy("target_id").agg(F.count("*").alias("callers")).where(F.col("callers") >= min_callers)
     kept = calls.join(solo.select("target_id"), "target_id", "left_semi")
     a, b = kept.select("source_id", F.col("target_id").alias("a")), kept.select("source_id", F.col("target_id").alias("b"))
-    pairs = a.join(b, "source_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("joint")).where(F.col("joint") >= min_callers)
+    pairs = a.join(b, (a["source_id"] == b["source_id"]) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("joint")).where(F.col("joint") >= min_callers)
     return solo, pairs
 
 
@@ -102,30 +103,86 @@ def downstream_files(nodes: DataFrame, edges: DataFrame, scope: Column) -> DataF
 def dependent_files(nodes: DataFrame, edges: DataFrame, file: str, limit: int = 200) -> DataFrame:
     """Other files with an edge into the file."""
     into = nodes.where(F.col("file_path") == file).select(F.col("id").alias("target_id"))
-    sources = edges.join(F.broadcast(into) if into.limit(10_001).count() <= 10_000 else into, "target_id", "left_semi").select(F.col("source_id").alias("id"))
+    sources = bounded_join(edges, into, ["target_id"], "left_semi").select(F.col("source_id").alias("id"))
     return nodes.join(sources, "id", "left_semi").where(F.col("file_path") != file).select("file_path").distinct().orderBy("file_path").limit(limit)
 
 
-def impact_findings(nodes: DataFrame, edges: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+def marked_ends(nodes: DataFrame, edges: DataFrame, changed: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own, ends): the nodes of changed and deleted files, and the edges that touch them with
+    both ends' file, qualified name and marks. Nodes are marked once and edges meet the marks
+    once; only what touches a changed or deleted file is kept, written once."""
+    touched = changed.select("file_path", F.lit(True).alias("c"), F.lit(False).alias("d")).unionByName(deleted.select("file_path", F.lit(False).alias("c"), F.lit(True).alias("d")))
+    marks = touched.groupBy("file_path").agg(F.bool_or("c").alias("changed"), F.bool_or("d").alias("deleted"))
+    own = written(bounded_join(nodes.select("id", "file_path", "qualified_name", "kind", "is_test"), marks, ["file_path"]), "own")
+    kinds = edges.where(F.col("type").isin("TESTS", "TESTS_FILE", "CALLS", "USAGE", "IMPORTS", "EMITS", "LISTENS_ON")).select("source_id", "target_id", "type")
+    mark = lambda end: own.select(F.col("id").alias(f"{end}_id"), F.col("changed").alias(f"{end}_changed"), F.col("deleted").alias(f"{end}_deleted"))
+    hit = kinds.join(mark("source"), "source_id", "left").join(mark("target"), "target_id", "left").where("source_changed is not null or target_changed is not null")
+    places = lambda end: nodes.select(F.col("id").alias(f"{end}_id"), F.col("file_path").alias(f"{end}_file"), F.col("qualified_name").alias(f"{end}_name"))
+    ends = hit.fillna(False, ["source_changed", "source_deleted", "target_changed", "target_deleted"]).join(places("source"), "source_id").join(places("target"), "target_id")
+    return own, written(ends, "ends")
+
+
+def impact_findings(nodes: DataFrame, edges: DataFrame, changed: DataFrame, deleted: DataFrame, marked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(category, file_path, symbol): findings on changed and deleted files (frames with
     file_path): tests that cover them, untested files, symbols without callers, references to
     deleted symbols, files not in the graph, and files downstream."""
-    own = nodes.join(changed.select("file_path").distinct(), "file_path", "left_semi")
-    ids = own.select(F.col("id").alias("target_id"), "file_path", "qualified_name")
-    tests = edges.where(F.col("type").isin("TESTS", "TESTS_FILE")).select("source_id", "target_id")
-    covering = tests.join(ids, "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("symbol")), "source_id")
-    covered = covering.select(F.lit("covered_by").alias("category"), "file_path", "symbol").distinct()
-    untested = own.where("coalesce(is_test, 0) = 0").select("file_path").distinct().join(covering.select("file_path"), "file_path", "left_anti").select(F.lit("untested").alias("category"), "file_path", F.lit("").alias("symbol"))
-    called = edges.where(F.col("type").isin("CALLS", "USAGE")).select("target_id")
-    lonely = ids.join(called, "target_id", "left_anti").select(F.lit("no_callers").alias("category"), "file_path", F.col("qualified_name").alias("symbol"))
-    gone = nodes.join(deleted.select("file_path").distinct(), "file_path", "left_semi").select(F.col("id").alias("target_id"), "file_path", "qualified_name")
-    live = edges.where(F.col("type").isin("CALLS", "USAGE", "IMPORTS")).select("source_id", "target_id").join(gone.select("target_id"), "target_id", "left_semi")
-    live = live.join(gone.select(F.col("target_id").alias("source_id")), "source_id", "left_anti").select("target_id")
-    dangling = gone.join(live, "target_id", "left_semi").select(F.lit("deleted_in_use").alias("category"), "file_path", F.col("qualified_name").alias("symbol"))
-    unknown = changed.select("file_path").distinct().join(nodes.select("file_path"), "file_path", "left_anti").select(F.lit("not_indexed").alias("category"), "file_path", F.lit("").alias("symbol"))
-    marked = nodes.join(changed.select("file_path", F.lit(True).alias("_in")).distinct(), "file_path", "left")
-    below = downstream_files(marked, edges, F.coalesce("_in", F.lit(False))).select(F.lit("downstream").alias("category"), "file_path", F.lit("").alias("symbol"))
-    return reduce(DataFrame.unionByName, (covered, untested, lonely, dangling, unknown, below))
+    touched, ends = marked or marked_ends(nodes, edges, changed, deleted)
+    own, gone, c = touched.where("changed"), touched.where("deleted"), F.col
+    named = lambda rows, category, file, symbol: rows.select(F.lit(category).alias("category"), c(file).alias("file_path"), (c(symbol) if symbol else F.lit("")).alias("symbol"))
+    covering = named(ends.where(c("type").isin("TESTS", "TESTS_FILE") & c("target_changed")), "covered_by", "target_file", "source_name").distinct()
+    untested = named(own.where("coalesce(is_test, 0) = 0").select("file_path").distinct().join(covering.select("file_path"), "file_path", "left_anti"), "untested", "file_path", None)
+    called = ends.where(c("type").isin("CALLS", "USAGE") & c("target_changed")).select(c("target_id").alias("id"))
+    lonely = named(own.join(called, "id", "left_anti"), "no_callers", "file_path", "qualified_name")
+    live = ends.where(c("type").isin("CALLS", "USAGE", "IMPORTS") & c("target_deleted") & ~c("source_deleted")).select(c("target_id").alias("id"))
+    dangling = named(gone.join(live, "id", "left_semi"), "deleted_in_use", "file_path", "qualified_name")
+    unknown = named(changed.select("file_path").distinct().join(own.select("file_path"), "file_path", "left_anti"), "not_indexed", "file_path", None)
+    below = named(ends.where(c("type").isin("CALLS", "IMPORTS", "USAGE") & c("source_changed") & ~c("target_changed")), "downstream", "target_file", None).distinct()
+    return reduce(DataFrame.unionByName, (covering, untested, lonely, dangling, unknown, below))
+
+
+#: How sure a finding is, by its category.
+CONFIDENCE = {"deleted_in_use": "high", "covered_by": "high", "broken_rule": "high", "downstream": "medium", "async_dependent": "medium", "broken_invariant": "medium", "untested": "medium", "no_callers": "low", "not_indexed": "low"}
+
+
+def finding_order() -> list[Column]:
+    """Order of findings: the surest first, then by category, file and symbol."""
+    return [F.array_position(F.array(*(F.lit(x) for x in ("high", "medium", "low"))), F.col("confidence")).asc(), F.col("category").asc(), F.col("file_path").asc(), F.col("symbol").asc_nulls_first()]
+
+
+def assessment(nodes: DataFrame, edges: DataFrame, changed: DataFrame, deleted: DataFrame, layers: dict[str, str], forbidden: list[tuple[str, str]], **invariant) -> DataFrame:
+    """(category, file_path, symbol, confidence) of `impact_findings` and, on changed files: files
+    joined to them through a channel, callers that break an invariant, and forbidden imports.
+    `invariant` are the parameters of `invariants`."""
+    marked = marked_ends(nodes, edges, changed, deleted)
+    own, ends = marked
+    c = F.col
+    sides = ends.where(c("type").isin("EMITS", "LISTENS_ON") & c("source_changed")).select(c("target_id"), F.when(c("type") == "EMITS", "LISTENS_ON").otherwise("EMITS").alias("type")).distinct()
+    others = edges.where(c("type").isin("EMITS", "LISTENS_ON")).join(sides, ["target_id", "type"], "left_semi").select(c("source_id").alias("id"))
+    dependent = nodes.join(others, "id", "left_semi").select("file_path").distinct().join(changed.select("file_path"), "file_path", "left_anti")
+    scope = own.where("changed").select("id")
+    found = invariants(nodes, edges, **invariant)
+    broken = broken_invariants(found, edges, scope, type=invariant.get("type", "CALLS")).select("id").distinct().join(nodes, "id")
+    imports = ends.where(c("type").isin("IMPORTS") & c("source_changed")).select(c("source_id"), c("target_id"), c("source_file"), c("source_name"), c("target_file"))
+    target = nodes.where(c("kind").isin("Function", "Method", "Class", "Interface")).select(c("id").alias("target_id"))
+    sided = imports.join(target, "target_id", "left_semi").withColumns({"a": layer_of(c("source_file"), layers), "b": layer_of(c("target_file"), layers)})
+    banned = reduce(Column.__or__, ((c("a") == a) & (c("b") == b) for a, b in forbidden), F.lit(False))
+    part = lambda rows, category, file, symbol: rows.select(F.lit(category).alias("category"), c(file).alias("file_path"), symbol.alias("symbol"))
+    more = [part(dependent, "async_dependent", "file_path", F.lit("")), part(broken, "broken_invariant", "file_path", c("qualified_name")), part(sided.where(banned), "broken_rule", "source_file", c("source_name")).distinct()]
+    rows = reduce(DataFrame.unionByName, (impact_findings(nodes, edges, changed, deleted, marked), *more))
+    sure = F.coalesce(*(F.when(c("category") == k, F.lit(v)) for k, v in CONFIDENCE.items()))
+    return rows.withColumn("confidence", sure)
+
+
+def test_counts(nodes: DataFrame, edges: DataFrame, files: DataFrame, file_types: tuple[str, ...] = ("TESTS_FILE",), symbol_types: tuple[str, ...] = ("TESTS",), file_kinds: tuple[str, ...] = ("File",), symbol_kinds: tuple[str, ...] = ("Function", "Method")) -> DataFrame:
+    """(file_path, level, tests): for each file its test relations as a file, and those of its
+    symbols; sources that are no tests don't count. Zeros are kept."""
+    own = nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").select(F.col("id").alias("target_id"), "file_path", "kind")
+    source = nodes.where("is_test = 1").select(F.col("id").alias("source_id"))
+    rows = edges.select("source_id", "target_id", "type").join(own, "target_id").join(source, "source_id", "left_semi")
+    level = F.when(F.col("type").isin(*file_types) & F.col("kind").isin(*file_kinds), "file").when(F.col("type").isin(*symbol_types) & F.col("kind").isin(*symbol_kinds), "symbol")
+    counted = rows.withColumn("level", level).where("level is not null").groupBy("file_path", "level").agg(F.count("*").alias("tests"))
+    every = files.select("file_path").distinct().withColumn("level", F.explode(F.array(F.lit("file"), F.lit("symbol"))))
+    return every.join(counted, ["file_path", "level"], "left").select("file_path", "level", F.coalesce("tests", F.lit(0).cast("long")).alias("tests"))
 
 
 def fair_selection(rows: DataFrame, category: str, order: list[Column], limit: int, least: int = 5) -> DataFrame:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph_stats import number
+from loomgraph.operators.graph_stats import counts, extensions, hotspots, not_test_path, number
 from loomgraph.operators.search import degrees, in_scope, text_rank, tokens, with_degrees
+from loomgraph.operators.traversal import found_symbol, trace
 
 TEST_TYPES = ("TESTS", "TESTS_FILE")
 
@@ -24,6 +25,18 @@ def find_tests(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFra
     return rows.select("id", level.alias("level"), F.coalesce("direct", "file", F.lit(0).cast("long")).alias("tests"))
 
 
+def find_tests_by_text(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, sources: DataFrame) -> DataFrame:
+    """`find_tests` with a third, weaker level: test files (sources: file_path, content) whose text
+    has the symbol's name as a whole word. Texts are cut into words once and joined by word."""
+    found = find_tests(nodes, edges, wanted)
+    names = found.where("level = 'none'").join(nodes.select("id", "name"), "id").select("id", "name")
+    words = sources.select("file_path", F.explode(F.array_distinct(F.split("content", r"[^\p{L}\p{N}_$]+"))).alias("name")).where("name <> ''")
+    said = words.join(names.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.countDistinct("file_path").alias("files"))
+    by_text = names.join(said, "name").select("id", "files")
+    rows = found.join(by_text, "id", "left")
+    return rows.select("id", F.when(F.col("files").isNotNull(), "text").otherwise(F.col("level")).alias("level"), F.coalesce("files", "tests").alias("tests"))
+
+
 def explain_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out, callers, tested, complexity, risk) of every callable and type."""
     calls = edges.where("type = 'CALLS'")
@@ -37,6 +50,69 @@ def explain_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", fan.alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"), F.coalesce("callers", zero).alias("callers"), F.coalesce("tested", F.lit(False)).alias("tested"), cc.alias("complexity"), risk.alias("risk"))
 
 
+def _production(nodes: DataFrame, include_tests: bool) -> DataFrame:
+    return nodes if include_tests else nodes.where((F.coalesce("is_test", F.lit(0)) == 0) & not_test_path())
+
+
+def hotspot_report(nodes: DataFrame, edges: DataFrame, limit: int = 20, include_tests: bool = False, min_lines: int = 10) -> DataFrame:
+    """(part, name, value): the hottest, most complex and most coupled symbols, the largest modules
+    and classes, and averages; `limit` of each, ties by name."""
+    rows = _production(nodes, include_tests)
+    c = F.col
+    callable_ = rows.where(c("kind").isin("Function", "Method"))
+
+    def part(found: DataFrame, name: str, label: str, value: Column) -> DataFrame:
+        top = found.select(F.lit(name).alias("part"), c(label).alias("name"), value.cast("double").alias("value")).where("value is not null")
+        return top.orderBy(c("value").desc(), "name").limit(limit)
+
+    into = edges.groupBy(c("target_id").alias("id")).agg(F.count("*").alias("fan_in"))
+    coupled = rows.where(c("kind").isin("Function", "Method", "Class", "Module")).join(into, "id")
+    complexity, lines = number("cyclomaticComplexity"), number("lineCount")
+    averages = callable_.agg(F.count("*").cast("double").alias("functions"), F.round(F.avg(complexity), 2).alias("avg_complexity"), F.round(F.avg(lines), 2).alias("avg_lines"))
+    stats = averages.select(F.lit("stats").alias("part"), F.explode(F.create_map(*(x for name in averages.columns for x in (F.lit(name), c(name))))).alias("name", "value"))
+    parts = [
+        hotspots(nodes, edges, limit, include_tests).select(F.lit("hotspot").alias("part"), c("qualified_name").alias("name"), c("score").cast("double").alias("value")),
+        part(callable_, "complex", "qualified_name", complexity),
+        part(coupled, "coupled", "qualified_name", c("fan_in")),
+        part(rows.where(c("kind").isin("Module", "Class") & (lines > min_lines)), "large", "qualified_name", lines),
+        stats,
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def architecture(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
+    """(part, name, n): totals, files by extension, nodes by kind, edges by type, entry points (their
+    place) and hotspots (their callers)."""
+    c = F.col
+    one = lambda rows, part, name, n: rows.select(F.lit(part).alias("part"), name.alias("name"), n.cast("long").alias("n"))
+    places = [(c("kind") == "Route").desc(), c("file_path").rlike("(^|/)index[.]").desc(), c("file_path"), c("start_line"), c("id")]
+    entries = nodes.where(c("is_entry_point") == 1).where(c("kind").isin("Function", "Method", "Class", "Module", "Route") & (c("file_path") != "")).orderBy(*places).limit(limit)
+    parts = [
+        one(nodes.agg(F.count("*").alias("n")), "total", F.lit("nodes"), c("n")),
+        one(edges.agg(F.count("*").alias("n")), "total", F.lit("edges"), c("n")),
+        one(extensions(nodes), "extension", c("extension"), c("files")),
+        one(counts(nodes, "kind"), "kind", c("kind"), c("n")),
+        one(counts(edges, "type"), "type", c("type"), c("n")),
+        one(entries, "entry", c("qualified_name"), c("start_line")),
+        one(hotspots(nodes, edges, limit), "hotspot", c("qualified_name"), c("fan_in")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def investigate(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int = 2, walk: DataFrame | None = None) -> DataFrame:
+    """(layer, name, value) of one symbol: the best matches of its name, its metrics, what it
+    reaches and is reached from (the hop), and its tests."""
+    c = F.col
+    symbol = found_symbol(nodes, name).select("id")
+    word = (tokens(name.rsplit(".", 1)[-1]) or [name.lower()])[0]
+    matches = text_rank(nodes, edges, word).orderBy(c("score").desc(), "name", "id").limit(3).select(F.lit("search").alias("layer"), c("qualified_name").alias("name"), c("score").cast("long").alias("value"))
+    about = explain_symbols(nodes, edges).join(symbol, "id", "left_semi").join(nodes.select("id", "qualified_name"), "id")
+    metrics = about.select(F.lit("explain").alias("layer"), F.explode(F.create_map(*(x for m in ("fan_in", "fan_out", "callers") for x in (F.concat("qualified_name", F.lit(f":{m}")), c(m))))).alias("name", "value"))
+    traced = trace(nodes, edges, name, "both", "auto", max_depth, walk=walk).select(c("direction").alias("layer"), c("qualified_name").alias("name"), c("hop").cast("long").alias("value"))
+    tested = find_tests(nodes, edges, symbol).join(nodes.select("id", "qualified_name"), "id").select(F.concat(F.lit("tests:"), "level").alias("layer"), c("qualified_name").alias("name"), c("tests").alias("value"))
+    return reduce(DataFrame.unionByName, (matches, metrics, traced, tested))
+
+
 def edge_context(edges: DataFrame, source: int, target: int, around: int = 10) -> DataFrame:
     """(id, role): the direct edges of a pair and up to `around` further edges out of the source
     and into the target, lowest ids first."""

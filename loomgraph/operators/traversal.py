@@ -10,56 +10,129 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph_stats import tier
 from loomgraph.session import written
 
 DIRECTIONS = ("inbound", "outbound", "both")
 MODES = {"calls": ("CALLS", "HTTP_CALLS", "ASYNC_CALLS"), "references": ("CALLS", "USAGE", "READS", "WRITES"), "tests": ("TESTS", "TESTS_FILE")}
 
 
+#: Ids up to which a frontier is sent to every executor (32 bytes each); a larger one is shuffled.
+FRONTIER_IDS = 500_000
+
+
 def steps(edges: DataFrame, direction: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(at, to, edge): one row per edge and way in which it may be walked."""
+    """(at, to, type, way, edge): one row per edge and way in which it may be walked."""
     if direction not in DIRECTIONS:
         raise ValueError(direction)
     rows = edges.where(F.col("type").isin(*types)) if types else edges
-    out = rows.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.col("id").alias("edge"))
-    back = rows.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"), F.col("id").alias("edge"))
-    return {"outbound": out, "inbound": back, "both": out.unionByName(back)}[direction]
+    ends = {"outbound": ("source_id", "target_id"), "inbound": ("target_id", "source_id")}
+    ways = [rows.select(F.col(at).alias("at"), F.col(to).alias("to"), "type", F.lit(way).alias("way"), F.col("id").alias("edge")) for way, (at, to) in ends.items() if direction in (way, "both")]
+    return reduce(DataFrame.unionByName, ways)
+
+
+def prepared(edges: DataFrame) -> DataFrame:
+    """All steps of a graph, written once in the order of `at`: a hop then reads only the row
+    groups that its frontier can lie in. For graphs that are walked more than once."""
+    walk = steps(edges, "both")
+    return written(walk.repartitionByRange("at").sortWithinPartitions("at"), "walk")
+
+
+def _allowed(walk: DataFrame, direction: str, types: tuple[str, ...] | None) -> DataFrame:
+    if direction not in DIRECTIONS:
+        raise ValueError(direction)
+    rows = walk.where(F.col("type").isin(*types)) if types else walk
+    return rows if direction == "both" else rows.where(F.col("way") == direction)
 
 
-def bfs(edges: DataFrame, start: DataFrame, direction: str = "outbound", types: tuple[str, ...] | None = None, max_depth: int = 3) -> DataFrame:
+def bfs(edges: DataFrame, start: DataFrame, direction: str = "outbound", types: tuple[str, ...] | None = None, max_depth: int = 3, max_results: int | None = None, walk: DataFrame | None = None) -> DataFrame:
     """(id, hop): the least number of steps from any start node (a frame with id); starts have
-    hop 0. Every level joins the new frontier with the steps and drops what was visited."""
-    walk = steps(edges, direction, types).select("at", "to").distinct()
-    if max_depth > 1:
-        walk = written(walk, "steps")
+    hop 0. Every level joins the new frontier with the steps and drops what was visited.
+    `max_results` ends the walk after the level that reaches so many nodes and keeps the nearest,
+    of equal hops those of least id. `walk` is the graph's `prepared` steps; without it the
+    edges themselves are read in each level."""
+    allowed = _allowed(steps(edges, direction, types) if walk is None else walk, direction, types).select("at", "to")
     seen = written(start.select("id").distinct().withColumn("hop", F.lit(0)), "bfs")
+    level = seen
+    reached = None
     for hop in range(1, max_depth + 1):
-        frontier = seen.where(F.col("hop") == hop - 1)
-        found = frontier.join(walk, frontier["id"] == walk["at"]).select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        found = written(found.withColumn("hop", F.lit(hop)), "bfs")
-        if found.isEmpty():
+        size = level.agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+        reached = size["n"] if reached is None else reached + size["n"]
+        if not size["n"] or (max_results is not None and reached - 1 >= max_results):
             break
-        seen = seen.unionByName(found)
-    return seen
+        ids = level.select(F.col("id").alias("at"))
+        near = allowed.where(F.col("at").between(size["a"], size["b"])).join(F.broadcast(ids) if size["n"] <= FRONTIER_IDS else ids, "at")
+        found = near.select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        level = written(found.withColumn("hop", F.lit(hop)), "bfs")
+        seen = seen.unionByName(level)
+    if max_results is None:
+        return seen
+    return seen.where("hop = 0").unionByName(seen.where("hop > 0").orderBy("hop", "id").limit(max_results))
+
+
+def walked(edges: DataFrame, nodes: DataFrame, reached: DataFrame, direction: str = "outbound", types: tuple[str, ...] | None = None, max_depth: int = 3, walk: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, type, from_name, to_name, occurrences, hop): the edges a walk has
+    passed, those out of every node that it went on from. Parallel edges are one row; `hop` is
+    that of the nearer end. Edges to nodes that aren't stored are left out."""
+    allowed = _allowed(steps(edges, direction, types) if walk is None else walk, direction, types)
+    from_ = reached.where(F.col("hop") < max_depth).select(F.col("id").alias("at"), "hop")
+    passed = allowed.join(from_, "at")
+    out = F.col("way") == "outbound"
+    ends = passed.select(F.when(out, F.col("at")).otherwise(F.col("to")).alias("source_id"), F.when(out, F.col("to")).otherwise(F.col("at")).alias("target_id"), "type", "edge", "hop")
+    counted = ends.groupBy("source_id", "target_id", "type").agg(F.countDistinct("edge").alias("occurrences"), F.min("hop").alias("hop"))
+    names = lambda end, name: nodes.select(F.col("id").alias(end), F.col("name").alias(name))
+    return counted.join(names("source_id", "from_name"), "source_id").join(names("target_id", "to_name"), "target_id").select("source_id", "target_id", "type", "from_name", "to_name", "occurrences", "hop")
 
 
 def risk(hop: Column) -> Column:
     return F.when(hop == 1, "CRITICAL").when(hop == 2, "HIGH").when(hop == 3, "MEDIUM").otherwise("LOW")
 
 
-def trace(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "both", mode: str = "calls", max_depth: int = 3, include_tests: bool = False) -> DataFrame:
-    """(id, qualified_name, direction, hop, risk) of what a symbol reaches and is reached from.
-    The symbol is found by qualified name, else by name in any case."""
+def found_symbol(nodes: DataFrame, name: str) -> DataFrame:
+    """The nodes a name stands for: by qualified name, else by name in any case."""
     exact = nodes.where(F.col("qualified_name") == name)
-    start = exact if not exact.isEmpty() else nodes.where((F.lower("name") == name.lower()) & F.col("kind").isin("Function", "Method", "Class"))
+    return exact if not exact.isEmpty() else nodes.where((F.lower("name") == name.lower()) & F.col("kind").isin("Function", "Method", "Class"))
+
+
+def trace(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "both", mode: str = "calls", max_depth: int = 3, include_tests: bool = False, walk: DataFrame | None = None) -> DataFrame:
+    """(id, qualified_name, direction, hop, risk) of what a symbol reaches and is reached from.
+    Mode 'auto' follows calls, and references where there is no call."""
+    start = found_symbol(nodes, name)
     ways = ("inbound", "outbound") if direction == "both" else (direction,)
-    reached = reduce(DataFrame.unionByName, (bfs(edges, start, way, MODES[mode], max_depth).where("hop > 0").withColumn("direction", F.lit(way)) for way in ways))
+
+    def reach(mode: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, (bfs(edges, start, way, MODES[mode], max_depth, walk=walk).where("hop > 0").withColumn("direction", F.lit(way)) for way in ways))
+
+    reached = reach("calls" if mode == "auto" else mode)
+    if mode == "auto" and reached.isEmpty():
+        reached = reach("references")
     rows = reached.join(nodes, "id")
     if not include_tests:
         rows = rows.where((F.coalesce("is_test", F.lit(0)) == 0) & ~F.col("file_path").rlike("(^|/)(tests?|__tests__)/|[.](test|spec)[.]"))
     return rows.select("id", "qualified_name", "direction", "hop", risk(F.col("hop")).alias("risk"))
 
 
+def relations(passed: DataFrame) -> DataFrame:
+    """(from_name, to_name, type, occurrences): the edges of a walk as relations of names."""
+    return passed.groupBy("from_name", "to_name", "type").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def trace_entries(traced: DataFrame, nodes: DataFrame, passed: DataFrame) -> DataFrame:
+    """(id, name, direction, hop, types, kind): a trace's nodes with the types of the walk's edges
+    that touch their name, and whether one of these is a call."""
+    ends = passed.select("type", F.explode(F.array_distinct(F.array("from_name", "to_name"))).alias("name")).groupBy("name").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    rows = traced.join(nodes.select("id", "name"), "id").join(ends, "name", "left")
+    types = F.coalesce("types", F.array().cast("array<string>"))
+    return rows.select("id", "name", "direction", "hop", types.alias("types"), F.when(F.array_contains(types, "CALLS"), "direct_call").otherwise("reference").alias("kind"))
+
+
+def path_evidence(path: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The hops of a path (hop, edge, ...) with the number of evidence rows (edge_id, strength),
+    the greatest strength and its tier; 0, null and null without evidence."""
+    per = evidence.groupBy(F.col("edge_id").alias("edge")).agg(F.count("*").alias("evidence"), F.max("strength").alias("strength"))
+    return path.join(per, "edge", "left").select(*path.columns, F.coalesce("evidence", F.lit(0).cast("long")).alias("evidence"), "strength", F.when(F.col("strength").isNotNull(), tier(F.col("strength"))).alias("tier"))
+
+
 def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int = 3, types: tuple[str, ...] = ("CALLS",)) -> DataFrame:
     """(hop, edge, source_id, target_id) of the shortest directed path, of several the one with
     the least edge ids from the start; no rows where there is none within `max_depth`."""
@@ -142,7 +215,7 @@ def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
     cut = np.searchsorted(a[order], np.arange(len(ids) + 1))
     x = ids.astype(np.uint32)
     for _ in range(2):
-        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)  # a public mixing constant, fixed: it decides the order
     x ^= x >> np.uint32(16)
     label = np.arange(len(ids))
     for _ in range(30):

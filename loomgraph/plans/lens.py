@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.traversal import prepared
 from loomgraph.session import exists, written
 
 PROJECT = "lens"
@@ -111,6 +112,17 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _STORED[key]
 
 
+_WALKS: dict[tuple[str, str], DataFrame] = {}
+
+
+def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of the stored graph in the order of their nodes, written once like the graph."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WALKS or not all(exists(spark, f) for f in _WALKS[key].inputFiles()[:1]):
+        _WALKS[key] = prepared(stored(spark, sf_dir)[1])
+    return _WALKS[key]
+
+
 def with_few_calls(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     """`edges` with the Order-CALLS->Part edges of large quantities only. With all of them every
     part has callers; only the search for unreferenced symbols (OP-32, OP-150) uses this view."""

@@ -26,13 +26,15 @@ class Registry:
 
         return add
 
-    def graph(self, name: str, sql: str | None = None, few_calls: bool = False):
+    def graph(self, name: str, sql: str | None = None, few_calls: bool = False, walks: bool = False):
         """A query given (nodes, edges) of the graph lens; `sql` may use g_nodes and g_edges.
-        `few_calls`: see `lens.with_few_calls`."""
+        `few_calls`: see `lens.with_few_calls`; with `walks` it is given the graph's steps too."""
 
         def add(f):
             def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 nodes, edges = lens.stored(spark, sf_dir)
+                if walks:
+                    return f(nodes, edges, lens.walk(spark, sf_dir))
                 return f(nodes, lens.with_few_calls(spark, sf_dir, edges) if few_calls else edges)
 
             shown = lens.FEW_CALLS_SQL if few_calls else lens.LENS_SQL

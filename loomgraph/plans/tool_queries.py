@@ -19,6 +19,46 @@ def _(nodes, edges):
     return T.find_tests(nodes, edges, nodes.where("kind in ('Function', 'Class')"))
 
 
+@R.table("op151_tests_by_text", """WITH w AS (SELECT DISTINCT id, name FROM nodes WHERE name IS NOT NULL), s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_$]+')) AS name FROM documents), k AS (SELECT name, count(*) AS n FROM s WHERE name IN (SELECT name FROM w) GROUP BY name)
+SELECT id, CASE WHEN id % 5 = 0 THEN 'symbol' WHEN n IS NULL THEN 'none' ELSE 'text' END AS level, CASE WHEN id % 5 = 0 THEN 2 ELSE coalesce(n, 0) END AS tests FROM w LEFT JOIN k USING (name)""")
+def _(read):
+    nodes = read("nodes").where("name is not null").select("id", "name", F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_path"))
+    edges = nodes.where("id % 5 = 0").select(F.explode(F.array(-F.col("id") - 1, -F.col("id") - 2)).alias("source_id"), F.col("id").alias("target_id"), F.lit("TESTS").alias("type"))
+    texts = read("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content"))
+    return T.find_tests_by_text(nodes, edges, nodes, texts)
+
+
+_PROD = "is_test = 0 AND file_path NOT LIKE 'tests/%' AND file_path NOT LIKE '%/tests/%'"
+_HOT = f"""fan AS (SELECT e.target_id AS id, count(*) AS fan_in, count(DISTINCT nullif(s.qualified_name, '')) AS callers FROM g_edges e JOIN g_nodes s ON s.id = source_id WHERE type = 'CALLS' GROUP BY 1),
+hot AS (SELECT qualified_name, fan_in, round(fan_in * 0.4 + callers * 0.6, 6)::DOUBLE AS score, id FROM g_nodes JOIN fan USING (id) WHERE kind IN ('Function', 'Method') AND {_PROD} ORDER BY score DESC, qualified_name, id LIMIT 20)"""
+
+
+@R.graph("op158_hotspot_report", f""", {_HOT}, m AS (SELECT *, (properties->>'cyclomaticComplexity')::DOUBLE AS cc, (properties->>'lineCount')::DOUBLE AS lines FROM g_nodes WHERE {_PROD}), f AS (SELECT * FROM m WHERE kind IN ('Function', 'Method'))
+SELECT 'hotspot' AS part, qualified_name AS name, score AS value FROM hot UNION ALL SELECT * FROM (SELECT 'complex', qualified_name, cc FROM f WHERE cc IS NOT NULL ORDER BY cc DESC, qualified_name LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'coupled', qualified_name, count(*)::DOUBLE FROM m JOIN g_edges e ON e.target_id = m.id WHERE kind IN ('Function', 'Method', 'Class', 'Module') GROUP BY m.id, qualified_name ORDER BY count(*) DESC, qualified_name LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'large', qualified_name, lines FROM m WHERE kind IN ('Module', 'Class') AND lines > 10 ORDER BY lines DESC, qualified_name LIMIT 20)
+UNION ALL SELECT 'stats', 'functions', count(*)::DOUBLE FROM f UNION ALL SELECT 'stats', 'avg_complexity', round(avg(cc), 2) FROM f UNION ALL SELECT 'stats', 'avg_lines', round(avg(lines), 2) FROM f""")
+def _(nodes, edges):
+    return T.hotspot_report(nodes, edges)
+
+
+@R.graph("op159_architecture", f""", {_HOT} SELECT 'total' AS part, 'nodes' AS name, count(*) AS n FROM g_nodes UNION ALL SELECT 'total', 'edges', count(*) FROM g_edges UNION ALL SELECT 'extension', regexp_extract(file_path, '[.]([A-Za-z0-9]+)$', 1), count(DISTINCT file_path) FROM g_nodes GROUP BY 2
+UNION ALL SELECT 'kind', kind, count(*) FROM g_nodes GROUP BY kind UNION ALL SELECT 'type', type, count(*) FROM g_edges GROUP BY type
+UNION ALL SELECT * FROM (SELECT 'entry', qualified_name, start_line::BIGINT FROM g_nodes WHERE is_entry_point = 1 AND kind IN ('Function', 'Method', 'Class', 'Module', 'Route') AND file_path <> '' ORDER BY (kind = 'Route')::INT DESC, regexp_matches(file_path, '(^|/)index[.]')::INT DESC, file_path, start_line, id LIMIT 20) UNION ALL SELECT 'hotspot', qualified_name, fan_in FROM hot""")
+def _(nodes, edges):
+    return T.architecture(nodes, edges)
+
+
+@R.graph("op163_investigate", f""", i_all AS (SELECT {PART + 12}::BIGINT AS id, 0 AS hop UNION SELECT e.source_id, hop + 1 FROM i_all r JOIN g_edges e ON e.target_id = r.id WHERE type = 'CALLS' AND hop < 2), o_all AS (SELECT {PART + 12}::BIGINT AS id, 0 AS hop UNION SELECT e.target_id, hop + 1 FROM o_all r JOIN g_edges e ON e.source_id = r.id WHERE type = 'CALLS' AND hop < 2),
+way AS (SELECT 'inbound' AS layer, id, min(hop) AS hop FROM i_all GROUP BY id UNION ALL SELECT 'outbound', id, min(hop) FROM o_all GROUP BY id), n AS (SELECT * FROM g_nodes WHERE id = {PART + 12})
+SELECT way.layer, qualified_name AS name, hop::BIGINT AS value FROM way JOIN g_nodes USING (id) WHERE hop > 0 AND is_test = 0 AND NOT regexp_matches(file_path, '(^|/)(tests?|__tests__)/|[.](test|spec)[.]')
+UNION ALL SELECT 'explain', qualified_name || ':fan_in', (SELECT count(*) FROM g_edges WHERE type = 'CALLS' AND target_id = n.id) FROM n UNION ALL SELECT 'explain', qualified_name || ':fan_out', (SELECT count(*) FROM g_edges WHERE type = 'CALLS' AND source_id = n.id) FROM n UNION ALL SELECT 'explain', qualified_name || ':callers', (SELECT count(DISTINCT source_id) FROM g_edges WHERE type = 'CALLS' AND target_id = n.id) FROM n
+UNION ALL SELECT 'tests:symbol', qualified_name, (SELECT count(DISTINCT source_id) FROM g_edges WHERE type = 'TESTS' AND target_id = n.id) FROM n""", walks=True)
+def _(nodes, edges, walk):
+    name = nodes.where(F.col("id") == PART + 12).select("qualified_name").first()[0]
+    return T.investigate(nodes, edges, name, 2, walk).where("layer <> 'search'")  # ranked search is op90
+
+
 @R.graph("op157_explain_symbols", ", i AS (SELECT target_id AS id, count(*) AS fan_in, count(DISTINCT source_id) AS callers FROM g_edges WHERE type = 'CALLS' GROUP BY 1), o AS (SELECT source_id AS id, count(*) AS fan_out FROM g_edges WHERE type = 'CALLS' GROUP BY 1), r AS (SELECT n.id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(callers, 0) AS callers, n.id IN (SELECT target_id FROM g_edges WHERE type IN ('TESTS', 'TESTS_FILE')) AS tested, (properties->>'cyclomaticComplexity')::DOUBLE AS complexity FROM g_nodes n LEFT JOIN i USING (id) LEFT JOIN o USING (id) WHERE kind IN ('Function', 'Method', 'Class', 'Interface')) SELECT *, CASE WHEN fan_in >= 20 OR complexity > 100 THEN 'high' WHEN fan_in >= 10 OR complexity > 50 THEN 'medium' ELSE 'low' END AS risk FROM r")
 def _(nodes, edges):
     return T.explain_symbols(nodes, edges)
