@@ -1,12 +1,13 @@
 """Full history of changing entity attributes, from periodic writes (problem 2).
 
-Method: an event-sourced change log per attribute, in which each attribute has its own
+Method: an event-sourced change log per attribute, from which each attribute gets its own
 intervals; the versions of an entity come from splitting at the union of all attributes'
 boundaries and coalescing equal neighbours.
 
-After the writes are shuffled by entity, log, split and coalescing run in that
-partitioning. An entity has at most one write per snapshot of its project once repeated
-writes are dropped, which happens before that shuffle.
+Rows are shuffled once, by entity: repeated writes of a snapshot are dropped within each task
+before that, so an entity that holds a third of all rows sends at most one row per task and
+snapshot; log, intervals, split and coalescing run in that partitioning. An entity then has at
+most one write per snapshot of its project.
 
 Defined cases: writes with a null project, entity or snapshot, or of a snapshot outside the
 sequence, don't count. Of several writes of an entity in one snapshot the newest updated_at
@@ -20,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from loomgraph.functions.json_text import canonical_json
-from loomgraph.operators.snapshots import ready_sequence
+from loomgraph.operators.snapshots import last_of_runs, ready_sequence
 from loomgraph.session import bounded_join
 
 ATTRIBUTES = ("entity_class", "name", "qualified_name", "normalized_signature", "structural_context", "properties_json")
@@ -36,9 +36,13 @@ def effective_writes(writes: DataFrame, sequence: DataFrame, attributes: tuple[s
     """(project, semantic_id, seq, snapshot, at, closing, attributes) of the writes that count."""
     rows = writes.where("semantic_id is not null").select(*ENTITY, F.col("last_seen_snapshot").alias("snapshot_id"), "id", "updated_at", F.col("valid_to").isNotNull().alias("closing"), *attributes)
     placed = bounded_join(rows, sequence.select("project", "snapshot_id", "seq", F.col("valid_from").alias("at")), ["project", "snapshot_id"])
-    newest = Window.partitionBy(*ENTITY, "seq").orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc_nulls_last())
-    kept = placed.withColumn("rank", F.row_number().over(newest)).where("rank = 1")
-    return kept.select(*ENTITY, "seq", F.col("snapshot_id").alias("snapshot"), "at", "closing", *(canonical_json(F.col(a)).alias(a) if a in json_attributes else F.col(a) for a in attributes))
+    key = (*ENTITY, "seq")
+    once = last_of_runs(key, tuple(a for a in attributes if a in json_attributes))
+    in_task = placed.sortWithinPartitions(*key, F.col("updated_at").asc_nulls_first(), F.col("id").asc_nulls_first()).mapInArrow(once, placed.schema)
+    newest = Window.partitionBy(*key).orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc_nulls_last())
+    # Python goes before the shuffle: after it, what it returns would be shuffled again
+    kept = in_task.repartition(*ENTITY).withColumn("rank", F.row_number().over(newest)).where("rank = 1")
+    return kept.select(*key, F.col("snapshot_id").alias("snapshot"), "at", "closing", *attributes)
 
 
 def attribute_log(writes: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
@@ -59,33 +63,35 @@ def attribute_log(writes: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -
 
 
 def attribute_intervals(log: DataFrame) -> DataFrame:
-    """Each attribute's own intervals: value, start and end snapshot (null while it holds)."""
+    """Each attribute's own intervals: value, start and end (null while it holds) as snapshot,
+    time and number in the sequence."""
     own = Window.partitionBy(*ENTITY, "attribute").orderBy("seq")
-    rows = log.select("*", F.lead("snapshot").over(own).alias("end_snapshot"), F.lead("at").over(own).alias("end_at"))
-    return rows.where("value is not null").select(*ENTITY, "attribute", F.col("value.v").alias("value"), F.col("snapshot").alias("start_snapshot"), "end_snapshot", F.col("at").alias("start_at"), "end_at")
+    rows = log.select("*", *(F.lead(c).over(own).alias(f"end_{c}") for c in ("snapshot", "at", "seq")))
+    return rows.where("value is not null").select(*ENTITY, "attribute", F.col("value.v").alias("value"), *(F.col(c).alias(f"start_{c}") for c in ("snapshot", "at", "seq")), "end_snapshot", "end_at", "end_seq")
 
 
-def combine(log: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+def combine(intervals: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """Versions: the intervals of all attributes split at the union of their boundaries, each
-    piece with the value every attribute has in it, equal neighbours coalesced."""
-    at_boundary = log.groupBy(*ENTITY, "seq").agg(
-        F.first("snapshot").alias("snapshot"),
-        F.first("at").alias("at"),
-        F.bool_or("opens").alias("opens"),
-        F.bool_or("closes").alias("closes"),
-        *(F.first(F.when(F.col("attribute") == a, F.col("value")), ignorenulls=True).alias(a) for a in attributes),
-    )
+    piece with the value every attribute has in it, equal neighbours coalesced. A piece in which
+    no attribute holds is no version and ends the one before it."""
+    ends = F.array(*(F.struct(F.col(f"{end}_seq").alias("seq"), F.col(f"{end}_snapshot").alias("snapshot"), F.col(f"{end}_at").alias("at"), F.lit(end == "start").alias("starts")) for end in ("start", "end")))
+    marks = intervals.select(*ENTITY, "attribute", "value", F.explode(ends).alias("e")).where("e.seq is not null").select(*ENTITY, "attribute", "value", "e.*")
+    # at a boundary an attribute has a new value (held in a struct), or ends (an empty struct), or goes on (null)
+    value = lambda a: F.max(F.when(F.col("attribute") == a, F.struct(F.when(F.col("starts"), F.struct(F.col("value").alias("v"))).alias("held")))).alias(a)
+    at_boundary = marks.groupBy(*ENTITY, "seq").agg(F.first("snapshot").alias("snapshot"), F.first("at").alias("at"), *(value(a) for a in attributes))
     so_far = _in_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    split = at_boundary.select(*ENTITY, "seq", "snapshot", "at", "opens", "closes", *(F.last(a, ignorenulls=True).over(so_far)["v"].alias(a) for a in attributes))
-    same = ~F.col("opens") & ~F.col("closes")
+    split = at_boundary.select(*ENTITY, "seq", "snapshot", "at", *(F.last(a, ignorenulls=True).over(so_far)["held"].alias(a) for a in attributes))
+    same = F.lit(True)
     for a in attributes:
         same = same & F.col(a).eqNullSafe(F.lag(a).over(_in_entity()))
-    pieces = split.select("*", same.alias("same")).where("not same")
+    pieces = split.select("*", (same & F.lag("seq").over(_in_entity()).isNotNull()).alias("same")).where("not same")
     ended = pieces.select("*", F.lead("snapshot").over(_in_entity()).alias("end_snapshot"), F.lead("at").over(_in_entity()).alias("end_at"))
-    return ended.where("not closes").select(*ENTITY, *attributes, F.col("snapshot").alias("start_snapshot"), "end_snapshot", F.col("at").alias("valid_from"), F.col("end_at").alias("valid_to"))
+    holds = F.coalesce(*(F.when(F.col(a).isNotNull(), F.lit(True)) for a in attributes), F.lit(False))
+    return ended.where(holds).select(*ENTITY, *(F.col(f"{a}.v").alias(a) for a in attributes), F.col("snapshot").alias("start_snapshot"), "end_snapshot", F.col("at").alias("valid_from"), F.col("end_at").alias("valid_to"))
 
 
 def entity_history(entities: DataFrame, snapshots: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """(project, semantic_id, attributes, start_snapshot, end_snapshot, valid_from, valid_to):
     every version of every entity; the end is null while the version is open."""
-    return combine(attribute_log(effective_writes(entities, ready_sequence(snapshots), attributes), attributes), attributes)
+    log = attribute_log(effective_writes(entities, ready_sequence(snapshots), attributes), attributes)
+    return combine(attribute_intervals(log), attributes)
