@@ -12,6 +12,10 @@ Edges are (source_id, target_id, type, resolution, confidence, line).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +26,13 @@ CALLABLE = ("Function", "Method")
 TYPES = ("Class", "Interface", "Type", "Enum")
 SYMBOLS = (*CALLABLE, *TYPES, "Variable", "Macro")
 HEADER = r"[.](h|hh|hpp|hxx)$"
-# Patterns and names that decide what counts as a registry, an event or a route.
-REGISTRY = r"(?i)\b(?:const|let)\s+([A-Za-z_$][\w$]*(?:handlers|registry|dispatch|map)[\w$]*)\s*=\s*\{([^}]*)\}"
-REGISTRY_ENTRY = r"(?:^|[,\n])\s*(?:[\"'][^\"']+[\"']|[A-Za-z_$][\w$]*)\s*:\s*([A-Za-z_$][\w$]*)"
-CHANNEL_CALLS = {"EMITS": ("emit", "send", "publish", "broadcast"), "LISTENS_ON": ("on", "once", "subscribe", "addListener")}
+# Words within a name that make an object literal a registry, verbs of events, and
+# names that decide what counts as a route.
+REGISTRY_WORDS = ("handlers", "registry", "dispatch", "map")
+CHANNEL_VERBS = {
+    "emit": "EMITS", "send": "EMITS", "publish": "EMITS", "broadcast": "EMITS",
+    "on": "LISTENS_ON", "once": "LISTENS_ON", "subscribe": "LISTENS_ON", "addListener": "LISTENS_ON",
+}
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 ROUTE_FILE = r"^(?:.*/)?(?:src/)?app/(.+?)/(route|page)[.](ts|tsx|js|jsx)$"
 
@@ -286,12 +293,15 @@ def routes(files: DataFrame) -> DataFrame:
     return files.where(path != "").select(F.col("path").alias("file"), url.alias("url"), F.when(methods == "", "ALL").otherwise(methods).alias("methods"))
 
 
-def channels(files: DataFrame) -> DataFrame:
-    """(file, channel, type, line): events that sources emit or listen on, first line of each."""
+def channels(files: DataFrame, verbs: dict[str, str] = CHANNEL_VERBS) -> DataFrame:
+    """(file, channel, type, line): events that sources emit or listen on, first line of each:
+    method calls whose name is one of the verbs and whose first argument is a quoted text."""
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    calls = {t: rf"[.](?:{'|'.join(names)})\s*\(\s*['\"]([^'\"]+)['\"]" for t, names in CHANNEL_CALLS.items()}
-    found = [lines.select("file", "at", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("channel"), F.lit(t).alias("type")) for t, p in calls.items()]
-    return found[0].unionByName(found[1]).groupBy("file", "channel", "type").agg((F.min("at") + 1).alias("line"))
+    any_call = F.lit(r"[.](\w+)\s*[(]\s*[\"']([^\"']+)[\"']")
+    calls = F.arrays_zip(F.regexp_extract_all("text", any_call, F.lit(1)).alias("verb"), F.regexp_extract_all("text", any_call, F.lit(2)).alias("channel"))
+    type_of = F.create_map(*(F.lit(x) for pair in verbs.items() for x in pair))
+    found = lines.select("file", "at", F.explode(calls).alias("c")).select("file", "at", "c.channel", F.try_element_at(type_of, F.col("c.verb")).alias("type"))
+    return found.where("type is not null").groupBy("file", "channel", "type").agg((F.min("at") + 1).alias("line"))
 
 
 def observed_channels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -314,11 +324,59 @@ def decorator_edges(decorators: DataFrame, nodes: DataFrame) -> DataFrame:
     return _edge(rows.join(nodes.select(F.col("qualified_name").alias("target"), F.col("id").alias("target_id")), "target"), "DECORATES", "decorator", 0.8)
 
 
+_ASSIGNED = re.compile(r"\b(?:const|let)\s+([\w$]+)[^={};]*=\s*(?=\{)")
+_KEY = re.compile(r"\s*(?:[\w$]+|\"[^\"]+\"|'[^']+')\s*:\s*([A-Za-z_$][\w$]*)")
+
+
+def object_entries(text: str, start: int) -> Iterator[str]:
+    """The entries of the object literal that opens at `start`, as texts without comments: cut at
+    the commas of its own level, whatever braces, brackets and quotes lie within."""
+    level, at, entry = 0, start, []
+    while at < len(text):
+        sign = text[at]
+        if text.startswith("//", at):
+            at = (text.find("\n", at) + len(text) + 1) % (len(text) + 1)  # the end where there is no line end
+            continue
+        if text.startswith("/*", at):
+            end = text.find("*/", at)
+            at = len(text) if end < 0 else end + 2
+            continue
+        if sign in "\"'`":
+            end = at + 1
+            while end < len(text) and text[end] != sign:
+                end += 2 if text[end] == "\\" else 1
+            entry.append(text[at : end + 1])
+            at = end + 1
+            continue
+        level += (sign in "{[(") - (sign in "}])")
+        if level == 0 or (level == 1 and sign == ","):
+            yield "".join(entry)
+            entry = []
+            if level == 0:
+                return
+        elif at > start:
+            entry.append(sign)
+        at += 1
+
+
+def registries(text: str, words: tuple[str, ...] = REGISTRY_WORDS) -> list[tuple[str, str]]:
+    """(registry, name) of the names that object literals hold under their keys, for literals
+    whose own name has one of the words after its first letter."""
+    out = []
+    for found in _ASSIGNED.finditer(text):
+        if any(w in found[1][1:].lower() for w in words):
+            out += [(found[1], key[1]) for key in map(_KEY.match, object_entries(text, found.end())) if key]
+    return out
+
+
 def registry_edges(files: DataFrame, calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """REGISTRY_DISPATCH: calls through an object literal of functions may reach each of them."""
-    text = F.col("content")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(REGISTRY), F.lit(1)).alias("registry"), F.regexp_extract_all(text, F.lit(REGISTRY), F.lit(2)).alias("body"))
-    found = files.where(F.col("path").rlike("[.](ts|tsx|js|jsx)$")).select(F.col("path").alias("file"), F.explode(pairs).alias("p")).select("file", "p.registry", F.explode(F.regexp_extract_all("p.body", F.lit(REGISTRY_ENTRY), F.lit(1))).alias("name")).distinct()
+
+    @F.pandas_udf("array<struct<registry:string,name:string>>")
+    def held(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"registry": r, "name": n} for r, n in registries(t or "")])
+
+    found = files.where(F.col("path").rlike("[.](ts|tsx|js|jsx)$")).select(F.col("path").alias("file"), F.explode(held("content")).alias("p")).select("file", "p.registry", "p.name").distinct()
     used = calls.where("callee like '%[%'").select("file", F.substring_index("callee", "[", 1).alias("registry"), "caller", "line")
     rows = near_or_unique(sources_of(used.join(found, ["file", "registry"]), nodes, "caller"), nodes, CALLABLE, "name")
     return _edge(rows.withColumn("target_id", F.coalesce("near", "only")), "REGISTRY_DISPATCH", "static-registry-pattern", 0.35)

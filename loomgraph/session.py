@@ -85,6 +85,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def text_written(lines: DataFrame, name: str) -> str:
+    """The path of a text table of the lines (one string column) in the shared folder."""
+    path = f"{_own_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from loomgraph.plans import general_queries, graph_queries, language_queries, search_queries, stats_queries, tool_queries, usage_queries
+from loomgraph.plans import general_queries, graph_queries, language_queries, resolve_queries, search_queries, source_queries, stats_queries, tool_queries, usage_queries
 
 SMALL = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
@@ -25,7 +25,7 @@ def test_every_sql_has_its_query():
 
 
 def test_names_are_unique_over_modules():
-    modules = (general_queries, graph_queries, language_queries, search_queries, stats_queries, tool_queries, usage_queries)
+    modules = (general_queries, graph_queries, language_queries, resolve_queries, search_queries, source_queries, stats_queries, tool_queries, usage_queries)
     assert max(Counter(name for m in modules for name in m.QUERIES).values()) == 1
 
 
