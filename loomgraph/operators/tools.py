@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.graph_stats import counts, extensions, hotspots, not_test_path, number
 from loomgraph.operators.search import degrees, in_scope, text_rank, tokens, with_degrees
-from loomgraph.operators.traversal import found_symbol, trace
+from loomgraph.operators.traversal import found_symbol, path_evidence, shortest_path, trace
 
 TEST_TYPES = ("TESTS", "TESTS_FILE")
 
@@ -37,19 +37,41 @@ def find_tests_by_text(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, so
     return rows.select("id", F.when(F.col("files").isNotNull(), "text").otherwise(F.col("level")).alias("level"), F.coalesce("files", "tests").alias("tests"))
 
 
+#: Edge types that count as coming into a symbol and as going out of it when it is explained.
+INTO, OUT_OF = ("CALLS", "USAGE", "TESTS"), ("CALLS", "USAGE", "IMPORTS")
+
+
 def explain_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out, callers, tested, complexity, risk) of every callable and type."""
-    calls = edges.where("type = 'CALLS'")
-    into = calls.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("fan_in"), F.countDistinct("source_id").alias("callers"))
-    out = calls.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("fan_out"))
+    into = edges.where(F.col("type").isin(*INTO)).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("fan_in"), F.countDistinct("source_id").alias("callers"))
+    out = edges.where(F.col("type").isin(*OUT_OF)).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("fan_out"))
     tested = edges.where(F.col("type").isin(*TEST_TYPES)).select(F.col("target_id").alias("id"), F.lit(True).alias("tested")).distinct()
     rows = nodes.where(F.col("kind").isin("Function", "Method", "Class", "Interface")).join(into, "id", "left").join(out, "id", "left").join(tested, "id", "left")
     zero = F.lit(0).cast("long")
     cc, fan = F.coalesce(number("cyclomaticComplexity"), F.lit(0.0)), F.coalesce("fan_in", zero)
-    risk = F.when((fan >= 20) | (cc > 100), "high").when((fan >= 10) | (cc > 50), "medium").otherwise("low")
+    risk = F.when((fan >= 20) | (cc > 100), "critical").when((fan >= 10) | (cc > 50), "high").when((fan >= 5) | (cc > 20), "medium").otherwise("low")
     return rows.select("id", fan.alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"), F.coalesce("callers", zero).alias("callers"), F.coalesce("tested", F.lit(False)).alias("tested"), cc.alias("complexity"), risk.alias("risk"))
 
 
+def explain_context(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, findings: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """(id, role, type, other) of wanted symbols (id): up to `limit` callers and callees each,
+    lowest ids first, every parent, and the categories of findings (id, target_qn, category)."""
+    c = F.col
+    ids = wanted.select("id").distinct()
+
+    def side(types: tuple[str, ...], own: str, other: str, role: str) -> DataFrame:
+        rows = edges.where(c("type").isin(*types)).select(c(own).alias("id"), "type", c(other).alias("other"), c("id").alias("edge")).join(ids, "id", "left_semi")
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other", "type", "edge")))
+        return ranked.where(c("rank") <= limit).select("id", F.lit(role).alias("role"), "type", c("other").cast("string").alias("other"))
+
+    parents = edges.where("type = 'INHERITS'").select(c("source_id").alias("id"), "type", c("target_id").alias("other")).join(ids, "id", "left_semi").distinct().select("id", F.lit("parent").alias("role"), "type", c("other").cast("string").alias("other"))
+    parts = [side(INTO, "target_id", "source_id", "caller"), side(OUT_OF, "source_id", "target_id", "callee"), parents]
+    if findings is not None:
+        named = nodes.join(ids, "id", "left_semi").select("id", c("qualified_name").alias("target_qn"))
+        parts.append(findings.select("target_qn", "category").join(named, "target_qn").select("id", F.lit("finding").alias("role"), c("category").alias("type"), F.lit("").alias("other")).distinct())
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _production(nodes: DataFrame, include_tests: bool) -> DataFrame:
     return nodes if include_tests else nodes.where((F.coalesce("is_test", F.lit(0)) == 0) & not_test_path())
 
@@ -113,6 +135,24 @@ def investigate(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int =
     return reduce(DataFrame.unionByName, (matches, metrics, traced, tested))
 
 
+def edge_evidence(edges: DataFrame, evidence: DataFrame, source: int, target: int, max_depth: int = 3) -> DataFrame:
+    """(hop, edge, evidence, strength, tier) of the direct edges of a pair (hop 0), or, where there
+    are none, of the shortest path of calls; evidence is (edge_id, strength)."""
+    direct = edges.where((F.col("source_id") == source) & (F.col("target_id") == target)).select(F.lit(0).alias("hop"), F.col("id").alias("edge"))
+    rows = direct if not direct.isEmpty() else shortest_path(edges, source, target, max_depth).select("hop", "edge")
+    return path_evidence(rows, evidence)
+
+
+def node_evidence(edges: DataFrame, evidence: DataFrame, node: int, direction: str = "both", limit: int = 30) -> DataFrame:
+    """(direction, edge_id, id, strength) of the evidence at a node's edges, the strongest first, of
+    equal strength the least id, at most `limit`."""
+    c = F.col
+    way = F.when(c("target_id") == node, "inbound").otherwise("outbound")
+    rows = edges.where((c("source_id") == node) | (c("target_id") == node)).select(c("id").alias("edge_id"), way.alias("direction"))
+    rows = rows if direction == "both" else rows.where(c("direction") == direction)
+    return evidence.join(rows, "edge_id").select("direction", "edge_id", "id", "strength").orderBy(c("strength").desc_nulls_last(), "id").limit(limit)
+
+
 def edge_context(edges: DataFrame, source: int, target: int, around: int = 10) -> DataFrame:
     """(id, role): the direct edges of a pair and up to `around` further edges out of the source
     and into the target, lowest ids first."""
@@ -193,6 +233,41 @@ def changed_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.round(F.count_if(~F.col("a").eqNullSafe(F.col("b"))) / F.greatest(F.count("*"), F.lit(1)), 4).alias("ratio"))
 
 
+def freshness(projects: DataFrame, now: str, stale_hours: int = 24) -> DataFrame:
+    """(project, freshness) of (project, status, indexed_at, indexed_commit, head, nodes): empty,
+    failed, moved where the head is another commit, stale by age, unknown without a time, fresh."""
+    c = F.col
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(c("indexed_at").cast("timestamp"))
+    state = F.when(F.coalesce(c("nodes"), F.lit(0)) == 0, "empty").when(c("status") == "failed", "failed").when(c("head").isNotNull() & c("indexed_commit").isNotNull() & (c("head") != c("indexed_commit")), "moved")
+    return projects.select("project", state.when(age.isNull(), "unknown").when(age > stale_hours * 3_600_000_000, "stale").otherwise("fresh").alias("freshness"))
+
+
+def upsert_records(stored: DataFrame, incoming: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Records (decisions, notes) with the incoming ones in place of those of the same key; of
+    several incoming ones the last by `order` counts."""
+    newest = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last())
+    fresh = incoming.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+    return stored.join(fresh.select(*key), key, "left_anti").select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
+def value_layers(rows: DataFrame) -> DataFrame:
+    """(id, observed, likely, maximum, status) of tool results (id, tokens, potential, files, symbols,
+    calls, other_relations, results, confidence, conflict): tokens saved as observed, what a search
+    of the project may have cost, and how far relations back the result."""
+    c = F.col
+    zero = lambda name: F.coalesce(c(name), F.lit(0)).cast("double")
+    observed = F.greatest(zero("tokens"), F.lit(0.0))
+    density = F.when(zero("files") > 0, zero("symbols") / zero("files")).otherwise(0.0)
+    # fixed values of the estimate: the search space counts by its logarithm, within bounds
+    search = F.round(F.least(F.lit(1200.0), 90 * F.log2(F.greatest(zero("files") + 1, F.lit(2.0))) + F.least(density * 8, F.lit(480.0))))
+    whole = F.greatest(observed, zero("potential"))
+    likely = F.when(whole > observed, F.round(observed + (whole - observed) * 0.35)).otherwise(observed + search)
+    empty = (observed == 0) & (zero("results") + zero("calls") == 0)
+    backed = (zero("calls") > 0) & (zero("other_relations") == 0) & c("confidence").isin("high", "medium")
+    status = F.when(F.coalesce(c("conflict"), F.lit(False)), "conflicting_evidence").when(empty, "evidence_gap").when(F.coalesce(backed, F.lit(False)), "confirmed").otherwise("partial")
+    return rows.select("id", observed.alias("observed"), likely.alias("likely"), F.when(whole > observed, whole).otherwise(F.round(likely * 1.3)).alias("maximum"), status.alias("status"))
+
+
 def index_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per project: nodes, edges, files and the status of its index."""
     n = nodes.groupBy("project").agg(F.count("*").alias("nodes"), F.countDistinct("file_path").alias("files"))

@@ -184,9 +184,13 @@ def last_two(rows: DataFrame, by: str, order: str, measures: list[str]) -> DataF
     return ranked.where("rank = 1").drop("rank")
 
 
-def trend(rows: DataFrame, by: list[str], order: str, value: str, step: int = 5) -> DataFrame:
+def trend(rows: DataFrame, by: list[str], order: str, value: str, step: int = 5, last: int | None = None) -> DataFrame:
     """(by, samples, first, last, trend): improving or worsening by more than `step`, stable, or
-    no_data for a single sample."""
+    no_data for a single sample. With `last`, over so many of the newest samples only."""
+    if last is not None:
+        newest = Window.partitionBy(*by).orderBy(F.col(order).desc(), F.col(value).desc())
+        known = rows.where(F.col(value).isNotNull() & F.col(order).isNotNull())
+        rows = known.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= last).drop("_rank")
     found = rows.where(F.col(value).isNotNull() & F.col(order).isNotNull()).groupBy(*by).agg(F.count("*").alias("samples"), F.min(F.struct(order, value))[value].alias("first"), F.max(F.struct(order, value))[value].alias("last"))
     move = F.col("last") - F.col("first")
     return found.withColumn("trend", F.when(F.col("samples") < 2, "no_data").when(move > step, "worsening").when(move < -step, "improving").otherwise("stable"))

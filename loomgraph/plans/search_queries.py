@@ -47,9 +47,9 @@ def _(nodes, edges):
     return inside.agg(F.count("*").alias("nodes")).join(F.broadcast(counted))  # one row each
 
 
-@R.graph("op23_line_overlap", "SELECT id, start_line, end_line FROM g_nodes WHERE file_path = 'parts/brand#11/m1.ts' AND start_line <= 500 AND end_line >= 100")
+@R.graph("op23_line_overlap", "SELECT id, start_line, end_line FROM g_nodes WHERE file_path = 'orders/1995/03/o7.ts' AND start_line <= 500 AND end_line >= 100")
 def _(nodes, edges):
-    return nodes.where(S.overlaps("parts/brand#11/m1.ts", 100, 500)).select("id", "start_line", "end_line")
+    return nodes.where(S.overlaps("orders/1995/03/o7.ts", 100, 500)).select("id", "start_line", "end_line")
 
 
 @R.graph("op90_text_rank", f"""{_DEGREES}, scored AS (SELECT *, (CASE WHEN lower(name) LIKE '%supplier%' THEN 8 ELSE 0 END + CASE WHEN lower(qualified_name) LIKE '%supplier%' THEN 4 ELSE 0 END + CASE WHEN lower(file_path) LIKE '%supplier%' THEN 3 ELSE 0 END

@@ -67,6 +67,32 @@ def _(read):
     return M.status_lines(read("part").select(line.alias("value"))).select("path", "old_path", "change", "staged")
 
 
+@R.table("op11_name_status", "SELECT CASE WHEN p_partkey % 4 = 1 THEN 'new/' ELSE '' END || 'f' || p_partkey AS path, CASE WHEN p_partkey % 4 = 1 THEN 'f' || p_partkey END AS old_path, CASE p_partkey % 4 WHEN 0 THEN 'modified' WHEN 1 THEN 'renamed' WHEN 2 THEN 'deleted' ELSE 'added' END AS change FROM part")
+def _(read):
+    key, name = F.col("p_partkey") % 4, F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    line = F.when(key == 0, F.concat(F.lit("M\t"), name)).when(key == 1, F.concat(F.lit("R087\t"), name, F.lit("\tnew/"), name)).when(key == 2, F.concat(F.lit("D\t"), name)).otherwise(F.concat(F.lit("A\t"), name))
+    return M.name_status(read("part").select(line.alias("value")))
+
+
+@R.table("op01_kept_paths", "WITH f AS (SELECT DISTINCT file_path AS path FROM nodes WHERE file_path IS NOT NULL AND NOT contains(file_path, chr(10))), g AS (SELECT * FROM f UNION ALL SELECT 'lib/' || path FROM f UNION ALL SELECT 'node_modules/' || path FROM f UNION ALL SELECT 'gen/out2/' || path FROM f UNION ALL SELECT '.hidden/' || path FROM f UNION ALL SELECT 'gen/' || path FROM f) SELECT path FROM g WHERE NOT starts_with(path, 'lib/') AND NOT starts_with(path, 'gen/out2/') AND len(list_filter(list_slice(string_split(path, '/'), 1, -2), lambda x: starts_with(x, '.') OR x IN ('node_modules', 'dist', 'build', 'out', 'obj', 'target', 'tmp', 'temp', 'tmp_build', 'vendor', 'vendored', 'backups', 'reports', 'logs', '__pycache__', 'venv', 'coverage'))) = 0 AND NOT ends_with(path, '.gitignore')")
+def _(read):
+    paths = read("nodes").where("file_path is not null and not contains(file_path, '\n')").select(F.col("file_path").alias("path")).distinct()
+    put = lambda at: paths.select(F.concat(F.lit(at), "path").alias("path"))
+    rows = paths.unionByName(put("lib/")).unionByName(put("node_modules/")).unionByName(put("gen/out2/")).unionByName(put(".hidden/")).unionByName(put("gen/")).withColumn("content", F.lit(None).cast("string"))
+    more = paths.sparkSession.createDataFrame([("lib/.git/HEAD", None), ("gen/.gitignore", "# made\n/out2/\n*.tmp\n")], "path string, content string")
+    return M.kept_paths(rows.unionByName(more)).where("path not like '%.gitignore'").select("path")
+
+
+@R.table("op143_dependency_edges", "SELECT p_partkey AS source_id, unnest(['lib' || p_size, 'both']) AS dependency, 'DEPENDS_ON' AS type, unnest([p_partkey % 2 = 0, false]) AS dev FROM part WHERE p_partkey % 3 > 0")
+def _(read):
+    c = F.col
+    path = F.concat(F.lit("p"), c("p_partkey").cast("string"), F.lit("/package.json"))
+    names = F.array(F.struct(F.concat(F.lit("lib"), c("p_size").cast("string")).alias("name"), (c("p_partkey") % 2 == 0).alias("dev")), F.struct(F.lit("both").alias("name"), F.lit(True).alias("dev")), F.struct(F.lit("both").alias("name"), F.lit(False).alias("dev")))
+    wanted = read("part").select(path.alias("path"), F.explode(names).alias("n")).select("path", "n.*")
+    files = read("part").where("p_partkey % 3 > 0").select(c("p_partkey").alias("id"), F.lit("File").alias("kind"), path.alias("file_path"))
+    return M.dependency_edges(wanted, files)
+
+
 @R.table("op28_file_lists", "SELECT id, name, file_path AS file FROM (SELECT id, unnest(['', name || 'x', file_path]) AS file, name, file_path FROM nodes WHERE name IS NOT NULL AND file_path IS NOT NULL AND NOT contains(name, ',') AND NOT contains(file_path, ',')) WHERE file = file_path")
 def _(read):
     rows = read("nodes").where("name is not null and file_path is not null and not contains(name, ',') and not contains(file_path, ',')")

@@ -46,9 +46,16 @@ def _(nodes, edges):
     return G.incident_counts(edges, ["CALLS", "USAGE"])
 
 
-@R.graph("op32_unreferenced", f"SELECT id, 'low' AS confidence FROM g_nodes n WHERE kind IN ('Function', 'Class', 'Method') AND is_test = 0 AND is_entry_point = 0 AND end_line - start_line >= 2 AND file_path NOT LIKE 'tests/%' AND length(name) > 2 AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.target_id = n.id AND e.type IN ('CALLS', 'USAGE', 'READS', 'TESTS', 'TESTS_FILE'))", few_calls=True)
+_SIGNED = "CASE id % 4 WHEN 0 THEN 'f(x)' WHEN 1 THEN 'f(' || chr(10) || ')' WHEN 2 THEN '' END"
+
+
+@R.graph("op32_unreferenced", f"""SELECT id, CASE WHEN id % 4 > 0 THEN 'low' WHEN is_exported = 0 AND kind <> 'Method' THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT *, {_SIGNED} AS signature FROM g_nodes) n WHERE kind IN ('Function', 'Class', 'Method') AND is_test = 0 AND is_entry_point = 0 AND end_line - start_line >= 2 AND file_path NOT LIKE 'tests/%' AND (id % 4 = 0 OR length(name) > 2)
+AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.target_id = n.id AND e.type IN ('CALLS', 'USAGE', 'READS', 'TESTS', 'TESTS_FILE'))""", few_calls=True)
 def _(nodes, edges):
-    return G.unreferenced(nodes, edges, ("Function", "Class", "Method")).select("id", "confidence")
+    last = F.col("id") % 4
+    signature = F.when(last == 0, "f(x)").when(last == 1, "f(\n)").when(last == 2, "")
+    signed = nodes.withColumn("properties", F.to_json(F.struct(signature.alias("signature"))))
+    return G.unreferenced(signed, edges, ("Function", "Class", "Method")).select("id", "confidence")
 
 
 @R.graph("op33_without_callers", "SELECT id FROM g_nodes n WHERE kind = 'Function' AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.target_id = n.id AND e.type = 'TESTS')")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import resolve as R0
 from loomgraph.operators import tools as T
+from loomgraph.operators.search import degrees
 from loomgraph.plans.lens import PART
 from loomgraph.plans.registry import Registry
 
@@ -52,18 +53,81 @@ def _(nodes, edges):
 @R.graph("op163_investigate", f""", i_all AS (SELECT {PART + 12}::BIGINT AS id, 0 AS hop UNION SELECT e.source_id, hop + 1 FROM i_all r JOIN g_edges e ON e.target_id = r.id WHERE type = 'CALLS' AND hop < 2), o_all AS (SELECT {PART + 12}::BIGINT AS id, 0 AS hop UNION SELECT e.target_id, hop + 1 FROM o_all r JOIN g_edges e ON e.source_id = r.id WHERE type = 'CALLS' AND hop < 2),
 way AS (SELECT 'inbound' AS layer, id, min(hop) AS hop FROM i_all GROUP BY id UNION ALL SELECT 'outbound', id, min(hop) FROM o_all GROUP BY id), n AS (SELECT * FROM g_nodes WHERE id = {PART + 12})
 SELECT way.layer, qualified_name AS name, hop::BIGINT AS value FROM way JOIN g_nodes USING (id) WHERE hop > 0 AND is_test = 0 AND NOT regexp_matches(file_path, '(^|/)(tests?|__tests__)/|[.](test|spec)[.]')
-UNION ALL SELECT 'explain', qualified_name || ':fan_in', (SELECT count(*) FROM g_edges WHERE type = 'CALLS' AND target_id = n.id) FROM n UNION ALL SELECT 'explain', qualified_name || ':fan_out', (SELECT count(*) FROM g_edges WHERE type = 'CALLS' AND source_id = n.id) FROM n UNION ALL SELECT 'explain', qualified_name || ':callers', (SELECT count(DISTINCT source_id) FROM g_edges WHERE type = 'CALLS' AND target_id = n.id) FROM n
+UNION ALL SELECT 'explain', qualified_name || ':fan_in', (SELECT count(*) FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'TESTS') AND target_id = n.id) FROM n UNION ALL SELECT 'explain', qualified_name || ':fan_out', (SELECT count(*) FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'IMPORTS') AND source_id = n.id) FROM n UNION ALL SELECT 'explain', qualified_name || ':callers', (SELECT count(DISTINCT source_id) FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'TESTS') AND target_id = n.id) FROM n
 UNION ALL SELECT 'tests:symbol', qualified_name, (SELECT count(DISTINCT source_id) FROM g_edges WHERE type = 'TESTS' AND target_id = n.id) FROM n""", walks=True)
 def _(nodes, edges, walk):
     name = nodes.where(F.col("id") == PART + 12).select("qualified_name").first()[0]
     return T.investigate(nodes, edges, name, 2, walk).where("layer <> 'search'")  # ranked search is op90
 
 
-@R.graph("op157_explain_symbols", ", i AS (SELECT target_id AS id, count(*) AS fan_in, count(DISTINCT source_id) AS callers FROM g_edges WHERE type = 'CALLS' GROUP BY 1), o AS (SELECT source_id AS id, count(*) AS fan_out FROM g_edges WHERE type = 'CALLS' GROUP BY 1), r AS (SELECT n.id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(callers, 0) AS callers, n.id IN (SELECT target_id FROM g_edges WHERE type IN ('TESTS', 'TESTS_FILE')) AS tested, (properties->>'cyclomaticComplexity')::DOUBLE AS complexity FROM g_nodes n LEFT JOIN i USING (id) LEFT JOIN o USING (id) WHERE kind IN ('Function', 'Method', 'Class', 'Interface')) SELECT *, CASE WHEN fan_in >= 20 OR complexity > 100 THEN 'high' WHEN fan_in >= 10 OR complexity > 50 THEN 'medium' ELSE 'low' END AS risk FROM r")
+@R.graph("op157_explain_symbols", ", i AS (SELECT target_id AS id, count(*) AS fan_in, count(DISTINCT source_id) AS callers FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'TESTS') GROUP BY 1), o AS (SELECT source_id AS id, count(*) AS fan_out FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'IMPORTS') GROUP BY 1), r AS (SELECT n.id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(callers, 0) AS callers, n.id IN (SELECT target_id FROM g_edges WHERE type IN ('TESTS', 'TESTS_FILE')) AS tested, (properties->>'cyclomaticComplexity')::DOUBLE AS complexity FROM g_nodes n LEFT JOIN i USING (id) LEFT JOIN o USING (id) WHERE kind IN ('Function', 'Method', 'Class', 'Interface')) SELECT *, CASE WHEN fan_in >= 20 OR complexity > 100 THEN 'critical' WHEN fan_in >= 10 OR complexity > 50 THEN 'high' WHEN fan_in >= 5 OR complexity > 20 THEN 'medium' ELSE 'low' END AS risk FROM r")
 def _(nodes, edges):
     return T.explain_symbols(nodes, edges)
 
 
+@R.graph("op157_explain_context", f", w AS (SELECT id, qualified_name FROM g_nodes WHERE id BETWEEN {PART + 1} AND {PART + 40}), c AS (SELECT target_id AS id, type, source_id AS other, row_number() OVER (PARTITION BY target_id ORDER BY source_id, type, id) AS r FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'TESTS')), d AS (SELECT source_id AS id, type, target_id AS other, row_number() OVER (PARTITION BY source_id ORDER BY target_id, type, id) AS r FROM g_edges WHERE type IN ('CALLS', 'USAGE', 'IMPORTS')) SELECT id, 'caller' AS role, type, other::VARCHAR AS other FROM c SEMI JOIN w USING (id) WHERE r <= 20 UNION ALL SELECT id, 'callee', type, other::VARCHAR FROM d SEMI JOIN w USING (id) WHERE r <= 20 UNION ALL SELECT DISTINCT source_id, 'parent', 'INHERITS', target_id::VARCHAR FROM g_edges e JOIN w ON w.id = source_id WHERE type = 'REGISTRY_DISPATCH' UNION ALL SELECT id, 'finding', 'size', '' FROM w WHERE id % 3 = 0")
+def _(nodes, edges):
+    wanted = nodes.where(F.col("id").between(PART + 1, PART + 40))
+    shown = edges.withColumn("type", F.when(F.col("type") == "REGISTRY_DISPATCH", "INHERITS").otherwise(F.col("type")))
+    findings = nodes.where("id % 3 = 0").select(F.col("qualified_name").alias("target_qn"), F.lit("size").alias("category"))
+    return T.explain_context(nodes, shown, wanted, findings)
+
+
+_EVIDENCE = "ev AS (SELECT id AS edge_id, id * 2 AS id, CASE WHEN line % 3 = 0 THEN 0.98 WHEN line % 3 = 1 THEN 0.85 ELSE 0.6 END::DOUBLE AS strength FROM g_edges WHERE line % 7 <> 2)"
+
+
+def _evidence(edges):
+    strength = F.when(F.col("line") % 3 == 0, 0.98).when(F.col("line") % 3 == 1, 0.85).otherwise(0.6)
+    return edges.where("line % 7 <> 2").select(F.col("id").alias("edge_id"), (F.col("id") * 2).alias("id"), strength.alias("strength"))
+
+
+@R.graph("op76_node_evidence", f", {_EVIDENCE} SELECT 'inbound' AS direction, edge_id, ev.id, strength FROM ev JOIN g_edges e ON e.id = edge_id WHERE target_id = {PART + 12} ORDER BY strength DESC, ev.id LIMIT 30")
+def _(nodes, edges):
+    return T.node_evidence(edges, _evidence(edges), PART + 12, "inbound")
+
+
+@R.graph("op160_edge_evidence", f", {_EVIDENCE}, p AS (SELECT {PART + 100}::BIGINT AS id, 0 AS hop, []::BIGINT[] AS via UNION ALL SELECT e.target_id, hop + 1, list_append(via, e.id) FROM p JOIN g_edges e ON e.source_id = p.id WHERE e.type = 'CALLS' AND hop < 3), best AS (SELECT via FROM p WHERE id = {PART + 6} AND hop > 0 ORDER BY hop, via LIMIT 1), steps AS (SELECT unnest(via) AS edge, generate_subscripts(via, 1) AS hop FROM best) SELECT hop::INT AS hop, edge, count(strength) AS evidence, max(strength) AS strength, CASE WHEN max(strength) >= 0.98 THEN 'exact_ast' WHEN max(strength) >= 0.85 THEN 'resolver' WHEN max(strength) IS NOT NULL THEN 'heuristic' END AS tier FROM steps LEFT JOIN ev ON edge_id = edge GROUP BY ALL")
+def _(nodes, edges):
+    return T.edge_evidence(edges, _evidence(edges), PART + 100, PART + 6)
+
+
+@R.table("op166_freshness", "SELECT project, CASE WHEN n % 5 = 0 THEN 'empty' WHEN status = 'failed' THEN 'failed' WHEN source_commit IS NOT NULL AND id % 3 = 0 THEN 'moved' WHEN created_at IS NULL THEN 'unknown' WHEN epoch_us(TIMESTAMP '2026-06-30') - epoch_us(created_at) > 720 * 3600000000 THEN 'stale' ELSE 'fresh' END AS freshness, id FROM (SELECT *, id % 10 AS n FROM graph_snapshots)")
+def _(read):
+    c = F.col
+    rows = read("graph_snapshots").select(F.struct("project", "id").alias("project"), "status", c("created_at").alias("indexed_at"), c("source_commit").alias("indexed_commit"), F.when(c("id") % 3 == 0, F.lit("other")).otherwise(c("source_commit")).alias("head"), (c("id") % 5).alias("nodes"))
+    return T.freshness(rows, "2026-06-30 00:00:00", 720).select("project.project", "freshness", "project.id")
+
+
+@R.table("op165_upsert_decisions", "SELECT project, snapshot_id, max(id) AS id FROM graph_snapshots WHERE project IS NOT NULL AND snapshot_id IS NOT NULL GROUP BY ALL")
+def _(read):
+    rows = read("graph_snapshots").where("project is not null and snapshot_id is not null").select("project", "snapshot_id", "id")
+    first = rows.groupBy("project", "snapshot_id").agg(F.min("id").alias("id"))
+    return T.upsert_records(first, rows.where("id % 2 = 0").unionByName(rows.where("id % 2 = 1")), ["project", "snapshot_id"], "id")
+
+
+@R.table("op165_memory", "SELECT id, source_branch FROM graph_snapshots WHERE project = 'atlas-gateway' AND (contains(lower(source_branch), 'main') OR contains(lower(source_branch), 'feature') OR contains(lower(status), 'main') OR contains(lower(status), 'feature')) ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20")
+def _(read):
+    c = F.col
+    findings = read("graph_snapshots").select("id", c("project").alias("target_file"), F.lit("x").alias("category"), c("source_branch").alias("title"), c("status").alias("description"), "created_at")
+    return T.findings_matching(findings, "main or feature", "atlas-gateway").select("id", c("title").alias("source_branch"))
+
+
+@R.table("op171_value_layers", """WITH v AS (SELECT id, greatest(coalesce(tokens_saved, 0), 0)::DOUBLE AS observed, coalesce(unique_files, 0)::DOUBLE AS files, coalesce(result_count, 0)::DOUBLE AS results, (id % 900)::DOUBLE AS symbols, CASE WHEN id % 4 = 0 THEN coalesce(tokens_saved, 0) * 3 ELSE 0 END::DOUBLE AS potential, id % 3 AS calls, id % 5 = 0 AS other, confidence, id % 50 = 1 AS conflict FROM events_archive),
+w AS (SELECT *, greatest(observed, potential) AS whole, round(least(1200, 90 * log2(greatest(files + 1, 2)) + least(CASE WHEN files > 0 THEN symbols / files ELSE 0 END * 8, 480))) AS search FROM v), x AS (SELECT *, CASE WHEN whole > observed THEN round(observed + (whole - observed) * 0.35) ELSE observed + search END AS likely FROM w)
+SELECT id, observed, likely, CASE WHEN whole > observed THEN whole ELSE round(likely * 1.3) END AS maximum, CASE WHEN conflict THEN 'conflicting_evidence' WHEN observed = 0 AND results + calls = 0 THEN 'evidence_gap' WHEN calls > 0 AND NOT other AND confidence IN ('high', 'medium') THEN 'confirmed' ELSE 'partial' END AS status FROM x""")
+def _(read):
+    c = F.col
+    rows = read("events_archive").select("id", c("tokens_saved").alias("tokens"), F.when(c("id") % 4 == 0, F.coalesce("tokens_saved", F.lit(0)) * 3).otherwise(0).alias("potential"), c("unique_files").alias("files"), (c("id") % 900).alias("symbols"), (c("id") % 3).alias("calls"), (c("id") % 5 == 0).cast("int").alias("other_relations"), c("result_count").alias("results"), "confidence", (c("id") % 50 == 1).alias("conflict"))
+    return T.value_layers(rows)
+
+
+@R.graph("op97_candidate_order", f"{_DEG} SELECT g.id, round(coalesce(n, 0) / 7.0::DOUBLE, 3) AS score, split_part(file_path, '/', 1) AS area FROM g_nodes g LEFT JOIN deg USING (id) ORDER BY score DESC, area, coalesce(n, 0) DESC, g.id LIMIT 200")
+def _(nodes, edges):
+    total = F.coalesce(F.col("in_degree") + F.col("out_degree"), F.lit(0).cast("long"))
+    rows = nodes.join(degrees(edges), "id", "left").select("id", F.split_part("file_path", F.lit("/"), F.lit(1)).alias("area"), total.alias("fan_in"), (total / F.lit(7.0)).alias("score"))
+    return rows.orderBy(*T.candidate_order()).limit(200).select("id", F.round("score", 3).alias("score"), "area")
+
+
 @R.graph("op160_edge_context", f"SELECT * FROM (SELECT id, type, 'direct' AS role FROM g_edges WHERE source_id = {PART + 40} AND target_id = {PART + 20}) UNION ALL SELECT * FROM (SELECT id, type, 'out' AS role FROM g_edges WHERE source_id = {PART + 40} AND target_id <> {PART + 20} ORDER BY id, type LIMIT 10) UNION ALL SELECT * FROM (SELECT id, type, 'in' AS role FROM g_edges WHERE target_id = {PART + 20} AND source_id <> {PART + 40} ORDER BY id, type LIMIT 10)")
 def _(nodes, edges):
     return T.edge_context(edges, PART + 40, PART + 20)
@@ -85,16 +149,18 @@ def _(nodes, edges):
     return T.change_severity(nodes, edges, nodes.where(F.col("file_path").startswith("parts/brand#3")))
 
 
-@R.graph("op46_unique_same_file", ", c AS (SELECT e.id AS call_id, s.file_path AS file, s.qualified_name AS owner, t.name FROM g_edges e JOIN g_nodes s ON s.id = source_id JOIN g_nodes t ON t.id = target_id WHERE e.type = 'REGISTRY_DISPATCH'), one AS (SELECT file_path AS file, name, min(id) AS target_id FROM g_nodes WHERE kind IN ('Function', 'Method') GROUP BY ALL HAVING count(*) = 1) SELECT call_id, target_id FROM c JOIN one USING (file, name)")
+@R.graph("op46_unique_same_file", ", c AS (SELECT e.id AS call_id, s.file_path AS file, s.qualified_name AS owner, t.name FROM g_edges e JOIN g_nodes s ON s.id = source_id JOIN g_nodes t ON t.id = target_id WHERE e.type = 'REGISTRY_DISPATCH'), one AS (SELECT file_path AS file, name, min(id) AS target_id FROM g_nodes WHERE kind IN ('Function', 'Method') GROUP BY ALL HAVING count(*) = 1) SELECT call_id, target_id FROM c JOIN one USING (file, name) WHERE call_id % 5 > 0")
 def _(nodes, edges):
     ends = edges.where("type = 'REGISTRY_DISPATCH'").select(F.col("id").alias("call_id"), "source_id", "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("file"), F.col("qualified_name").alias("owner")), "source_id").join(nodes.select(F.col("id").alias("target_id"), "name"), "target_id").drop("target_id")
-    return T.unique_same_file(ends, nodes, ends.limit(0))
+    return T.unique_same_file(ends, nodes, ends.where("call_id % 5 = 0"))
 
 
-@R.table("op47_implementations", "WITH d AS (SELECT doc_id AS decl_id, lower(trim(source)) AS lang, md5(text) AS name FROM documents WHERE text IS NOT NULL), s AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY name, lang) = 1) SELECT decl_id, -decl_id AS id FROM s")
+@R.table("op47_implementations", "WITH d AS (SELECT id AS decl_id, name, snapshot_id AS lang FROM nodes WHERE kind = 'Function' AND name IS NOT NULL AND snapshot_id IS NOT NULL), s AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY name, lang) = 1), i AS (SELECT decl_id + 1000000000 AS id, name, lang FROM d WHERE decl_id % 4 > 0 UNION ALL SELECT decl_id + 2000000000, name, lang FROM d WHERE decl_id % 10 = 0), f AS (SELECT name, lang, min(id) AS id FROM i GROUP BY ALL HAVING count(*) = 1) SELECT decl_id, id FROM s JOIN f USING (name, lang) WHERE decl_id % 6 > 0")
 def _(read):
-    rows = read("documents").where("text is not null").select(F.col("doc_id").alias("decl_id"), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("lang"), F.md5("text").alias("name"))
-    return T.implementations(rows, rows.select((-F.col("decl_id")).alias("id"), "name", "lang"), rows.select("decl_id").limit(0))
+    c = F.col
+    declared = read("nodes").where("kind = 'Function' and name is not null and snapshot_id is not null").select(c("id").alias("decl_id"), "name", c("snapshot_id").alias("lang"))
+    made = lambda test, by: declared.where(test).select((c("decl_id") + by).alias("id"), "name", "lang")
+    return T.implementations(declared, made("decl_id % 4 > 0", 1_000_000_000).unionByName(made("decl_id % 10 = 0", 2_000_000_000)), declared.where("decl_id % 6 = 0"))
 
 
 @R.graph("op44_suffix_either_way", ", a AS (SELECT DISTINCT 'repo/' || file_path AS a FROM g_nodes WHERE kind = 'Class' UNION SELECT DISTINCT regexp_replace(file_path, '^[^/]*/', '') FROM g_nodes WHERE kind = 'Class'), b AS (SELECT DISTINCT file_path AS b FROM g_nodes WHERE kind = 'Class') SELECT a, b FROM a, b WHERE a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a)")

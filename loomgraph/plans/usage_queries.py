@@ -162,6 +162,12 @@ def _(read):
     return U.settled(asked, events.select("project", "tool", "at"), AS_OF, 24 * 60)
 
 
+@R.table("op85_last_samples", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY day DESC, t DESC) AS r FROM (SELECT project, substr(date, 1, 10) AS day, tokens_saved AS t FROM daily_snapshots WHERE tokens_saved IS NOT NULL AND date IS NOT NULL)), s AS (SELECT project, count(*) AS samples, arg_max(t, r) AS first, arg_min(t, r) AS last FROM k WHERE r <= 10 GROUP BY project)
+SELECT *, CASE WHEN samples < 2 THEN 'no_data' WHEN last - first > 500 THEN 'worsening' WHEN last - first < -500 THEN 'improving' ELSE 'stable' END AS trend FROM s""")
+def _(read):
+    return U.trend(read("daily_snapshots").withColumn("day", F.substring("date", 1, 10)), ["project"], "day", "tokens_saved", 500, 10)
+
+
 @R.table("op80_first_rows", "SELECT DISTINCT ON (project, qualified_name) project, qualified_name, hotspot_id FROM hotspot_rows ORDER BY project, qualified_name, hotspot_id")
 def _(read):
     return U.first_rows(read("hotspot_rows"), ["project", "qualified_name"], ["hotspot_id"]).select("project", "qualified_name", "hotspot_id")

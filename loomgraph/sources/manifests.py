@@ -9,29 +9,57 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.texts import normal_list  # noqa: F401  (part of this module's surface)
 
-# Folders that are never read, and languages by extension.
-EXCLUDED = (".git", "node_modules", "dist", "build", "out", "target", "vendor", "coverage", "__pycache__", ".venv", "venv", ".next", ".cache", ".idea", ".vscode")
-LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "kt": "kotlin", "sh": "bash", "sql": "sql"}
+# Folders that are never read, further ones and extensions that the fast mode leaves
+# out, and languages by extension and by file name.
+EXCLUDED = (
+    "node_modules", ".git", ".claude", ".next", ".next-build", "dist", "build", "out", "obj", "target", "tmp", "temp", ".tmp", "tmp_build",
+    "vendor", "vendored", "backups", "reports", "logs", ".turbo", "__pycache__", ".venv", "venv", ".cache", "coverage", ".nyc_output", ".idea", ".vscode",
+)
+FAST_EXCLUDED, FAST_EXTENSIONS = ("docs", "examples", "fixtures", "test", "tests", "__tests__"), ("md", "json", "yml", "yaml", "toml", "lock", "css", "html")
+LANGUAGES = {
+    "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift",
+    "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sh": "bash", "bash": "bash", "zsh": "bash", "ps1": "powershell", "sql": "sql", "lua": "lua", "pl": "perl", "pm": "perl", "r": "r", "jl": "julia", "dart": "dart",
+    "ex": "elixir", "exs": "elixir", "erl": "erlang", "hs": "haskell", "ml": "ocaml", "mli": "ocaml", "fs": "fsharp", "clj": "clojure", "groovy": "groovy", "gradle": "groovy", "zig": "zig", "nim": "nim", "m": "objc", "mm": "objc",
+    "vue": "vue", "svelte": "svelte", "html": "html", "css": "css", "scss": "scss", "less": "less", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "xml": "xml", "md": "markdown", "proto": "protobuf", "graphql": "graphql", "tf": "hcl",
+}
+FILE_NAMES = {"dockerfile": "dockerfile", "makefile": "make", "cmakelists.txt": "cmake", "rakefile": "ruby", "gemfile": "ruby", "jenkinsfile": "groovy"}
 MAX_BYTES = 10_000_000
 
 
 def language(path: Column) -> Column:
-    """Language of a path by its extension, null for others."""
-    ext = F.lower(F.regexp_extract(path, r"[.]([A-Za-z0-9]+)$", 1))
-    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
-    return F.try_element_at(table, ext)
-
-
-def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_excluded: tuple[str, ...] = ()) -> DataFrame:
-    """(path, language, size, sha256, content) of the source files under `root`: no excluded or
-    hidden folders, no large files, known languages only. Files are read by the executors."""
+    """Language of a path by its file name, else by its extension, null for others."""
+    table = lambda names, key: F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
+    return F.coalesce(table(FILE_NAMES, F.lower(F.regexp_extract(path, r"[^/]*$", 0))), table(LANGUAGES, F.lower(F.regexp_extract(path, r"[.]([A-Za-z0-9]+)$", 1))))
+
+
+def kept_paths(files: DataFrame, fast: bool = False, extra_excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (path relative to the root, ...) of files outside excluded and hidden folders, of nested
+    repositories (folders that hold a .git file or folder) and of folders that an ignore file
+    names by a plain entry (rows of .gitignore have their `content`). Folders are looked up by
+    joining each file's own folders, not file by file."""
+    parts = F.split("path", "/")
+    bad = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda f: f.isin(*EXCLUDED, *extra_excluded, *(FAST_EXCLUDED if fast else ())) | f.startswith("."))
+    nested = files.select(F.regexp_extract("path", r"^(.+)/[.]git(/|$)", 1).alias("folder")).where("folder <> ''")
+    lines = files.where(F.col("path").rlike(r"(^|/)[.]gitignore$")).select(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("at"), F.explode(F.split("content", r"\r?\n")).alias("line"))
+    plain = lines.select(F.concat("at", F.regexp_replace(F.trim("line"), "^/|/$", "")).alias("folder"), "line").where(F.trim("line").rlike(r"^/?[\w.-]+(/[\w.-]+)*/?$"))
+    closed = nested.unionByName(plain.select("folder")).distinct()
+    rows = files.where(~bad)
+    if fast:
+        rows = rows.where(~F.lower(F.regexp_extract("path", r"[.]([A-Za-z0-9]+)$", 1)).isin(*FAST_EXTENSIONS))
+    folders = rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("folder"))
+    return rows.join(folders.join(closed, "folder", "left_semi").select("path").distinct(), "path", "left_anti")
+
+
+def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_excluded: tuple[str, ...] = (), fast: bool = False) -> DataFrame:
+    """(path, language, size, sha256, content) of the source files under `root`: `kept_paths`, no
+    large files, known languages only. Files are read by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
-    path = F.regexp_replace("path", "^.*?" + re.escape(base), "")
-    folders = F.slice(F.split("rel", "/"), F.lit(1), F.size(F.split("rel", "/")) - 1)
-    bad = F.exists(folders, lambda f: f.isin(*EXCLUDED, *extra_excluded) | f.startswith("."))
-    rows = files.withColumn("rel", path).where((F.col("length") <= max_bytes) & ~bad).withColumn("language", language(F.col("rel")))
-    return rows.where("language is not null").select(F.col("rel").alias("path"), "language", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+    rel = F.regexp_replace("path", "^.*?" + re.escape(base), "")
+    listed = files.where(F.col("length") <= max_bytes).select(rel.alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes"), F.when(rel.rlike(r"(^|/)[.]gitignore$"), F.decode("content", "UTF-8")).alias("content"))
+    rows = kept_paths(listed, fast, extra_excluded).withColumn("language", language(F.col("path"))).where("language is not null")
+    return rows.select("path", "language", "size", F.sha2("bytes", 256).alias("sha256"), F.decode("bytes", "UTF-8").alias("content"))
 
 
 def stale_files(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -68,6 +96,23 @@ def requirements(files: DataFrame) -> DataFrame:
     return rows.select("path", F.regexp_extract("line", r"^([^=<>~!\[;\s]+)", 1).alias("name"), F.regexp_extract("line", r"[=<>~!]=?\s*([^;\s]+)", 1).alias("version"))
 
 
+def dependency_edges(dependencies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, dependency, type, dev) from the files of manifests (path, name, dev) to the names
+    they depend on, each once; a name that is wanted at run time is no development dependency."""
+    files = nodes.where("kind = 'File'").groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("source_id"))
+    rows = dependencies.where("name <> ''").join(files, "path").groupBy("source_id", F.col("name").alias("dependency")).agg(F.bool_and("dev").alias("dev"))
+    return rows.select("source_id", "dependency", F.lit("DEPENDS_ON").alias("type"), "dev")
+
+
+def name_status(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(path, old_path, change) of name-status lines (a letter, then tab-separated paths)."""
+    parts = F.split(F.col(column), "\t")
+    letter = F.substring(column, 1, 1)
+    change = F.coalesce(*(F.when(letter == a, F.lit(b)) for a, b in (("A", "added"), ("M", "modified"), ("D", "deleted"), ("R", "renamed"), ("C", "copied"), ("T", "modified"))))
+    moved = letter.isin("R", "C")
+    return lines.where(F.col(column).rlike(r"^[AMDRCT][0-9]*\t")).select(F.when(moved, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1))).alias("path"), F.when(moved, F.get(parts, F.lit(1))).alias("old_path"), change.alias("change")).where("path is not null")
+
+
 def status_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(path, old_path, staged, unstaged, change) of short version-control status lines."""
     text = F.col(column)
