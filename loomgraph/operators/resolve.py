@@ -34,6 +34,9 @@ CHANNEL_VERBS = {
     "on": "LISTENS_ON", "once": "LISTENS_ON", "subscribe": "LISTENS_ON", "addListener": "LISTENS_ON",
 }
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+HTTP_VERBS = {"fetch": "GET", "request": "GET", "get": "GET", "post": "POST", "put": "PUT", "patch": "PATCH", "delete": "DELETE", "del": "DELETE", "head": "HEAD", "options": "OPTIONS"}
+URL_WORDS = ("url", "endpoint", "path", "href", "link", "apiUrl", "baseUrl")
+MAX_URL = 100
 ROUTE_FILE = r"^(?:.*/)?(?:src/)?app/(.+?)/(route|page)[.](ts|tsx|js|jsx)$"
 
 
@@ -231,6 +234,45 @@ def call_edges(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     return _edge(placed, "CALLS", F.col("reason"), F.col("confidence"))
 
 
+def url_of(argument: Column) -> Column:
+    """The address that a call's argument (source text) stands for: a quoted absolute path or
+    address; a template's text with its holes named, cut at MAX_URL; a mark where only the name
+    of a variable speaks of an address; else null."""
+    text = F.trim(argument)
+    quote, inner = F.substring(text, 1, 1), F.substring(text, F.lit(2), F.length(text) - 2)
+    closed = (F.length(text) >= 2) & quote.isin("'", '"', "`") & (F.substring(text, -1, 1) == quote)
+    plain = closed & ~inner.rlike("['\"`]") & (inner.startswith("/") | inner.rlike("^https?://")) & ~((quote == "`") & inner.contains("${"))
+    named = F.regexp_replace(inner, r"\$\{[^}]*\}", ":param")
+    template = closed & (quote == "`") & (named.startswith("/") | named.startswith("http"))
+    short = F.when(F.length(named) > MAX_URL, F.concat(F.substring(named, 1, MAX_URL), F.lit("..."))).otherwise(named)
+    return F.when(plain, inner).when(template, short).when(text.rlike(rf"(?i)\b({'|'.join(URL_WORDS)})\b"), F.lit("[dynamic]"))
+
+
+def http_calls(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(routes, edges) of calls (file, callee, caller, line, args array<string>) whose last name is a
+    verb of HTTP and one of whose arguments, the first that does, names an address: routes
+    (qualified_name, url, method), and HTTP_CALLS (source_id, route, type, line) to them."""
+    verbs = F.create_map(*(F.lit(x) for pair in HTTP_VERBS.items() for x in pair))
+    method = F.try_element_at(verbs, F.lower(F.substring_index("callee", ".", -1)))
+    url = F.get(F.filter(F.transform("args", url_of), lambda u: u.isNotNull()), F.lit(0))
+    rows = calls.select("file", "caller", "line", method.alias("method"), url.alias("url")).where("method is not null and url is not null")
+    named = rows.withColumn("route", F.concat(F.lit("route."), F.sha2(F.concat_ws(":", "method", "url"), 256)))
+    edges = sources_of(named, nodes, "caller").where("source_id is not null").select("source_id", "route", F.lit("HTTP_CALLS").alias("type"), "line").distinct()
+    return named.select(F.col("route").alias("qualified_name"), "url", "method").distinct(), edges
+
+
+def package_folder(imports: DataFrame, folders: DataFrame) -> DataFrame:
+    """(module_path, folder) for imports by package path: the folder that shares the longest run of
+    last parts with it, where only one does. Suffixes of folders are joined, not all pairs."""
+    parts = lambda c: F.split(c, "/")
+    tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/"))
+    wanted = imports.select("module_path").where("module_path <> ''").distinct().select("module_path", F.explode(tails("module_path")).alias("tail"))
+    known = folders.select("folder").where("folder <> ''").distinct().select("folder", F.explode(tails("folder")).alias("tail"))
+    shared = wanted.join(known, "tail").groupBy("module_path", "folder").agg(F.max(F.size(parts("tail"))).alias("n"))
+    best = shared.groupBy("module_path").agg(F.max("n").alias("n"))
+    return shared.join(best, ["module_path", "n"]).groupBy("module_path").agg(F.count("*").alias("k"), F.min("folder").alias("folder")).where("k = 1").select("module_path", "folder")
+
+
 def resolution_stats(resolved: DataFrame) -> DataFrame:
     """Per file: calls, unresolved ones and the unresolved by reason."""
     missing = F.col("target_id").isNull()

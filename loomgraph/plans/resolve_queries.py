@@ -199,3 +199,33 @@ def _(read):
 def _(nodes, edges):
     rows = seen(nodes, edges, "USAGE").where("source_id % 3 = 0").select("file", "name", F.col("owner").alias("target"), "line")
     return V.decorator_edges(rows, nodes).select("source_id", "target_id", "line")
+
+
+_HTTP = f"""{_GN}, h AS (SELECT id AS source_id, start_line AS line, id % 6 AS k, file_path AS file, CASE id % 5 WHEN 0 THEN 'api.get' WHEN 1 THEN 'fetch' WHEN 2 THEN 'axios.POST' WHEN 3 THEN 'other' ELSE 'x.client.delete' END AS callee FROM g_nodes WHERE kind = 'Function'),
+u AS (SELECT source_id, line, CASE split_part(callee, '.', -1) WHEN 'get' THEN 'GET' WHEN 'fetch' THEN 'GET' WHEN 'POST' THEN 'POST' WHEN 'delete' THEN 'DELETE' END AS method, CASE k WHEN 0 THEN '/' || file WHEN 1 THEN 'https://h/' || (source_id % 7) WHEN 2 THEN '/a/:param/b' WHEN 3 THEN '[dynamic]' END AS url FROM h), r AS (SELECT *, 'route.' || sha256(method || ':' || url) AS route FROM u WHERE method IS NOT NULL AND url IS NOT NULL)"""
+
+
+def _http(nodes):
+    c = F.col
+    k = c("id") % 6
+    callee = F.when(c("id") % 5 == 0, "api.get").when(c("id") % 5 == 1, "fetch").when(c("id") % 5 == 2, "axios.POST").when(c("id") % 5 == 3, "other").otherwise("x.client.delete")
+    args = F.when(k == 0, F.array(F.lit("'text'"), F.concat(F.lit(" '/"), "file_path", F.lit("' ")))).when(k == 1, F.array(F.concat(F.lit('"https://h/'), (c("id") % 7).cast("string"), F.lit('"')))).when(k == 2, F.array(F.lit("`/a/${id}/b`"))).when(k == 3, F.array(F.lit("opts"), F.lit("this.baseUrl"))).when(k == 4, F.array(F.lit("x + 1"), F.lit("'plain'")))
+    calls = nodes.where("kind = 'Function'").select(c("file_path").alias("file"), callee.alias("callee"), c("qualified_name").alias("caller"), c("start_line").alias("line"), F.coalesce(args, F.array().cast("array<string>")).alias("args"))
+    return V.http_calls(calls, with_files(nodes))
+
+
+@R.graph("op135_http_calls", f"{_HTTP} SELECT DISTINCT source_id, route, 'HTTP_CALLS' AS type, line FROM r")
+def _(nodes, edges):
+    return _http(nodes)[1]
+
+
+@R.graph("op135_http_routes", f"{_HTTP} SELECT DISTINCT route AS qualified_name, url, method FROM r")
+def _(nodes, edges):
+    return _http(nodes)[0]
+
+
+@R.graph("op134_package_folders", ", f AS (SELECT DISTINCT regexp_replace(file_path, '/[^/]*$', '') AS folder FROM g_nodes WHERE contains(file_path, '/')), m AS (SELECT DISTINCT 'example.org/mod/' || folder AS module_path FROM f UNION SELECT 'x/' || string_split(folder, '/')[-1] FROM f), t AS (SELECT module_path, folder, len(list_filter(range(1, least(len(string_split(folder, '/')), len(string_split(module_path, '/'))) + 1), lambda i: list_slice(string_split(folder, '/'), -i, -1) = list_slice(string_split(module_path, '/'), -i, -1))) AS n FROM m, f), b AS (SELECT module_path, max(n) AS n FROM t WHERE n > 0 GROUP BY 1) SELECT module_path, min(folder) AS folder FROM t JOIN b USING (module_path, n) GROUP BY 1 HAVING count(*) = 1")
+def _(nodes, edges):
+    folders = nodes.where("contains(file_path, '/')").select(V.folder(F.col("file_path")).alias("folder")).distinct()
+    imports = folders.select(F.concat(F.lit("example.org/mod/"), "folder").alias("module_path")).unionByName(folders.select(F.concat(F.lit("x/"), F.element_at(F.split("folder", "/"), -1)).alias("module_path")))
+    return V.package_folder(imports, folders)

@@ -120,6 +120,12 @@ def _(read):
     return S.debounced(rows, "10 minutes").select("path", F.unix_micros("started").alias("started"), "changes")
 
 
+@R.table("op192_idle_pause", "WITH s AS (SELECT event_type AS project, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), k AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY ts) AS n FROM s) SELECT project, epoch_us(min(ts)) AS active_from, epoch_us(max(ts)) + 1800000000 AS paused_at, count(*) AS events FROM k GROUP BY project, n")
+def _(read):
+    rows = read("events").select(F.col("event_type").alias("project"), F.col("ts").cast("timestamp").alias("at"))
+    return S.idle_pause(rows).select("project", F.unix_micros("active_from").alias("active_from"), F.unix_micros("paused_at").alias("paused_at"), "events")
+
+
 _TUMBLED = "SELECT event_type AS project, epoch_us(date_trunc('{u}', ts)) AS started, sum(user_id)::BIGINT AS tokens_saved, count(*) AS events FROM events GROUP BY 1, 2".format
 
 

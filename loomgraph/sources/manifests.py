@@ -51,14 +51,32 @@ def kept_paths(files: DataFrame, fast: bool = False, extra_excluded: tuple[str,
     return rows.join(folders.join(closed, "folder", "left_semi").select("path").distinct(), "path", "left_anti")
 
 
-def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_excluded: tuple[str, ...] = (), fast: bool = False) -> DataFrame:
+def _hidden(spark: SparkSession, root: str, name: str, depth: int) -> list:
+    """Paths of hidden entries of a name down to a depth, which file sources of Spark skip. Only
+    names are listed, on the driver, as for any table."""
+    out = []
+    for level in range(depth + 1):
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * level + "/" + name)
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        out += [s.getPath() for s in found or []]
+    return out
+
+
+def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extra_excluded: tuple[str, ...] = (), fast: bool = False, depth: int = 12) -> DataFrame:
     """(path, language, size, sha256, content) of the source files under `root`: `kept_paths`, no
-    large files, known languages only. Files are read by the executors."""
+    large files, known languages only. Files are read by the executors; ignore files and nested
+    repositories are looked for down to `depth` folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
     rel = F.regexp_replace("path", "^.*?" + re.escape(base), "")
-    listed = files.where(F.col("length") <= max_bytes).select(rel.alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes"), F.when(rel.rlike(r"(^|/)[.]gitignore$"), F.decode("content", "UTF-8")).alias("content"))
-    rows = kept_paths(listed, fast, extra_excluded).withColumn("language", language(F.col("path"))).where("language is not null")
+    none = F.lit(None)
+    listed = files.where(F.col("length") <= max_bytes).select(rel.alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes"), none.cast("string").alias("content"))
+    text = lambda p: spark._jvm.org.apache.commons.io.IOUtils.toString(p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p), "UTF-8")
+    marks = [(p.toString(), text(p)) for p in _hidden(spark, root, ".gitignore", depth)] + [(p.toString(), None) for p in _hidden(spark, root, ".git", depth)]
+    if marks:
+        shown = spark.createDataFrame(marks, "path string, content string").select(rel.alias("path"), none.cast("long").alias("size"), none.cast("binary").alias("bytes"), "content")
+        listed = listed.unionByName(shown.where("path <> '.git'"))
+    rows = kept_paths(listed, fast, extra_excluded).where("bytes is not null").withColumn("language", language(F.col("path"))).where("language is not null")
     return rows.select("path", "language", "size", F.sha2("bytes", 256).alias("sha256"), F.decode("bytes", "UTF-8").alias("content"))
 
 

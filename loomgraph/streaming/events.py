@@ -3,6 +3,7 @@ truth; each of these gives the same rows once its watermark has passed."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -93,11 +94,69 @@ def replace_files(path: str, extract: Callable[[DataFrame], DataFrame], key: str
             old = spark.read.parquet(f"{path}/v{last}")
             fresh = old.join(batch.select(F.col("path").alias(key)).distinct(), key, "left_anti").select(*fresh.columns).unionByName(fresh)
         fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(str(number),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+        _name(spark, f"{path}/CURRENT", str(number))
 
     return write
 
 
+def _name(spark, pointer: str, text: str) -> None:
+    """Puts a text into a file that readers see whole: it is written beside it and renamed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, beside = jvm.org.apache.hadoop.fs.Path(pointer), jvm.org.apache.hadoop.fs.Path(f"{pointer}.new")
+    out = at.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(beside, at, overwrite)
+
+
+def replace_parts(path: str, extract: Callable[[DataFrame], DataFrame], key: str = "file_path", parts: int = 256) -> Callable[[DataFrame, int], None]:
+    """`replace_files` for large tables: rows lie in `parts` by a hash of their file, and a batch
+    writes only the parts that its files fall into. CURRENT holds, for each part, the batch that
+    wrote it last; `read_parts` reads these."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = _parts(spark, path)
+        if now["batch"] >= number:
+            return
+        files = batch.select(F.col("path").alias(key)).distinct()
+        touched = sorted(r["part"] for r in files.select(part).distinct().collect())  # at most `parts` numbers
+        fresh = extract(batch)
+        old = _read(spark, path, {k: now["parts"][str(k)] for k in touched if str(k) in now["parts"]})
+        rows = fresh if old is None else old.join(files, key, "left_anti").select(*fresh.columns).unionByName(fresh)
+        rows.select("*", part).repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/b{number}")
+        held = {str(k): number for k in touched if exists(spark, f"{path}/b{number}/part={k}")}
+        kept = {k: b for k, b in now["parts"].items() if int(k) not in touched}
+        _name(spark, f"{path}/CURRENT", json.dumps({"batch": number, "parts": kept | held}))
+
+    return write
+
+
+def _parts(spark, path: str) -> dict:
+    if not exists(spark, f"{path}/CURRENT"):
+        return {"batch": -1, "parts": {}}
+    return json.loads(spark.read.text(f"{path}/CURRENT").first()[0])
+
+
+def _read(spark, path: str, parts: dict) -> DataFrame | None:
+    return spark.read.parquet(*(f"{path}/b{b}/part={k}" for k, b in parts.items())) if parts else None
+
+
+def read_parts(spark, path: str) -> DataFrame | None:
+    """The table that `replace_parts` keeps, None while it has no rows."""
+    return _read(spark, path, _parts(spark, path)["parts"])
+
+
+def idle_pause(events: DataFrame, idle: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
+    """(project, active_from, paused_at, events): spells in which a project is watched. A spell
+    pauses `idle` after its last event, and the next event resumes the watch."""
+    rows = events.withWatermark("at", watermark).groupBy(F.session_window("at", idle).alias("w"), "project").agg(F.count("*").alias("events"))
+    return rows.select("project", F.col("w.start").alias("active_from"), F.col("w.end").alias("paused_at"), "events")
+
+
 def current_version(spark, path: str) -> int | None:
     if not exists(spark, f"{path}/CURRENT"):
         return None
