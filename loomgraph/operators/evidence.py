@@ -46,3 +46,31 @@ def reconcile(evidence: DataFrame, now: str, ceilings: dict[str, float] | None =
 def content_id(*columns: str) -> Column:
     """sha256 of the JSON array of the columns; null stays null in the array."""
     return F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), 256)
+
+
+#: Kinds of nodes and types of edges that become entities and relations.
+ENTITY_KINDS = ("File", "Function", "Method", "Class")
+RELATION_TYPES = ("CALLS", "IMPORTS", "TESTS", "CONFIGURES", "EMITS", "LISTENS_ON")
+
+
+def semantic_entities(nodes: DataFrame) -> DataFrame:
+    """(id, project, semantic_id, entity_class, signature, context) of the nodes that are entities:
+    callables go by their signature, if they have one, all others by their qualified name; the
+    context is where they are defined."""
+    c = F.col
+    said = lambda key: F.trim(F.coalesce(F.get_json_object("properties", f"$.{key}"), F.lit("")))
+    callable_, parent = c("kind").isin("Function", "Method"), said("parentClass")
+    signature = F.when(callable_ & (said("signature") != ""), said("signature")).otherwise(c("qualified_name"))
+    context = F.when((c("kind") == "Method") & (parent != ""), F.concat_ws(":", "file_path", parent, "qualified_name")).when(c("kind").isin("Function", "Class"), F.concat_ws(":", "file_path", "qualified_name")).otherwise(c("file_path"))
+    rows = nodes.where(c("kind").isin(*ENTITY_KINDS)).select("id", "project", c("kind").alias("entity_class"), signature.alias("signature"), context.alias("context"))
+    return rows.select("id", "project", content_id("project", "entity_class", "signature", "context").alias("semantic_id"), "entity_class", "signature", "context")
+
+
+def semantic_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(relation_id, project, source, type, target, occurrences): the edges between entities by
+    content, parallel ones as one relation."""
+    own = semantic_entities(nodes).select("id", "semantic_id")
+    rows = edges.where(F.col("type").isin(*RELATION_TYPES))
+    rows = rows.join(own.select(F.col("id").alias("source_id"), F.col("semantic_id").alias("source")), "source_id").join(own.select(F.col("id").alias("target_id"), F.col("semantic_id").alias("target")), "target_id")
+    counted = rows.groupBy("project", "source", "type", "target").agg(F.count("*").alias("occurrences"))
+    return counted.select(content_id("project", "source", "type", "target").alias("relation_id"), "project", "source", "type", "target", "occurrences")

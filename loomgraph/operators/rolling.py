@@ -19,20 +19,24 @@ from pyspark.sql import functions as F
 MEASURES = {"tokens_saved": "decimal(20,0)", "llm_cost": "decimal(20,4)"}
 
 
-def daily(rows: DataFrame, measures: dict[str, str] = MEASURES, entity: str = "project") -> DataFrame:
-    """(entity, day, measures): the row that counts for each entity and day."""
+def daily(rows: DataFrame, measures: dict[str, str] = MEASURES, entity: str = "project", since: str | None = None, until: str | None = None) -> DataFrame:
+    """(entity, day, measures): the row that counts for each entity and day, of the days from
+    `since` to `until` where these are given."""
     text = F.substring("date", 1, 10)
     day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     values = [F.coalesce(F.col(m).try_cast(t), F.lit(0).cast(t)).alias(m) for m, t in measures.items()]
     placed = rows.select(F.col(entity).alias("entity"), day.alias("day"), "written_at", *values).where("day is not null and entity is not null")
+    for bound, test in ((since, F.col("day") >= F.lit(since).cast("date")), (until, F.col("day") <= F.lit(until).cast("date"))):
+        placed = placed.where(test) if bound else placed
     newest = placed.groupBy("entity", "day").agg(F.max(F.struct("written_at", *measures)).alias("r"))
     return newest.select("entity", "day", *(F.col(f"r.{m}").alias(m) for m in measures))
 
 
-def rolling_totals(rows: DataFrame, periods: tuple[int, ...] = (7, 30), measures: dict[str, str] = MEASURES, entity: str = "project") -> DataFrame:
+def rolling_totals(rows: DataFrame, periods: tuple[int, ...] = (7, 30), measures: dict[str, str] = MEASURES, entity: str = "project", since: str | None = None, until: str | None = None) -> DataFrame:
     """(entity, day, day_number, <measure>_<period>d ...): sums over the `period` days ending
-    each day, for all days from the entity's first (day_number 1) to its last."""
-    counted = daily(rows, measures, entity)
+    each day, for all days from the entity's first (day_number 1) to its last. One stray date far off makes a row for
+    every day between; `since` and `until` leave such dates out."""
+    counted = daily(rows, measures, entity, since, until)
     calendar = counted.groupBy("entity").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("entity", F.explode(F.sequence("a", "b")).alias("day"))
     dense = calendar.join(counted, ["entity", "day"], "left").fillna(0, list(measures))
     by_day = Window.partitionBy("entity").orderBy("day")

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.texts import snippet
 from loomgraph.operators.graph_stats import counts, extensions, hotspots, not_test_path, number
 from loomgraph.operators.search import degrees, in_scope, text_rank, tokens, with_degrees
-from loomgraph.operators.traversal import found_symbol, path_evidence, shortest_path, trace
+from loomgraph.operators.traversal import MODES, found_symbol, path_evidence, shortest_path, trace
 
 TEST_TYPES = ("TESTS", "TESTS_FILE")
 
@@ -190,6 +191,69 @@ def change_severity(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> D
     return rows.withColumn("severity", F.when(n >= 20, "critical").when(n >= 10, "high").when(n >= 3, "medium").otherwise("low"))
 
 
+def changed_symbols(nodes: DataFrame, edges: DataFrame, changed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, callers, is_hot, severity, tier) of the symbols of changed files (file_path): distinct
+    names that call them, whether they are among the hotspots (a frame with qualified_name), and
+    how sure it is that others depend on them: confirmed by calls or imports, probable by other
+    callers of the same folder, nominal otherwise."""
+    c = F.col
+    own = nodes.join(changed.select("file_path").distinct(), "file_path", "left_semi").select("id", "qualified_name", "file_path")
+    into = edges.where(c("type").isin(*MODES["calls"], "IMPORTS")).select(c("target_id").alias("id"), "source_id", "type").join(own, "id")
+    caller = nodes.select(c("id").alias("source_id"), c("name").alias("caller"), c("file_path").alias("from"))
+    same = F.regexp_replace("from", "/?[^/]*$", "") == F.regexp_replace("file_path", "/?[^/]*$", "")
+    calls = c("type") != "IMPORTS"
+    per = into.join(caller, "source_id").groupBy("id").agg(F.countDistinct(F.when(calls, c("caller"))).alias("callers"), F.count_if(c("type").isin("CALLS", "IMPORTS")).alias("sure"), F.count_if(calls & same).alias("near"))
+    rows = own.join(per, "id", "left").join(hot.select("qualified_name", F.lit(True).alias("hot")).distinct(), "qualified_name", "left")
+    n, is_hot = F.coalesce("callers", F.lit(0).cast("long")), F.coalesce("hot", F.lit(False))
+    severity = F.when(is_hot | (n >= 20), "critical").when(n >= 10, "high").when(n >= 3, "medium").otherwise("low")
+    tier = F.when(c("sure") > 0, "confirmed").when(c("near") > 0, "probable").otherwise("nominal")
+    return rows.select("id", n.alias("callers"), is_hot.alias("is_hot"), severity.alias("severity"), tier.alias("tier"))
+
+
+def change_risk(symbols: DataFrame) -> DataFrame:
+    """One row over `changed_symbols`: how many there are of each tier, and the risk of the change."""
+    c = F.col
+    counted = symbols.agg(F.count("*").alias("symbols"), *(F.count_if(c("tier") == t).alias(t) for t in ("confirmed", "probable", "nominal")), F.count_if(c("severity") == "critical").alias("critical"), F.count_if(c("is_hot") | (c("severity") == "high")).alias("grave"))
+    return counted.select("symbols", "confirmed", "probable", "nominal", F.when(c("critical") > 0, "critical").when(c("grave") > 0, "high").otherwise("low").alias("risk"))
+
+
+def change_buckets(status: DataFrame) -> DataFrame:
+    """(bucket, path) of status rows, one per path (path, staged, unstaged, change): a rename is no
+    deletion, and what is both staged and not is in both buckets of changes."""
+    c = F.col
+    special = F.when(c("change") == "renamed", "renamed").when(c("change") == "deleted", "deleted").when(c("change") == "untracked", "untracked")
+    plain = F.filter(F.array(F.when(c("staged") | ~c("unstaged"), "tracked"), F.when(c("unstaged"), "unstaged")), lambda b: b.isNotNull())
+    return status.select(F.explode(F.when(special.isNotNull(), F.array(special)).otherwise(plain)).alias("bucket"), "path")
+
+
+#: Bytes taken for a file whose size isn't known, and bytes of a token.
+UNKNOWN_BYTES, TOKEN_BYTES = 3600, 4
+
+
+def tokens_of_files(files: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, tokens, files, confidence) of answers by the files (id, file) they spare reading; sizes
+    is (file, size). More files make the estimate surer."""
+    known = sizes.where("size > 0").groupBy("file").agg(F.max("size").alias("size"))
+    per = files.join(known, "file", "left").groupBy("id").agg(F.sum(F.coalesce("size", F.lit(UNKNOWN_BYTES))).alias("bytes"), F.count("*").alias("files"))
+    sure = F.when(F.col("files") >= 12, "high").when(F.col("files") >= 4, "medium").otherwise("low")
+    return per.select("id", F.floor(F.col("bytes") / TOKEN_BYTES + 0.5).alias("tokens"), "files", sure.alias("confidence"))
+
+
+def allowed_rows(shared: DataFrame, grants: DataFrame) -> DataFrame:
+    """Rows of a second provider that its grants (project) allow; without grants none."""
+    return shared.join(grants.select("project").distinct(), "project", "left_semi")
+
+
+def member_calls(calls: DataFrame, members: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(call_id, id) of calls (call_id, owner, name, lang) on a named owner: the only member (id,
+    owner, name, lang) of that owner and name in the language. An owner that is an alias (alias,
+    target) with one target stands for it."""
+    one = aliases.groupBy(F.col("alias").alias("owner")).agg(F.countDistinct("target").alias("k"), F.min("target").alias("target")).where("k = 1").drop("k")
+    named = calls.join(one, "owner", "left").select("call_id", F.coalesce("target", "owner").alias("owner"), "name", "lang")
+    only = members.groupBy("owner", "name", "lang").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").drop("k")
+    return named.join(only, ["owner", "name", "lang"]).select("call_id", "id")
+
+
 def unique_same_file(calls: DataFrame, nodes: DataFrame, shadows: DataFrame) -> DataFrame:
     """Calls (call_id, file, owner, name) to the only callable of that name in their file, unless
     the caller shadows the name (file, owner, name)."""
@@ -268,6 +332,25 @@ def value_layers(rows: DataFrame) -> DataFrame:
     return rows.select("id", observed.alias("observed"), likely.alias("likely"), F.when(whole > observed, whole).otherwise(F.round(likely * 1.3)).alias("maximum"), status.alias("status"))
 
 
+def snippets(nodes: DataFrame, edges: DataFrame, sources: DataFrame, wanted: DataFrame, around: int = 0, limit: int = 20) -> DataFrame:
+    """(id, snippet, callers, callees) of wanted symbols (id): their lines in sources (file_path,
+    content) with `around` more on either side, null without a source, and the first `limit`
+    distinct names on either side of their calls, by name."""
+    c = F.col
+    own = nodes.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "file_path", "start_line", "end_line")
+    text = sources.groupBy("file_path").agg(F.min("content").alias("content"))
+    calls, names = edges.where(c("type").isin(*MODES["calls"])).select("source_id", "target_id"), nodes.select("id", "name")
+
+    def side(at: str, other: str, label: str) -> DataFrame:
+        found = calls.select(c(at).alias("id"), c(other).alias("other")).join(own.select("id"), "id", "left_semi").join(names.select(c("id").alias("other"), "name"), "other").select("id", "name").distinct()
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("name"))).where(c("rank") <= limit)
+        return ranked.groupBy("id").agg(F.array_sort(F.collect_list("name")).alias(label))
+
+    rows = own.join(text, "file_path", "left").join(side("target_id", "source_id", "callers"), "id", "left").join(side("source_id", "target_id", "callees"), "id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("id", snippet(c("content"), c("start_line"), c("end_line"), around).alias("snippet"), F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
 def index_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per project: nodes, edges, files and the status of its index."""
     n = nodes.groupBy("project").agg(F.count("*").alias("nodes"), F.countDistinct("file_path").alias("files"))

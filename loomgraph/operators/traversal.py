@@ -133,11 +133,13 @@ def path_evidence(path: DataFrame, evidence: DataFrame) -> DataFrame:
     return path.join(per, "edge", "left").select(*path.columns, F.coalesce("evidence", F.lit(0).cast("long")).alias("evidence"), "strength", F.when(F.col("strength").isNotNull(), tier(F.col("strength"))).alias("tier"))
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int = 3, types: tuple[str, ...] = ("CALLS",)) -> DataFrame:
+def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int = 3, types: tuple[str, ...] = ("CALLS",), walk: DataFrame | None = None) -> DataFrame:
     """(hop, edge, source_id, target_id) of the shortest directed path, of several the one with
-    the least edge ids from the start; no rows where there is none within `max_depth`."""
+    the least edge ids from the start; no rows where there is none within `max_depth`. `walk` is
+    the graph's `prepared` steps."""
     spark = edges.sparkSession
-    rows = written(edges.where(F.col("type").isin(*types)).select("id", "source_id", "target_id"), "path")
+    out = _allowed(steps(edges, "outbound") if walk is None else walk, "outbound", types)
+    rows = out.select(F.col("edge").alias("id"), F.col("at").alias("source_id"), F.col("to").alias("target_id"))
     level = spark.range(1).select(F.lit(source).cast("long").alias("id"), F.array().cast("array<long>").alias("via"))
     seen = level.select("id")
     for _ in range(max_depth):

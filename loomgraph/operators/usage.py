@@ -211,6 +211,20 @@ def win_rates(events: DataFrame) -> DataFrame:
     return found.select("project", "n", "wins", low.alias("low"), high.alias("high"))
 
 
+def arm_savings(runs: DataFrame) -> DataFrame:
+    """(project, n, wins, ties, losses, micro, macro, low, high) of runs (project, base, test) of two
+    arms, and over all (null project): what the test arm saves as a ratio of sums (micro) and as
+    the mean of the projects' ratios (macro), and the interval of its wins among decided runs.
+    Runs without either value don't count; a base of 0 has no ratio."""
+    c = F.col
+    rows = runs.where("project is not null and base is not null and test is not null and not isnan(base) and not isnan(test)")
+    per = rows.groupBy("project").agg(F.count("*").alias("n"), F.count_if(c("test") < c("base")).alias("wins"), F.count_if(c("test") == c("base")).alias("ties"), F.sum("base").alias("b"), F.sum("test").alias("t"))
+    per = per.withColumn("ratio", F.try_divide(c("b") - c("t"), c("b")))
+    found = per.rollup("project").agg(*(F.sum(x).alias(x) for x in ("n", "wins", "ties", "b", "t")), F.avg("ratio").alias("macro"))
+    low, high = wilson(c("wins").cast("double"), (c("n") - c("ties")).cast("double"))
+    return found.where("n is not null").select("project", "n", "wins", "ties", (c("n") - c("wins") - c("ties")).alias("losses"), F.round(F.try_divide(c("b") - c("t"), c("b")), 6).alias("micro"), F.round("macro", 6).alias("macro"), low.alias("low"), high.alias("high"))
+
+
 def set_scores(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """One row of precision, recall and f1 of two sets; empty against empty is perfect."""
     both = expected.select(key, F.lit(1).alias("e")).distinct().join(actual.select(key, F.lit(1).alias("a")).distinct(), key, "full")

@@ -83,9 +83,9 @@ def _(nodes, edges, walk):
 
 @R.graph("op113_shortest_path", f""", p AS (SELECT {PART + 100}::BIGINT AS id, 0 AS hop, []::BIGINT[] AS via UNION ALL SELECT e.target_id, hop + 1, list_append(via, e.id) FROM p JOIN g_edges e ON e.source_id = p.id WHERE e.type = 'CALLS' AND hop < 3),
 best AS (SELECT via FROM p WHERE id = {PART + 12} AND hop > 0 ORDER BY hop, via LIMIT 1), steps AS (SELECT unnest(via) AS edge, generate_subscripts(via, 1) AS hop FROM best)
-SELECT hop::INT AS hop, edge, source_id, target_id FROM steps JOIN g_edges e ON e.id = edge""")
-def _(nodes, edges):
-    return V.shortest_path(edges, PART + 100, PART + 12)
+SELECT hop::INT AS hop, edge, source_id, target_id FROM steps JOIN g_edges e ON e.id = edge""", walks=True)
+def _(nodes, edges, walk):
+    return V.shortest_path(edges, PART + 100, PART + 12, walk=walk)
 
 
 @R.graph("op113_path_evidence", f""", p AS (SELECT {PART + 100}::BIGINT AS id, 0 AS hop, []::BIGINT[] AS via UNION ALL SELECT e.target_id, hop + 1, list_append(via, e.id) FROM p JOIN g_edges e ON e.source_id = p.id WHERE e.type = 'CALLS' AND hop < 3),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import evidence as E
 from loomgraph.operators import resolve as R0
 from loomgraph.operators import tools as T
 from loomgraph.operators.search import degrees
 from loomgraph.plans.lens import PART
 from loomgraph.plans.registry import Registry
+from loomgraph.sources import manifests as M
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -128,6 +130,30 @@ def _(nodes, edges):
     return rows.orderBy(*T.candidate_order()).limit(200).select("id", F.round("score", 3).alias("score"), "area")
 
 
+_ENTITIES = ", sem AS (SELECT id, project, sha256('[' || to_json(project)::VARCHAR || ',' || to_json(kind)::VARCHAR || ',' || to_json(qualified_name)::VARCHAR || ',' || to_json(CASE WHEN kind IN ('Function', 'Class') THEN file_path || ':' || qualified_name ELSE file_path END)::VARCHAR || ']') AS semantic_id FROM g_nodes WHERE kind IN ('File', 'Function', 'Method', 'Class'))"
+
+
+@R.graph("op168_entities", f"{_ENTITIES} SELECT id, semantic_id FROM sem")
+def _(nodes, edges):
+    return E.semantic_entities(nodes).select("id", "semantic_id")
+
+
+@R.graph("op168_relations", f"{_ENTITIES}, r AS (SELECT e.project, s.semantic_id AS source, e.type, t.semantic_id AS target, count(*) AS occurrences FROM g_edges e JOIN sem s ON s.id = e.source_id JOIN sem t ON t.id = e.target_id WHERE e.type IN ('CALLS', 'IMPORTS', 'TESTS', 'CONFIGURES', 'EMITS', 'LISTENS_ON') GROUP BY ALL) SELECT sha256('[' || to_json(project)::VARCHAR || ',' || to_json(source)::VARCHAR || ',' || to_json(type)::VARCHAR || ',' || to_json(target)::VARCHAR || ']') AS relation_id, source, type, target, occurrences FROM r")
+def _(nodes, edges):
+    return E.semantic_relations(nodes, edges).drop("project")
+
+
+@R.table("op162_snippets_with_names", "WITH n AS (SELECT doc_id AS id, 's' || (doc_id % 13) AS name, text, doc_id // 2 AS up FROM documents WHERE doc_id % 3 > 0), c AS (SELECT DISTINCT a.id, b.name FROM n a JOIN n b ON b.up = a.id), d AS (SELECT DISTINCT a.id, b.name FROM n a JOIN n b ON b.id = a.up) SELECT id, array_to_string(list_slice(string_split(text, chr(10)), 1, least(4, len(string_split(text, chr(10))))), chr(10)) AS snippet, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM c WHERE c.id = n.id), '') AS callers, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM d WHERE d.id = n.id), '') AS callees FROM n")
+def _(read):
+    c = F.col
+    docs = read("documents").where("doc_id % 3 > 0")
+    path = c("doc_id").cast("string")
+    nodes = docs.select(c("doc_id").alias("id"), F.concat(F.lit("s"), (c("doc_id") % 13).cast("string")).alias("name"), path.alias("file_path"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line"))
+    edges = docs.select(c("doc_id").alias("source_id"), F.floor(c("doc_id") / 2).alias("target_id"), F.lit("CALLS").alias("type"))
+    found = T.snippets(nodes, edges, docs.select(path.alias("file_path"), c("text").alias("content")), nodes, 1)
+    return found.select("id", "snippet", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
 @R.graph("op160_edge_context", f"SELECT * FROM (SELECT id, type, 'direct' AS role FROM g_edges WHERE source_id = {PART + 40} AND target_id = {PART + 20}) UNION ALL SELECT * FROM (SELECT id, type, 'out' AS role FROM g_edges WHERE source_id = {PART + 40} AND target_id <> {PART + 20} ORDER BY id, type LIMIT 10) UNION ALL SELECT * FROM (SELECT id, type, 'in' AS role FROM g_edges WHERE target_id = {PART + 20} AND source_id <> {PART + 40} ORDER BY id, type LIMIT 10)")
 def _(nodes, edges):
     return T.edge_context(edges, PART + 40, PART + 20)
@@ -149,6 +175,46 @@ def _(nodes, edges):
     return T.change_severity(nodes, edges, nodes.where(F.col("file_path").startswith("parts/brand#3")))
 
 
+_CHANGED = f""", {_HOT}, own AS (SELECT id, qualified_name, file_path FROM g_nodes WHERE file_path LIKE 'parts/brand#3%' OR file_path LIKE 'asia/%'), x AS (SELECT own.id, count(DISTINCT CASE WHEN e.type = 'CALLS' THEN s.name END) AS callers, count(*) AS sure FROM g_edges e JOIN own ON own.id = e.target_id JOIN g_nodes s ON s.id = e.source_id WHERE e.type IN ('CALLS', 'IMPORTS') GROUP BY own.id),
+y AS (SELECT own.id, coalesce(callers, 0) AS callers, qualified_name IN (SELECT qualified_name FROM hot) AS is_hot, sure FROM own LEFT JOIN x USING (id)), sym AS (SELECT id, callers, is_hot, CASE WHEN is_hot OR callers >= 20 THEN 'critical' WHEN callers >= 10 THEN 'high' WHEN callers >= 3 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN sure > 0 THEN 'confirmed' ELSE 'nominal' END AS tier FROM y)"""
+
+
+def _changed(nodes, edges):
+    changed = nodes.where(F.col("file_path").startswith("parts/brand#3") | F.col("file_path").startswith("asia/"))
+    return T.changed_symbols(nodes, edges, changed, T.hotspots(nodes, edges))
+
+
+@R.graph("op152_changed_symbols", f"{_CHANGED} SELECT * FROM sym")
+def _(nodes, edges):
+    return _changed(nodes, edges)
+
+
+@R.graph("op152_change_risk", f"{_CHANGED} SELECT count(*) AS symbols, count(*) FILTER (tier = 'confirmed') AS confirmed, count(*) FILTER (tier = 'probable') AS probable, count(*) FILTER (tier = 'nominal') AS nominal, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(is_hot OR severity = 'high') THEN 'high' ELSE 'low' END AS risk FROM sym")
+def _(nodes, edges):
+    return T.change_risk(_changed(nodes, edges))
+
+
+@R.table("op152_change_buckets", "SELECT CASE p_partkey % 6 WHEN 0 THEN 'unstaged' WHEN 1 THEN 'renamed' WHEN 2 THEN 'untracked' WHEN 3 THEN 'deleted' ELSE 'tracked' END AS bucket, CASE WHEN p_partkey % 6 = 1 THEN 'new/' ELSE '' END || 'f' || p_partkey AS path FROM part UNION ALL SELECT 'unstaged', 'f' || p_partkey FROM part WHERE p_partkey % 6 = 5")
+def _(read):
+    key, name = F.col("p_partkey") % 6, F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    line = F.when(key == 0, F.concat(F.lit(" M "), name)).when(key == 1, F.concat(F.lit("R  "), name, F.lit(" -> new/"), name)).when(key == 2, F.concat(F.lit("?? "), name)).when(key == 3, F.concat(F.lit(" D "), name)).when(key == 4, F.concat(F.lit("A  "), name)).otherwise(F.concat(F.lit("MM "), name))
+    return T.change_buckets(M.merged_status(M.status_lines(read("part").select(line.alias("value")))))
+
+
+@R.table("op13_allowed_rows", "SELECT id, project FROM nodes WHERE project IN (SELECT project FROM graph_snapshots WHERE status = 'failed')")
+def _(read):
+    return T.allowed_rows(read("nodes").select("id", "project"), read("graph_snapshots").where("status = 'failed'"))
+
+
+@R.table("op48_member_calls", "WITH a AS (SELECT 'alias_' || p_brand AS alias, min(p_brand) AS target FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1), m AS (SELECT p_brand AS owner, p_name AS name, min(p_partkey) AS id FROM part GROUP BY ALL HAVING count(*) = 1), c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, p_brand AS owner, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT call_id, id FROM c JOIN m USING (owner, name)")
+def _(read):
+    c = F.col
+    part = read("part")
+    calls = read("lineitem").join(part, c("l_partkey") == c("p_partkey")).select((c("l_orderkey") * 10 + c("l_linenumber")).alias("call_id"), F.when(c("l_linenumber") % 2 == 0, F.concat(F.lit("alias_"), "p_brand")).otherwise(c("p_brand")).alias("owner"), c("p_name").alias("name"), F.lit("ts").alias("lang"))
+    members = part.select(c("p_partkey").alias("id"), c("p_brand").alias("owner"), c("p_name").alias("name"), F.lit("ts").alias("lang"))
+    return T.member_calls(calls, members, part.select(F.concat(F.lit("alias_"), "p_brand").alias("alias"), c("p_brand").alias("target")))
+
+
 @R.graph("op46_unique_same_file", ", c AS (SELECT e.id AS call_id, s.file_path AS file, s.qualified_name AS owner, t.name FROM g_edges e JOIN g_nodes s ON s.id = source_id JOIN g_nodes t ON t.id = target_id WHERE e.type = 'REGISTRY_DISPATCH'), one AS (SELECT file_path AS file, name, min(id) AS target_id FROM g_nodes WHERE kind IN ('Function', 'Method') GROUP BY ALL HAVING count(*) = 1) SELECT call_id, target_id FROM c JOIN one USING (file, name) WHERE call_id % 5 > 0")
 def _(nodes, edges):
     ends = edges.where("type = 'REGISTRY_DISPATCH'").select(F.col("id").alias("call_id"), "source_id", "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("file"), F.col("qualified_name").alias("owner")), "source_id").join(nodes.select(F.col("id").alias("target_id"), "name"), "target_id").drop("target_id")

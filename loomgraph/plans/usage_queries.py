@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import texts as X
 from loomgraph.operators import evidence as E
+from loomgraph.operators import tools as T
 from loomgraph.operators import usage as U
 from loomgraph.plans.general_queries import AS_OF
 from loomgraph.plans.registry import Registry
@@ -195,6 +196,13 @@ def _(read):
     return found.select("relation", *(F.round(x, 6).alias(x) for x in ("support", "contradiction", "confidence")), "groups", "level")
 
 
+@R.table("op73_arm_savings", """WITH r AS (SELECT project, llm_latency_ms::DOUBLE AS base, (id % 200)::DOUBLE AS test FROM events_archive WHERE project IS NOT NULL AND llm_latency_ms IS NOT NULL), p AS (SELECT project, count(*) AS n, count(*) FILTER (test < base) AS wins, count(*) FILTER (test = base) AS ties, sum(base) AS b, sum(test) AS t FROM r GROUP BY project), q AS (SELECT *, CASE WHEN b <> 0 THEN (b - t) / b END AS ratio FROM p),
+a AS (SELECT project, sum(n)::BIGINT AS n, sum(wins)::BIGINT AS wins, sum(ties)::BIGINT AS ties, sum(b) AS b, sum(t) AS t, avg(ratio) AS macro FROM q GROUP BY ROLLUP (project)), z AS (SELECT *, n - ties AS k, wins / nullif(n - ties, 0)::DOUBLE AS w FROM a)
+SELECT project, n, wins, ties, n - wins - ties AS losses, round(CASE WHEN b <> 0 THEN (b - t) / b END, 6) AS micro, round(macro, 6) AS macro, CASE WHEN k > 0 THEN round((w + 3.8416 / (2 * k) - 1.96 * sqrt((w * (1 - w) + 3.8416 / (4 * k)) / k)) / (1 + 3.8416 / k), 6) ELSE 0 END AS low, CASE WHEN k > 0 THEN round((w + 3.8416 / (2 * k) + 1.96 * sqrt((w * (1 - w) + 3.8416 / (4 * k)) / k)) / (1 + 3.8416 / k), 6) ELSE 0 END AS high FROM z""")
+def _(read):
+    return U.arm_savings(read("events_archive").select("project", F.col("llm_latency_ms").cast("double").alias("base"), (F.col("id") % 200).cast("double").alias("test")))
+
+
 @R.table("op168_semantic_ids", "SELECT id, sha256('[' || coalesce(to_json(project)::VARCHAR, 'null') || ',' || coalesce(to_json(entity_class)::VARCHAR, 'null') || ',' || coalesce(to_json(normalized_signature)::VARCHAR, 'null') || ',' || coalesce(to_json(structural_context)::VARCHAR, 'null') || ']') AS semantic FROM semantic_entities")
 def _(read):
     return read("semantic_entities").select("id", E.content_id("project", "entity_class", "normalized_signature", "structural_context").alias("semantic"))
@@ -266,6 +274,22 @@ def _(read):
     return read("documents").where("text is not null").select("doc_id", X.cyclomatic(F.col("text")).alias("paths"))
 
 
+@R.table("fn_cognitive", rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, i, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM l),
+k AS (SELECT *, (len(regexp_extract_all(line, '\{{')) - len(regexp_extract_all(line, '\}}'))) AS d FROM t WHERE line <> '' AND NOT starts_with(line, '//') AND NOT starts_with(line, '*')),
+s AS (SELECT *, sum(d) OVER w AS total FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)), m AS (SELECT *, total - least(0, min(total) OVER w) AS after FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)), b AS (SELECT *, coalesce(lag(after) OVER w, 0) AS depth FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, sum((regexp_matches(line, '\b(if|for|while|do|catch|switch)\b')::INT + regexp_matches(line, '\?\s*[^:]+:')::INT) * (1 + depth) + regexp_matches(line, '&&|[|][|]|[?][?]')::INT * (0.5::DOUBLE + depth * 0.25)) AS n FROM b GROUP BY doc_id)
+SELECT d.doc_id, floor(coalesce(n, 0)::DOUBLE * 10 + 0.5) / 10 AS score FROM documents d LEFT JOIN p USING (doc_id) WHERE text IS NOT NULL""")
+def _(read):
+    return read("documents").where("text is not null").select("doc_id", X.cognitive(F.col("text")).alias("score"))
+
+
+@R.table("op89_tokens_of_files", """WITH f AS (SELECT id, unnest(from_json(files_json, '["VARCHAR"]')) AS file FROM events_archive WHERE json_valid(files_json)), s AS (SELECT DISTINCT file, length(file) * 100 AS size FROM f WHERE file IS NOT NULL AND length(file) % 3 > 0) SELECT id, floor(sum(coalesce(size, 3600)) / 4.0 + 0.5)::BIGINT AS tokens, count(*) AS files, CASE WHEN count(*) >= 12 THEN 'high' WHEN count(*) >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM f LEFT JOIN s USING (file) WHERE file IS NOT NULL GROUP BY id""")
+def _(read):
+    files = U.event_files(read("events_archive")).select("id", "file")
+    sizes = files.select("file").distinct().where(F.length("file") % 3 > 0).withColumn("size", F.length("file") * 100)
+    return T.tokens_of_files(files, sizes)
+
+
 @R.table("fn_redacted", r"SELECT id, substr(regexp_replace(regexp_replace(query, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}', '[email]', 'g'), '\+?\b\d(?:[ .()-]{0,2}\d){8,14}\b', '[phone]', 'g'), 1, 180) AS query FROM events_archive WHERE query IS NOT NULL")
 def _(read):
     return read("events_archive").where("query is not null").select("id", X.redacted(F.col("query")).alias("query"))

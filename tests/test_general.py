@@ -250,6 +250,12 @@ def test_rolling(frame):
     assert rolling_totals(frame(DAILY, [])).count() == 0
 
 
+def test_rolling_within_bounds(frame):
+    rows = [("p", d, 1, 0.0, day(1), "", 0) for d in ("0001-01-01", "2026-01-01", "2026-01-04", "9999-12-31")]
+    got = rolling_totals(frame(DAILY, rows), since="2020-01-01", until="2026-06-30")
+    assert [(r.day, int(r.tokens_saved_7d)) for r in got.orderBy("day").collect()] == [(date(2026, 1, d), 1 + (d == 4)) for d in (1, 2, 3, 4)]
+
+
 def test_bursts_against_brute_force(frame):
     rng = random.Random(5)
     values = {d: rng.choice([0, 0, 1, 50]) for d in range(120) if rng.random() < 0.6}

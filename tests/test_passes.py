@@ -117,5 +117,28 @@ def test_risk_of_symbols(frame):
     assert [risk[i] for i in (1, 2, 3, 4)] == ["critical", "high", "medium", "low"]
 
 
+@pytest.mark.parametrize("text, score", [("if (a) {\n  if (b && c) {\n    x ? y : z\n  }\n}", 1 + 2 + 0.75 + 3), ("// if (a)\n* for\n}\n}\nwhile (x) {", 1.0), ("", 0.0), ("a ?? b", 0.5)])
+def test_cognitive(frame, text, score):
+    from loomgraph.functions.texts import cognitive
+
+    assert frame("t string", [(text,)]).select(cognitive(F.col("t"))).first()[0] == pytest.approx(int(score * 10 + 0.5) / 10)
+
+
+@pytest.mark.parametrize("text, name, itself", [("function f(n) {\n return f(n - 1)\n}", "f", True), ("function f(n) {\n return xf(n)\n}", "f", False), ("def a.b():\n  a.b ()", "a.b", True), ("one line f(1)", "f", False), ("x\n(1)", "", False)])
+def test_calls_itself(frame, text, name, itself):
+    from loomgraph.functions.texts import calls_itself
+
+    assert frame("t string, n string", [(text, name)]).select(calls_itself(F.col("t"), F.col("n"))).first()[0] is itself
+
+
+def test_tiers_of_changes(frame):
+    nodes = frame(NODES, [node(1, "Function", "a", file="src/x/a.ts"), node(2, "Function", "b", file="src/x/b.ts"), node(3, "Function", "c", file="src/c.ts"), node(4, "Function", "d", file="src/x/d.ts")])
+    links = frame(EDGES, [(1, "p", 2, 1, "HTTP_CALLS", 1), (2, "p", 3, 4, "HTTP_CALLS", 1), (3, "p", 3, 2, "IMPORTS", 1)])
+    changed = frame("file_path string", [("src/x/a.ts",), ("src/x/b.ts",), ("src/x/d.ts",), ("none",)])
+    got = tools.changed_symbols(nodes, links, changed, frame("qualified_name string", [("m.d",), ("m.d",)]))
+    assert rows_of(got) == [(1, 1, False, "low", "probable"), (2, 0, False, "low", "confirmed"), (4, 1, True, "critical", "nominal")]
+    assert rows_of(tools.change_risk(got)) == [(3, 1, 1, 1, "critical")] and rows_of(tools.change_risk(got.where("id < 0"))) == [(0, 0, 0, 0, "low")]
+
+
 def test_every_query_is_named_after_the_inventory():
     assert all(name.startswith(("op", "p", "fn_")) for name in entry.queries())
