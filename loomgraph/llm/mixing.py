@@ -8,16 +8,18 @@ max_repeats, and what a cell can't take goes to the cells of its margin that sti
 source whose cells all end at the cap and still weigh less than wanted is short. Documents are
 then sampled with the calibrated number of copies.
 
-Sampling is systematic: the documents of a mixture's source are range-partitioned and sorted
-by size, longest first. Each task walks its part of that order and gives a document the
-further copy where this brings the tokens taken so far nearer to the calibrated tokens so far.
-Short documents come last and settle what long ones leave over, so what is taken of a source
-lies within half a document's tokens of what is wanted in each part of the order, and mostly
-within those of its shortest documents.
+Sampling is systematic: the documents of a mixture's source are put into blocks of about
+BLOCK_DOCS by size, longest first, with bounds from exact counts of the sizes. Each block is
+walked in that order, and a document gets the further copy where this brings the tokens taken
+so far nearer to the calibrated tokens so far. Short documents come last and settle what long
+ones leave over, so what is taken of a source lies within half a document's tokens of what is
+wanted in each block, and mostly within those of its shortest documents. The bounds depend on
+the documents only, not on the cluster, and so do the documents drawn.
 
 Only cell sums are raked: their number is bounded by the mixture's sources times primary
 language tags times TOPICS, however many documents there are. A source that holds a third of
-all documents is summed before any shuffle and spread over tasks by size when sampled.
+all documents is summed before any shuffle and spread over blocks by size when sampled; documents
+of one size that are more than a block are spread by hash.
 
 Defined cases: sources are compared trimmed and in lower case; several targets of a mixture
 for one source count as one with the sum of weights and the greatest max_repeats. Null or
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +47,9 @@ from loomgraph.session import bounded_join, written
 
 TOPICS, SWEEPS, TOLERANCE = 64, 200, 1e-10
 CELL = ["source", "lang", "topic"]
-#: Fractions of a copy are kept as integers of this unit.
-ONE = 1 << 24
+#: Fractions of a copy are kept as integers of this unit; documents of a block.
+ONE, BLOCK_DOCS = 1 << 24, 1 << 22
+_BLOCK = ["mix_name", "source", "block", "sub"]
 
 
 def targets_of(mixtures: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def short_sources(docs: DataFrame, mixtures: DataFrame, path: str | None = None)
 
 
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group, tail, left = ["mix_name", "source"], None, 0
+    group, tail, left = _BLOCK, None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -174,16 +177,28 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(further, pa.int64())], names=[*batch.schema.names, "further"])
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with the `block` and `sub` they are drawn in. One list of bounds a target is broadcast,
+    with an entry for BLOCK_DOCS documents."""
+    by = ["mix_name", "source"]
+    larger = Window.partitionBy(*by).orderBy(F.col("tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*by, "tokens").agg(F.count("*").alias("n")).withColumn("at", F.floor(F.coalesce(F.sum("n").over(larger), F.lit(0)) / BLOCK_DOCS))
+    blocks = sizes.groupBy(*by, "at").agg(F.min("tokens").alias("least"), F.ceil(F.sum("n") / BLOCK_DOCS).alias("parts"))
+    bounds = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("least", "parts")), False).alias("bounds"))
+    placed = rows.join(F.broadcast(bounds), by).withColumn("block", F.size(F.filter("bounds", lambda b: b["least"] > F.col("tokens"))))
+    return placed.withColumn("sub", F.pmod(F.xxhash64("doc_id", "mix_name"), F.element_at("bounds", F.col("block") + 1)["parts"])).drop("bounds")
+
+
 def select_documents(sized: DataFrame, calibrated: DataFrame) -> DataFrame:
     """(mix_name, doc_id, source, lang, topic, tokens, copies): the documents of each mixture. Of
-    equally long documents a hash of mixture and document decides the order, so the same input
-    in as many partitions gives the same ones."""
+    equally long documents a hash of mixture and document decides the order, so every run takes
+    the same ones."""
     cells = calibrated.where("copies > 0").select("mix_name", *CELL, F.floor("copies").alias("copies"), F.round((F.col("copies") - F.floor("copies")) * ONE).cast("long").alias("part"))
     rows = bounded_join(sized, cells, CELL).select("mix_name", "doc_id", *CELL, "tokens", "copies", "part")
-    width = max(2, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["mix_name", "source", F.col("tokens").desc(), F.xxhash64("mix_name", "doc_id"), "doc_id", "lang", "topic"]
-    in_order = rows.where("part > 0").repartitionByRange(width, *order).sortWithinPartitions(*order)
-    schema = T.StructType([*rows.schema.fields, T.StructField("further", T.LongType())])
+    placed = _in_blocks(rows.where("part > 0"))
+    order = [*_BLOCK, F.col("tokens").desc(), F.xxhash64("mix_name", "doc_id"), "doc_id", "lang", "topic"]
+    in_order = placed.repartition(*_BLOCK).sortWithinPartitions(*order)
+    schema = T.StructType([*placed.schema.fields, T.StructField("further", T.LongType())])
     drawn = written(in_order.mapInArrow(_drawn, schema), "drawn")
     out = rows.where("part = 0").unionByName(drawn.withColumn("copies", F.col("copies") + F.col("further")).select(rows.columns))
     return out.where("copies > 0").drop("part")

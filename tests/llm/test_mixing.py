@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from loomgraph.llm import queries
+from loomgraph.llm import mixing, queries
 from loomgraph.llm.mixing import calibrate, margins_reached, mix, mix_sized, rake
 from tests.conftest import rows_of
 from tests.llm.test_llm import DOCS, TARGETS, doc
@@ -54,6 +54,21 @@ def test_shares_are_met_to_one_document(frame):
             assert abs(r.calibrated_share - r.wanted_share) < 1e-3 and abs(r.reached_share - r.calibrated_share) < 0.05
 
 
+@pytest.mark.parametrize("block", [1 << 22, 50])
+def test_the_same_documents_whatever_the_partitions(spark, frame, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", block)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("aab"), rng.choice(["en", "de"]), rng.randrange(3), rng.choice([7, 7, 7, rng.randrange(1, 400)])) for i in range(900)]
+    targets = frame(TARGETS, [("m", "a", 2.0, 1, ""), ("m", "b", 3.0, 2, "")])
+    taken = []
+    for parts in (1, 5):
+        chosen, shares, _ = mix_sized(frame(SIZED, rows, parts), targets)
+        taken.append(rows_of(chosen))
+        for r in shares.collect():
+            assert r.short or abs(r.reached - r.wanted) <= r.largest / 2 * max(1, 900 / block)
+    assert taken[0] == taken[1]
+
+
 def test_a_cell_gets_floor_or_ceiling_of_its_copies(frame):
     rng = random.Random(2)
     sized = frame(SIZED, [(i, rng.choice("ab"), "en", rng.randrange(3), rng.choice([0, 1, 5, 5, 5, 900])) for i in range(800)] + [(None, "a", "en", 0, 7), (7, "b", "en", 0, 5)])
