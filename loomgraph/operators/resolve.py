@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.texts import is_test_path, split_type_list, test_to_source
+from loomgraph.session import bounded_join, written
 from loomgraph.sources.manifests import language
 
 CALLABLE = ("Function", "Method")
@@ -152,6 +154,32 @@ def imported(nodes: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame
     return to_files.unionByName(to_symbols), visible
 
 
+def _key(role: str, k1: str | Column, k2: str | Column, k3: str | Column = "") -> Column:
+    """Under which a rule of `resolve_calls` looks up; parts that are null match nothing."""
+    col = lambda k: k if isinstance(k, Column) else F.col(k) if k else F.lit("")
+    return F.struct(F.lit(role).alias("role"), col(k1).alias("k1"), col(k2).alias("k2"), col(k3).alias("k3"))
+
+
+def _facts(callables: DataFrame, visible: DataFrame, by_name: DataFrame, variables: DataFrame) -> DataFrame:
+    """One row per key of every rule: how many definitions, the first, and the same of the free ones
+    (of imports: of those that are no header's), and the first in another file."""
+    c = F.col
+    free = (c("kind") != "Method") & (F.coalesce("is_exported", F.lit(1)) != 0)
+    none = F.array().cast("array<struct<role:string,k1:string,k2:string,k3:string>>")
+    parts = F.split("qualified_name", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    named = F.array(_key("near", "file_path", "name"), _key("child", F.regexp_extract("qualified_name", r"^(.*)\.[^.]*$", 1), "name", "lang"), _key("name", "lang", "name"), _key("package", "lang", "dir", "name"))
+    qualified = F.concat(F.array(_key("own", "file_path", "qualified_name")), F.transform(tails, lambda t: _key("tail", "file_path", t)), F.when(c("kind") != "Method", F.transform(tails, lambda t: _key("suffix", "lang", t))).otherwise(none))
+    keys = F.concat(F.when(c("called") == c("name"), named).otherwise(none), F.when(c("called") == F.substring_index("qualified_name", ".", -1), qualified).otherwise(none))
+    other = F.lit(None).cast("long")
+    own = callables.select("id", free.alias("is_free"), other.alias("other"), F.explode(keys).alias("k")).select("k.*", "id", "is_free", "other")
+    seen = visible.join(by_name, "qualified_name")
+    shown = seen.select(F.lit("import").alias("role"), c("file").alias("k1"), c("name").alias("k2"), c("lang").alias("k3"), "id", (~c("file_path").rlike(HEADER)).alias("is_free"), F.when(c("file_path") != c("file"), c("id")).alias("other"))
+    held = variables.select(F.lit("shadow").alias("role"), "k1", "k2", F.lit("").alias("k3"), "id", F.lit(True).alias("is_free"), other.alias("other"))
+    rows = own.unionByName(shown).unionByName(held)
+    return rows.groupBy("role", "k1", "k2", "k3").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.count_if("is_free").alias("free_n"), F.min(F.when(c("is_free"), c("id"))).alias("free"), F.bool_and("is_free").alias("all_free"), F.min("other").alias("away"))
+
+
 def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
     """Calls with target_id, reason and confidence, null where no rule holds.
 
@@ -161,49 +189,49 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
     receiver blocks the rest; one exported definition; the same folder; one definition; one
     suffix."""
     c = F.col
-    rows = calls.withColumns({"method": F.substring_index("callee", ".", -1), "qualified": c("callee").contains("."), "lang": group(c("file")), "dir": folder(c("file"))})
-    callables = nodes.where(c("kind").isin(*CALLABLE)).withColumns({"lang": group(c("file_path")), "dir": folder(c("file_path"))})
-
-    own = callables.groupBy(c("file_path").alias("file"), c("qualified_name").alias("own_qn")).agg(F.min("id").alias("own"))
-    parent = F.regexp_extract("caller", r"^(.*)\.[^.]*$", 1)
-    rows = rows.withColumn("own_qn", F.when(c("callee").rlike(r"^(this|self)\.\w+$") & (parent != ""), F.concat(parent, F.lit("."), c("method")))).join(own, ["file", "own_qn"], "left")
-
-    near = callables.groupBy(c("file_path").alias("file"), c("name").alias("method")).agg(F.min("id").alias("near"))
-    tails = callables.select(c("file_path").alias("file"), "id", F.split("qualified_name", r"\.").alias("p"))
-    tails = tails.select("file", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "."))).alias("callee")).groupBy("file", "callee").agg(F.min("id").alias("tail"))
-    rows = rows.join(near, ["file", "method"], "left").join(tails, ["file", "callee"], "left")
-    shadow = nodes.where("kind = 'Variable'").select(c("file_path").alias("file"), c("name").alias("method"), F.lit(True).alias("shadow")).distinct()
-    rows = rows.join(shadow, ["file", "method"], "left")
-
-    seen = visible.join(callables.select("qualified_name", "id", "name", c("file_path").alias("at"), "lang"), "qualified_name")
-    body = ~c("at").rlike(HEADER)
-    by_import = seen.groupBy("file", c("name").alias("method"), "lang").agg(F.count("*").alias("imp_n"), F.min("id").alias("imp"), F.count_if(body).alias("body_n"), F.min(F.when(body, c("id"))).alias("body"), F.min(F.when(c("at") != c("file"), c("id"))).alias("away"))
-    rows = rows.join(by_import, ["file", "method", "lang"], "left")
-
-    receiver = F.when(c("callee").rlike(r"^\w+\.\w+$"), F.substring_index("callee", ".", 1))
+    use = ["file", "callee", "caller"]  # all that the lookups depend on, but for the declared type
+    method, parent, word = F.substring_index("callee", ".", -1), F.regexp_extract("caller", r"^(.*)\.[^.]*$", 1), c("callee").rlike(r"^\w+\.\w+$")
+    own_qn = F.when(c("callee").rlike(r"^(this|self)\.\w+$") & (parent != ""), F.concat(parent, F.lit("."), method))
+    asked = written(calls.select(*use).distinct().select(*use, method.alias("method"), group(c("file")).alias("lang"), folder(c("file")).alias("dir"), own_qn.alias("own_qn"), F.when(word, F.substring_index("callee", ".", 1)).alias("receiver")), "asked")
+    visible = written(visible.select("file", "qualified_name"), "visible")
+
+    # only definitions whose name, or whose qualified name's last part, is called; `called` is that text
+    last = F.substring_index("qualified_name", ".", -1)
+    defined = nodes.where(c("kind").isin(*CALLABLE)).select("id", "kind", "name", "qualified_name", "file_path", "is_exported", F.explode(F.array_distinct(F.array("name", last))).alias("called"))
+    wanted = bounded_join(defined, asked.select(c("method").alias("called")).distinct(), ["called"], "left_semi")
+    callables = written(wanted.withColumns({"lang": group(c("file_path")), "dir": folder(c("file_path"))}), "callables")
+    by_name = callables.where("called = name")
+    local = nodes.where("kind = 'Variable'").select(c("file_path").alias("k1"), c("name").alias("k2"), "id")
+    facts = written(_facts(callables, visible, by_name, local), "facts")
+
     owners = visible.select("file", c("qualified_name").alias("owner"), F.substring_index("qualified_name", ".", -1).alias("receiver")).groupBy("file", "receiver").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1").drop("n")
-    children = callables.withColumn("owner", F.regexp_extract("qualified_name", r"^(.*)\.[^.]*$", 1)).groupBy("owner", c("name").alias("method"), "lang").agg(F.count("*").alias("n"), F.min("id").alias("child")).where("n = 1").drop("n")
-    rows = rows.withColumn("receiver", receiver).join(owners, ["file", "receiver"], "left").join(children, ["owner", "method", "lang"], "left").drop("owner")
+    keys = [_key("own", "file", "own_qn"), _key("near", "file", "method"), _key("tail", "file", "callee"), _key("shadow", "file", "method"), _key("import", "file", "method", "lang"), _key("child", "owner", "method", "lang"), _key("name", "lang", "method"), _key("package", "lang", "dir", "method"), _key("suffix", "lang", "callee")]
+    met = asked.join(owners, ["file", "receiver"], "left").select(*use, F.explode(F.array(*keys)).alias("k")).select(*use, "k.*").join(facts, ["role", "k1", "k2", "k3"])
+    of = lambda role, value, test=F.lit(True): F.max(F.when((c("role") == role) & test, c(value)))
+    one = c("n") == 1
+    held = {
+        "own": of("own", "first"), "near": of("near", "first"), "tail": of("tail", "first"), "shadow": F.bool_or(c("role") == "shadow"), "child": of("child", "first", one), "suffix": of("suffix", "first", one),
+        "imp_n": of("import", "n"), "imp": of("import", "first"), "body_n": of("import", "free_n"), "body": of("import", "free"), "away": of("import", "away"),
+        "all_n": of("name", "n"), "any": of("name", "first"), "exp_n": of("name", "free_n"), "exp": of("name", "free"), "any_free": of("name", "all_free"), "pkg": of("package", "first"), "pkg_exp": of("package", "free"),
+    }
+    found = met.groupBy(*use).agg(*(v.alias(k) for k, v in held.items()))
+    rows = calls.withColumn("qualified", c("callee").contains("."))
+    rows = rows.join(found.withColumnsRenamed({k: f"_{k}" for k in use}), reduce(Column.__and__, (c(k).eqNullSafe(c(f"_{k}")) for k in use)), "left").drop(*(f"_{k}" for k in use))
 
     if bindings is None:
         rows = rows.withColumns({"typed": F.lit(None).cast("long"), "origin": F.lit(None).cast("string")})
     else:
-        held = bindings.select(c("owner").alias("caller"), c("name").alias("receiver"), F.regexp_replace("type_name", r"\s*(<.*|\[\].*|\|.*)$", "").alias("type_name"), "declaration_line", "scope_start", "scope_end", "origin")
-        use = ["file", "caller", "receiver", "method", "lang", "line"]  # calls that agree in these have one type
-        hit = rows.select(*use).distinct().join(held, ["caller", "receiver"]).where("declaration_line <= line and line between scope_start and scope_end")
-        first = hit.groupBy(*use).agg(F.min(F.struct("declaration_line", "type_name", "origin")).alias("b")).select(*use, "b.type_name", "b.origin")
+        bound = bindings.select(c("owner").alias("caller"), c("name").alias("receiver"), F.regexp_replace("type_name", r"\s*(<.*|\[\].*|\|.*)$", "").alias("type_name"), "declaration_line", "scope_start", "scope_end", "origin")
+        at = ["file", "callee", "caller", "line"]  # calls that agree in these have one type
+        hit = calls.select(*at).distinct().join(asked, use).join(bound, ["caller", "receiver"]).where("declaration_line <= line and line between scope_start and scope_end")
+        first = hit.groupBy(*at, "method", "lang").agg(F.min(F.struct("declaration_line", "type_name", "origin")).alias("b")).select(*at, "method", "lang", "b.type_name", "b.origin")
         kinds = nodes.where(c("kind").isin("Class", "Interface")).select(c("name").alias("type_name"), c("qualified_name").alias("owner"), c("file_path").alias("at"), group(c("file_path")).alias("lang"))
-        local = kinds.select(c("at").alias("file"), "type_name", "owner", "lang")
+        inside = kinds.select(c("at").alias("file"), "type_name", "owner", "lang")
         away = visible.join(kinds.withColumnRenamed("owner", "qualified_name"), "qualified_name").select("file", "type_name", c("qualified_name").alias("owner"), "lang")
-        typed_owner = local.unionByName(away).distinct().groupBy("file", "type_name", "lang").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1").drop("n")
-        typed = first.join(typed_owner, ["file", "type_name", "lang"]).join(children, ["owner", "method", "lang"]).select(*use, c("child").alias("typed"), "origin")
-        rows = rows.join(typed, use, "left")
-
-    free = (c("kind") != "Method") & (F.coalesce("is_exported", F.lit(1)) != 0)
-    names = callables.groupBy("lang", c("name").alias("method")).agg(F.count("*").alias("all_n"), F.min("id").alias("any"), F.count_if(free).alias("exp_n"), F.min(F.when(free, c("id"))).alias("exp"), F.bool_and(free).alias("any_free"))
-    package = callables.groupBy("lang", "dir", c("name").alias("method")).agg(F.min(F.when(free, c("id"))).alias("pkg_exp"), F.min("id").alias("pkg"))
-    suffix = callables.where("kind <> 'Method'").select("lang", "id", F.split("qualified_name", r"\.").alias("p")).select("lang", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "."))).alias("callee")).groupBy("lang", "callee").agg(F.count("*").alias("n"), F.min("id").alias("suffix")).where("n = 1").drop("n")
-    rows = rows.join(names, ["lang", "method"], "left").join(package, ["lang", "dir", "method"], "left").join(suffix, ["lang", "callee"], "left")
+        typed_owner = inside.unionByName(away).distinct().groupBy("file", "type_name", "lang").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1").drop("n")
+        children = facts.where("role = 'child' and n = 1").select(c("k1").alias("owner"), c("k2").alias("method"), c("k3").alias("lang"), c("first").alias("typed"))
+        typed = first.join(typed_owner, ["file", "type_name", "lang"]).join(children, ["owner", "method", "lang"]).select(*at, "typed", "origin")
+        rows = rows.join(typed, at, "left")
 
     hit = lambda target, reason, sure: F.struct(target.alias("target_id"), F.lit(reason).alias("reason"), (sure if isinstance(sure, Column) else F.lit(sure)).cast("double").alias("confidence"))
     none = F.lit(None).cast("long")

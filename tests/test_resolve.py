@@ -163,3 +163,15 @@ def test_logs_with_rejects(spark, tmp_path):
     (tmp_path / "usage.jsonl").write_text('{"ts":"x","project":"p","files":["a"]}\n{"project":"q"}\nnot json\n')
     good, bad = M.usage_log(spark, str(tmp_path / "usage.jsonl"), "p")
     assert good.count() == 1 and bad.count() == 1
+
+
+def _operators(df, name):
+    return df._jdf.queryExecution().sparkPlan().toString().count(name)
+
+
+def test_calls_are_resolved_in_one_lookup(frame, nodes):
+    calls = frame(CALLS, [("src/a.ts", "twin", "src.a.local", 8), ("src/a.ts", "twin", "src.a.local", 8), ("src/a.ts", "Tool.run", None, 9), (None, "single", "src.a.local", 1)])
+    resolved = R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin"), ("src/a.ts", "src.b.Tool")]))
+    # one join per rule made plans of 40 exchanges, which the driver holds and plans again after every stage
+    assert _operators(resolved, "Join") <= 4
+    assert rows_of(resolved.select("file", "target_id", "reason")) == [("src/a.ts", 21, "imported-name"), ("src/a.ts", 21, "imported-name"), ("src/a.ts", 23, "imported-owner"), (None, None, "not-found")]
