@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import BROADCAST_BYTES, bounded_join, row_bytes, written
+
 PLACES = 12
 
 
@@ -66,11 +68,49 @@ def semantic_entities(nodes: DataFrame) -> DataFrame:
     return rows.select("id", "project", content_id("project", "entity_class", "signature", "context").alias("semantic_id"), "entity_class", "signature", "context")
 
 
-def semantic_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _twins(entities: DataFrame, content: tuple[str, ...]) -> DataFrame:
+    """(id, least): entities that have the content of another with a lesser id."""
+    rows = entities.withColumn("k", F.xxhash64(*content))
+    shared = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    least = F.min("id").over(Window.partitionBy("semantic_id"))
+    return written(bounded_join(rows, shared, ["k"], "left_semi").select("id", least.alias("least")).where("id <> least").distinct(), "twins")
+
+
+#: So many times BROADCAST_BYTES of entities that are targets are sent to every executor, in parts.
+TARGET_PARTS = 4
+
+
+def semantic_relations(nodes: DataFrame, edges: DataFrame, max_parts: int = TARGET_PARTS) -> DataFrame:
     """(relation_id, project, source, type, target, occurrences): the edges between entities by
-    content, parallel ones as one relation."""
-    own = semantic_entities(nodes).select("id", "semantic_id")
-    rows = edges.where(F.col("type").isin(*RELATION_TYPES))
-    rows = rows.join(own.select(F.col("id").alias("source_id"), F.col("semantic_id").alias("source")), "source_id").join(own.select(F.col("id").alias("target_id"), F.col("semantic_id").alias("target")), "target_id")
-    counted = rows.groupBy("project", "source", "type", "target").agg(F.count("*").alias("occurrences"))
-    return counted.select(content_id("project", "source", "type", "target").alias("relation_id"), "project", "source", "type", "target", "occurrences")
+    content, parallel ones as one relation.
+
+    Edges are counted by node and shuffled once, by source, without texts; digests travel as 32
+    bytes. The targets' are sent to every executor while they have at most `max_parts` times
+    BROADCAST_BYTES, else joined by shuffle. Nodes of one content go by the least of their ids from
+    the start. Only where nodes share an id are the counts added up again by content."""
+    c = F.col
+    entities = semantic_entities(nodes)
+    content = ("project", "entity_class", "signature", "context")
+    rows = edges.where(c("type").isin(*RELATION_TYPES)).select("project", "source_id", "target_id", "type")
+    twins = _twins(entities, content)
+    if not twins.isEmpty():
+        for end in ("source_id", "target_id"):
+            rows = bounded_join(rows, twins.select(c("id").alias(end), "least"), [end], "left").withColumn(end, F.coalesce("least", end)).drop("least")
+    aimed = bounded_join(nodes.where(c("kind").isin(*ENTITY_KINDS)), rows.select(c("target_id").alias("id")).distinct(), ["id"], "left_semi")
+    targets = written(semantic_entities(aimed).select(c("id").alias("target_id"), F.unhex("semantic_id").alias("target")), "targets")
+    parts = -(-targets.agg(F.coalesce(F.sum(row_bytes(targets)), F.lit(0)).alias("n")).first()["n"] // BROADCAST_BYTES) or 1
+    counted = rows.repartition("source_id").groupBy("project", "source_id", "target_id", "type").agg(F.count("*").alias("occurrences"))
+    sources = entities.select("id", *content).repartition("id").select(c("id").alias("source_id"), F.unhex(content_id(*content)).alias("source"))  # texts pack better than digests
+    if parts <= max_parts:
+        met = counted.join(sources, "source_id")
+        for i in range(parts):
+            part = targets.where(F.pmod(F.xxhash64("target_id"), F.lit(parts)) == i).withColumnRenamed("target", f"target_{i}")
+            met = met.join(F.broadcast(part), "target_id", "left")
+        met = met.withColumn("target", F.coalesce(*(f"target_{i}" for i in range(parts)))).where("target is not null")
+    else:
+        met = rows.groupBy("project", "source_id", "target_id", "type").agg(F.count("*").alias("occurrences")).join(targets, "target_id").join(sources, "source_id")
+    met = met.select("project", "source", "type", "target", "occurrences")
+    if not entities.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        met = met.groupBy("project", "source", "type", "target").agg(F.sum("occurrences").alias("occurrences"))
+    texts = met.withColumns({k: F.lower(F.hex(k)) for k in ("source", "target")})
+    return texts.select(content_id("project", "source", "type", "target").alias("relation_id"), "project", "source", "type", "target", "occurrences")

@@ -108,7 +108,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     is indexed once and queried often."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED or not all(exists(spark, f) for df in _STORED[key] for f in df.inputFiles()[:1]):
-        _STORED[key] = (written(nodes(spark, sf_dir), "nodes"), written(edges(spark, sf_dir), "edges"))
+        _STORED[key] = (written(nodes(spark, sf_dir), "nodes", "zstd"), written(edges(spark, sf_dir), "edges", "zstd"))
     return _STORED[key]
 
 

@@ -75,13 +75,13 @@ def cleanup(spark: SparkSession) -> None:
         os.rmdir(made)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """`df` as a parquet table in the shared folder: lineage ends here, the rows are
-    computed once and outlive any executor."""
+    computed once and outlive any executor. `codec`: another compression than the session's."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(schema).parquet(path)
 
 
