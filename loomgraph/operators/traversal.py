@@ -3,10 +3,12 @@ folder after each round, so lineage doesn't grow and a lost executor costs one r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,12 +184,17 @@ CLUSTERED = ("Function", "Method", "Class", "Interface", "Type")
 CLUSTER_EDGES = ("CALLS", "IMPORTS", "HTTP_CALLS", "ASYNC_CALLS")
 
 
-def cluster_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, a, b): undirected links between clustered nodes, once from each side."""
+def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, source_id, target_id): the edges between clustered nodes."""
     kept = nodes.where(F.col("kind").isin(*CLUSTERED)).select("id", "project")
     rows = edges.where(F.col("type").isin(*CLUSTER_EDGES) & (F.col("source_id") != F.col("target_id"))).select("source_id", "target_id")
-    inside = rows.join(kept.withColumnRenamed("id", "source_id"), "source_id").join(kept.select(F.col("id").alias("target_id")), "target_id")
-    return inside.select("project", F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("l")).select("project", "l.a", "l.b")
+    return rows.join(kept.select(F.col("id").alias("target_id")), "target_id").join(kept.withColumnRenamed("id", "source_id"), "source_id").select("project", "source_id", "target_id")
+
+
+def cluster_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, a, b): undirected links between clustered nodes, once from each side."""
+    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return _inside(nodes, edges).select("project", F.explode(F.array(ends("source_id", "target_id"), ends("target_id", "source_id"))).alias("l")).select("project", "l.a", "l.b")
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
@@ -209,48 +216,134 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30)
     return label
 
 
-def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
-    """Label propagation in place, in a hashed order, over one project."""
-    ids = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]))
-    a, b = np.searchsorted(ids, rows["a"].to_numpy()), np.searchsorted(ids, rows["b"].to_numpy())
-    order = np.argsort(a, kind="stable")
-    cut = np.searchsorted(a[order], np.arange(len(ids) + 1))
+def _spans(cut: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all links of the nodes `at`, one node after the other, and their numbers."""
+    n = cut[at + 1] - cut[at]
+    return np.arange(n.sum()) + np.repeat(cut[at] - (np.cumsum(n) - n), n), n
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def _settled(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, inside, outside) of each node after label propagation in place, in a hashed order; a
+    and b are places in ids, each link from both sides. A node waits for its neighbours that come
+    before it in the order only, so nodes that wait for none of each other are moved at once, with
+    the same labels as one by one; nodes whose neighbours stayed as they were stay too."""
+    n = len(ids)
+    cut = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=n))))
+    b = b[np.argsort(a, kind="stable")]
     x = ids.astype(np.uint32)
     for _ in range(2):
         x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)  # a public mixing constant, fixed: it decides the order
     x ^= x >> np.uint32(16)
-    label = np.arange(len(ids))
+    rank = np.empty(n, np.int32)
+    rank[np.argsort(x, kind="stable")] = np.arange(n, dtype=np.int32)
+
+    def parts(at: np.ndarray) -> list[np.ndarray]:
+        return np.array_split(at, max(1, int((cut[at + 1] - cut[at]).sum()) >> 22)) if len(at) else []
+
+    waiting = np.zeros(n, np.int64)
+    for at in parts(np.arange(n)):
+        places, k = _spans(cut, at)
+        own = np.repeat(at, k)
+        waiting += np.bincount(own[rank[b[places]] < rank[own]], minlength=n)
+    ready, levels = np.flatnonzero(waiting == 0), []
+    while len(ready):
+        levels.append(ready)
+        freed = []
+        for at in parts(ready):
+            places, k = _spans(cut, at)
+            near = b[places]
+            later, k = np.unique(near[rank[near] > np.repeat(rank[at], k)], return_counts=True)
+            waiting[later] -= k
+            freed.append(later[waiting[later] == 0])
+        ready = np.concatenate(freed)
+
+    label, stale = np.arange(n), np.ones(n, bool)
     for _ in range(30):
         changed = False
-        for i in np.argsort(x, kind="stable"):
-            near = label[b[order[cut[i] : cut[i + 1]]]]
-            if not len(near):
-                continue
-            names, counts = np.unique(near, return_counts=True)
-            best = names[counts.argmax()]  # names ascend: of equal counts the least
-            changed |= bool(best != label[i])
-            label[i] = best
+        for level in levels:
+            for at in parts(level[stale[level]]):
+                stale[at] = False
+                places, k = _spans(cut, at)
+                votes = np.sort(np.repeat(np.arange(len(at)), k) * n + label[b[places]])
+                first = _begins(votes)
+                counts, (own, name) = np.diff(np.append(first, len(votes))), np.divmod(votes[first], n)
+                begin = _begins(own)
+                top = np.flatnonzero(counts == np.repeat(np.maximum.reduceat(counts, begin), np.diff(np.append(begin, len(own)))))
+                best = name[top[_begins(own[top])]]  # names ascend: of equal counts the least
+                moved = best != label[at]
+                if moved.any():
+                    changed = True
+                    label[at[moved]] = best[moved]
+                    stale[b[_spans(cut, at[moved])[0]]] = True
         if not changed:
             break
-    return pd.DataFrame({"project": rows["project"].iloc[0], "id": ids, "label": ids[label]})
+    inside = np.zeros(n, np.int64)
+    for at in parts(np.arange(n)):
+        places, k = _spans(cut, at)
+        own = np.repeat(at, k)
+        inside += np.bincount(own[label[b[places]] == label[own]], minlength=n)
+    return label, inside, np.diff(cut) - inside
+
+
+def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
+    """Label propagation in place over the links (project, a, b) of one project."""
+    ids = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]))
+    label, inside, outside = _settled(ids, np.searchsorted(ids, rows["a"].to_numpy()), np.searchsorted(ids, rows["b"].to_numpy()))
+    return pd.DataFrame({"project": rows["project"].iloc[0], "id": ids, "label": ids[label], "inside": inside, "outside": outside})
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_settled over each project of a partition of edges."""
+    held: dict[str | None, list[np.ndarray]] = {}
+    for batch in batches:
+        ends = np.stack([batch.column(i).to_numpy() for i in (1, 2)])
+        names = batch.column(0).dictionary_encode()
+        codes = names.indices.fill_null(len(names.dictionary)).to_numpy()
+        for code, name in enumerate([*names.dictionary.to_pylist(), None]):
+            if (mine := codes == code).any():
+                held.setdefault(name, []).append(ends[:, mine])
+    while held:
+        name, chunks = held.popitem()
+        ids = np.zeros(0, np.int64)
+        for i in range(0, len(chunks), 256):
+            ids = np.union1d(ids, np.concatenate([c.ravel() for c in chunks[i : i + 256]]))
+        small = np.concatenate([np.searchsorted(ids, chunks.pop()).astype(np.int32) for _ in range(len(chunks))], axis=1)
+        label, inside, outside = _settled(ids, np.concatenate((small[0], small[1])), np.concatenate((small[1], small[0])))
+        label = ids[label]
+        for i in range(0, len(ids), 100_000):
+            cut = slice(i, i + 100_000)
+            columns = [pa.array(x[cut], pa.int64()) for x in (ids, label, inside, outside)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(columns[0]), pa.string()), *columns], names=["project", "id", "label", "inside", "outside"])
 
 
 def sequential_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, id, label): the exact sequential variant. One project is one task, which suits
-    projects that fit into memory; `label_propagation` has no such limit."""
-    return cluster_links(nodes, edges).groupBy("project").applyInPandas(_sequential, "project string, id long, label long")
+    """(project, id, label, inside, outside): the exact sequential variant, with each node's links
+    within and out of its community. One project is one task, which suits projects that fit into
+    memory; `label_propagation` has no such limit."""
+    rows = _inside(nodes, edges).repartition("project")
+    return rows.mapInArrow(_labelled, "project string, id long, label long, inside long, outside long")
 
 
 def communities(labels: DataFrame, nodes: DataFrame, edges: DataFrame, min_members: int = 3, limit: int = 12) -> DataFrame:
     """(label, members, cohesion): the largest communities; cohesion is the share of the edges at
-    their nodes that stay inside, to four places."""
+    their nodes that stay inside, to four places. Labels with their numbers of links (`inside`,
+    `outside`) are taken at that; else the links are counted."""
+    cohesion = F.coalesce(F.round(F.try_divide(F.col("i"), F.col("i") + F.col("o")), 4), F.lit(0.0)).alias("cohesion")
+    order = (F.col("members").desc(), "label")
+    if "inside" in labels.columns:
+        counted = labels.groupBy("label").agg(F.count("*").alias("members"), (F.sum("inside") / 2).alias("i"), F.sum("outside").alias("o"))
+        return counted.where(F.col("members") >= min_members).select("label", "members", cohesion).orderBy(*order).limit(limit)
     links = cluster_links(nodes, edges)
     at = labels.select(F.col("id").alias("a"), F.col("label").alias("label"))
     to = labels.select(F.col("id").alias("b"), F.col("label").alias("other"))
     inside = links.join(at, "a").join(to, "b").groupBy("label").agg((F.count_if(F.col("label") == F.col("other")) / 2).alias("i"), F.count_if(F.col("label") != F.col("other")).alias("o"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= min_members)
-    cohesion = F.coalesce(F.round(F.try_divide(F.col("i"), F.col("i") + F.col("o")), 4), F.lit(0.0))
-    return sizes.join(inside, "label", "left").select("label", "members", cohesion.alias("cohesion")).orderBy(F.col("members").desc(), "label").limit(limit)
+    return sizes.join(inside, "label", "left").select("label", "members", cohesion).orderBy(*order).limit(limit)
 
 
 def deepest_chain(edges: DataFrame, root: int, max_depth: int = 10, types: tuple[str, ...] = ("CALLS",)) -> DataFrame:

@@ -119,7 +119,7 @@ def _(nodes, edges):
 
 @R.graph("op115_sequential_communities")
 def _(nodes, edges):
-    return V.communities(V.sequential_labels(nodes, edges).select("id", "label"), nodes, edges)
+    return V.communities(V.sequential_labels(nodes, edges), nodes, edges)
 
 
 @R.graph("op120_deepest_chain", f", p AS (SELECT [{PART + 900}::BIGINT] AS chain UNION ALL SELECT list_append(chain, target_id) FROM p JOIN (SELECT DISTINCT source_id, target_id FROM g_edges WHERE type = 'CALLS') e ON e.source_id = list_last(chain) WHERE NOT list_contains(chain, target_id) AND len(chain) <= 10) SELECT array_to_string(chain, '>') AS chain FROM p ORDER BY len(p.chain) DESC, p.chain LIMIT 1")

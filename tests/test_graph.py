@@ -227,3 +227,29 @@ def test_relations_are_shuffled_by_ids_and_twins_add_up(frame, parts):
         assert sorted(r.occurrences for r in found.collect()) == counts
         # such a shuffle holds two digests in hex for every edge; it is left to ids that repeat
         assert bool(more) == bool(re.search(r"hashpartitioning\(project#\d+, source#", found._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_sequential_labels_equal_one_by_one(spark, frame, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(90)]
+    nodes, links = frame(NODES, [node(i, "Function", f"f{i}") for i in range(40)]), edges(frame, pairs)
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, []).append(b), near.setdefault(b, []).append(a)
+
+    def mixed(i):
+        for _ in range(2):
+            i = (i ^ i >> 16) * 0x45D9F3B & 0xFFFFFFFF
+        return i ^ i >> 16
+
+    label = {i: i for i in near}
+    for _ in range(30):
+        for i in sorted(near, key=lambda i: (mixed(i), i)):
+            votes = [label[j] for j in near[i]]
+            label[i] = min(votes, key=lambda v: (-votes.count(v), v))
+    want = [("p", i, label[i], inside := sum(label[j] == label[i] for j in near[i]), len(near[i]) - inside) for i in near]
+    assert rows_of(traversal.sequential_labels(nodes, links)) == sorted(want, key=repr)
+    monkeypatch.setattr(lens, "stored", lambda *_: (nodes, links))
+    plan = graph_queries.QUERIES["op115_sequential_communities"](spark, "")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2  # the links were joined again, doubled, to count them by community
