@@ -175,3 +175,10 @@ def test_calls_are_resolved_in_one_lookup(frame, nodes):
     # one join per rule made plans of 40 exchanges, which the driver holds and plans again after every stage
     assert _operators(resolved, "Join") <= 4
     assert rows_of(resolved.select("file", "target_id", "reason")) == [("src/a.ts", 21, "imported-name"), ("src/a.ts", 21, "imported-name"), ("src/a.ts", 23, "imported-owner"), (None, None, "not-found")]
+
+
+def test_stats_of_calls_plan_few_joins(frame, nodes):
+    calls = frame(CALLS, [("src/a.ts", "db.get", "src.a.local", 10), ("src/a.ts", "twin", "src.a.local", 8), ("src/a.ts", "db.get", None, 3)])
+    stats = R.resolution_stats(R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin")])))
+    assert _operators(stats, "Join") <= 4
+    assert [tuple(r) for r in stats.collect()] == [("src/a.ts", 3, 2, {"unknown-receiver": 2})]
