@@ -182,3 +182,10 @@ def test_stats_of_calls_plan_few_joins(frame, nodes):
     stats = R.resolution_stats(R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin")])))
     assert _operators(stats, "Join") <= 4
     assert [tuple(r) for r in stats.collect()] == [("src/a.ts", 3, 2, {"unknown-receiver": 2})]
+
+
+def test_edges_of_calls_plan_few_joins(frame, nodes):
+    calls = frame(CALLS, [("src/a.ts", "twin", "src.a.local", 8), ("src/a.ts", "local", "gone", 9), ("src/a.ts", "db.get", "src.a.local", 10)])
+    edges = R.call_edges(R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin")])), nodes)
+    assert _operators(edges, "Join") <= 6
+    assert rows_of(edges.select("source_id", "target_id", "resolution", "line")) == [(1, 13, "same-file", 9), (13, 21, "imported-name", 8)]
