@@ -154,6 +154,12 @@ def imported(nodes: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame
     return to_files.unionByName(to_symbols), visible
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join by shuffle. Spark goes by the bytes of a stored table's files, of which the rows may take
+    a hundred times as much, in what it sends to all executors by way of the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _key(role: str, k1: str | Column, k2: str | Column, k3: str | Column = "") -> Column:
     """Under which a rule of `resolve_calls` looks up; parts that are null match nothing."""
     col = lambda k: k if isinstance(k, Column) else F.col(k) if k else F.lit("")
@@ -173,7 +179,7 @@ def _facts(callables: DataFrame, visible: DataFrame, by_name: DataFrame, variabl
     keys = F.concat(F.when(c("called") == c("name"), named).otherwise(none), F.when(c("called") == F.substring_index("qualified_name", ".", -1), qualified).otherwise(none))
     other = F.lit(None).cast("long")
     own = callables.select("id", free.alias("is_free"), other.alias("other"), F.explode(keys).alias("k")).select("k.*", "id", "is_free", "other")
-    seen = visible.join(by_name, "qualified_name")
+    seen = _merged(visible, by_name, ["qualified_name"])
     shown = seen.select(F.lit("import").alias("role"), c("file").alias("k1"), c("name").alias("k2"), c("lang").alias("k3"), "id", (~c("file_path").rlike(HEADER)).alias("is_free"), F.when(c("file_path") != c("file"), c("id")).alias("other"))
     held = variables.select(F.lit("shadow").alias("role"), "k1", "k2", F.lit("").alias("k3"), "id", F.lit(True).alias("is_free"), other.alias("other"))
     rows = own.unionByName(shown).unionByName(held)
@@ -189,10 +195,12 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
     receiver blocks the rest; one exported definition; the same folder; one definition; one
     suffix."""
     c = F.col
-    use = ["file", "callee", "caller"]  # all that the lookups depend on, but for the declared type
+    use = ["file", "callee", "own_qn"]  # all that the lookups depend on, but for the declared type
     method, parent, word = F.substring_index("callee", ".", -1), F.regexp_extract("caller", r"^(.*)\.[^.]*$", 1), c("callee").rlike(r"^\w+\.\w+$")
     own_qn = F.when(c("callee").rlike(r"^(this|self)\.\w+$") & (parent != ""), F.concat(parent, F.lit("."), method))
-    asked = written(calls.select(*use).distinct().select(*use, method.alias("method"), group(c("file")).alias("lang"), folder(c("file")).alias("dir"), own_qn.alias("own_qn"), F.when(word, F.substring_index("callee", ".", 1)).alias("receiver")), "asked")
+    said = {"method": method, "lang": group(c("file")), "receiver": F.when(word, F.substring_index("callee", ".", 1))}
+    columns, calls = calls.columns, written(calls.withColumn("own_qn", own_qn), "calls")  # read again for what is asked and what is found
+    asked = written(calls.select(*use).distinct().withColumns(said | {"dir": folder(c("file"))}), "asked")
     visible = written(visible.select("file", "qualified_name"), "visible")
 
     # only definitions whose name, or whose qualified name's last part, is called; `called` is that text
@@ -206,7 +214,7 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
 
     owners = visible.select("file", c("qualified_name").alias("owner"), F.substring_index("qualified_name", ".", -1).alias("receiver")).groupBy("file", "receiver").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1").drop("n")
     keys = [_key("own", "file", "own_qn"), _key("near", "file", "method"), _key("tail", "file", "callee"), _key("shadow", "file", "method"), _key("import", "file", "method", "lang"), _key("child", "owner", "method", "lang"), _key("name", "lang", "method"), _key("package", "lang", "dir", "method"), _key("suffix", "lang", "callee")]
-    met = asked.join(owners, ["file", "receiver"], "left").select(*use, F.explode(F.array(*keys)).alias("k")).select(*use, "k.*").join(facts, ["role", "k1", "k2", "k3"])
+    met = _merged(_merged(asked, owners, ["file", "receiver"], "left").select(*use, F.explode(F.array(*keys)).alias("k")).select(*use, "k.*"), facts, ["role", "k1", "k2", "k3"])
     of = lambda role, value, test=F.lit(True): F.max(F.when((c("role") == role) & test, c(value)))
     one = c("n") == 1
     held = {
@@ -216,22 +224,22 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
     }
     found = met.groupBy(*use).agg(*(v.alias(k) for k, v in held.items()))
     rows = calls.withColumn("qualified", c("callee").contains("."))
-    rows = rows.join(found.withColumnsRenamed({k: f"_{k}" for k in use}), reduce(Column.__and__, (c(k).eqNullSafe(c(f"_{k}")) for k in use)), "left").drop(*(f"_{k}" for k in use))
+    rows = _merged(rows, found.withColumnsRenamed({k: f"_{k}" for k in use}), reduce(Column.__and__, (c(k).eqNullSafe(c(f"_{k}")) for k in use)), "left").drop(*(f"_{k}" for k in use))
 
     if bindings is None:
         rows = rows.withColumns({"typed": F.lit(None).cast("long"), "origin": F.lit(None).cast("string")})
     else:
         bound = bindings.select(c("owner").alias("caller"), c("name").alias("receiver"), F.regexp_replace("type_name", r"\s*(<.*|\[\].*|\|.*)$", "").alias("type_name"), "declaration_line", "scope_start", "scope_end", "origin")
         at = ["file", "callee", "caller", "line"]  # calls that agree in these have one type
-        hit = calls.select(*at).distinct().join(asked, use).join(bound, ["caller", "receiver"]).where("declaration_line <= line and line between scope_start and scope_end")
+        hit = calls.select(*at).distinct().withColumns(said).join(bound, ["caller", "receiver"]).where("declaration_line <= line and line between scope_start and scope_end")
         first = hit.groupBy(*at, "method", "lang").agg(F.min(F.struct("declaration_line", "type_name", "origin")).alias("b")).select(*at, "method", "lang", "b.type_name", "b.origin")
         kinds = nodes.where(c("kind").isin("Class", "Interface")).select(c("name").alias("type_name"), c("qualified_name").alias("owner"), c("file_path").alias("at"), group(c("file_path")).alias("lang"))
         inside = kinds.select(c("at").alias("file"), "type_name", "owner", "lang")
         away = visible.join(kinds.withColumnRenamed("owner", "qualified_name"), "qualified_name").select("file", "type_name", c("qualified_name").alias("owner"), "lang")
         typed_owner = inside.unionByName(away).distinct().groupBy("file", "type_name", "lang").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).where("n = 1").drop("n")
         children = facts.where("role = 'child' and n = 1").select(c("k1").alias("owner"), c("k2").alias("method"), c("k3").alias("lang"), c("first").alias("typed"))
-        typed = first.join(typed_owner, ["file", "type_name", "lang"]).join(children, ["owner", "method", "lang"]).select(*at, "typed", "origin")
-        rows = rows.join(typed, at, "left")
+        typed = _merged(_merged(first, typed_owner, ["file", "type_name", "lang"]), children, ["owner", "method", "lang"]).select(*at, "typed", "origin")
+        rows = _merged(rows, typed, at, "left")
 
     hit = lambda target, reason, sure: F.struct(target.alias("target_id"), F.lit(reason).alias("reason"), (sure if isinstance(sure, Column) else F.lit(sure)).cast("double").alias("confidence"))
     none = F.lit(None).cast("long")
@@ -254,11 +262,11 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, visible: DataFrame, bindin
         .when(c("pkg").isNotNull(), hit(c("pkg"), "package-name", 0.55))
         .otherwise(hit(none, "not-found", 0.0))
     )
-    return rows.withColumn("r", rule).select(*calls.columns, "r.target_id", "r.reason", "r.confidence")
+    return rows.withColumn("r", rule).select(*columns, "r.target_id", "r.reason", "r.confidence")
 
 
 def call_edges(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
-    placed = sources_of(resolved.where("target_id is not null"), nodes, "caller")
+    placed = sources_of(resolved.where("target_id is not null"), nodes.hint("merge"), "caller")  # as _merged
     return _edge(placed, "CALLS", F.col("reason"), F.col("confidence"))
 
 

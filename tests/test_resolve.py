@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import resolve as R
+from loomgraph.plans.resolve_queries import among, seen
 from loomgraph.sources import manifests as M
 from loomgraph.sources.python_code import extract_python, observe
 from tests.conftest import rows_of
@@ -189,3 +190,18 @@ def test_edges_of_calls_plan_few_joins(frame, nodes):
     edges = R.call_edges(R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin")])), nodes)
     assert _operators(edges, "Join") <= 6
     assert rows_of(edges.select("source_id", "target_id", "resolution", "line")) == [(1, 13, "same-file", 9), (13, 21, "imported-name", 8)]
+
+
+def test_edges_of_calls_make_the_calls_once(frame, nodes):
+    lines = frame("line int, file string", [(8, "src/a.ts"), (9, "src/a.ts")])
+    calls = frame(CALLS, [("src/a.ts", "twin", "src.a.local", 8), ("src/a.ts", "this.shut", "src.a.Box.open", 9), ("src/a.ts", "this.shut", "src.a.local", 9)]).join(lines, ["line", "file"]).select("file", "callee", "caller", "line")
+    edges = R.call_edges(R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin")])), nodes)
+    assert _operators(edges, "BroadcastHashJoin") == 0 and _operators(edges, "SortMergeJoin") == 5
+    assert rows_of(edges.select("source_id", "target_id", "resolution", "line")) == [(11, 12, "lexical-receiver", 9), (13, 12, "same-file-name", 9), (13, 21, "imported-name", 8)]
+
+
+def test_nodes_among_the_ends_of_edges(frame, nodes):
+    ends = frame("source_id long, target_id long, type string, line int", [(13, 20, "CALLS", 1), (12, 20, "CALLS", 2)])
+    assert [r[0] for r in rows_of(among(nodes, ends).select("id"))] == [12, 13, 14, 20]
+    assert among(nodes, ends.where("line > 2")).count() == 0
+    assert rows_of(seen(among(nodes, ends), ends, "CALLS").select("owner", "target", "line")) == rows_of(seen(nodes, ends, "CALLS").select("owner", "target", "line"))
