@@ -192,6 +192,14 @@ def test_edges_of_calls_plan_few_joins(frame, nodes):
     assert rows_of(edges.select("source_id", "target_id", "resolution", "line")) == [(1, 13, "same-file", 9), (13, 21, "imported-name", 8)]
 
 
+def test_stats_of_calls_broadcast_nothing(frame, nodes):
+    calls = frame(CALLS, [("src/a.ts", "db.get", f"src.a.f{i}", i) for i in range(40)] + [("src/a.ts", "twin", "src.a.local", 8)])
+    stats = R.resolution_stats(R.resolve_calls(calls, nodes, frame(VISIBLE, [("src/a.ts", "src.b.twin"), ("src/a.ts", "src.b.Tool")])))
+    # stored keys and facts are small as files only: the driver would hold their rows
+    assert _operators(stats, "BroadcastHashJoin") == 0 and _operators(stats, "SortMergeJoin") == 3
+    assert [tuple(r) for r in stats.collect()] == [("src/a.ts", 41, 40, {"unknown-receiver": 40})]
+
+
 def test_edges_of_calls_make_the_calls_once(frame, nodes):
     lines = frame("line int, file string", [(8, "src/a.ts"), (9, "src/a.ts")])
     calls = frame(CALLS, [("src/a.ts", "twin", "src.a.local", 8), ("src/a.ts", "this.shut", "src.a.Box.open", 9), ("src/a.ts", "this.shut", "src.a.local", 9)]).join(lines, ["line", "file"]).select("file", "callee", "caller", "line")
