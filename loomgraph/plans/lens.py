@@ -44,13 +44,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of all kinds."""
     region, nation, customer, supplier, part, orders = (_table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders"))
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.concat_ws("/", _slug("r_name"), _slug("n_name")).alias("folder"))
+    few = F.broadcast(place)  # taken for the product of its two tables, Spark would rather send all customers by way of the driver
     dotted = F.replace(F.col("folder"), F.lit("/"), F.lit("."))
     month = F.date_format("o_orderdate", "yyyy/MM")
     kinds = [
         _node(region, REGION, "r_regionkey", "Folder", F.col("r_name"), _slug("r_name"), _slug("r_name"), F.lit(1)),
         _node(place, NATION, "n_nationkey", "Module", F.col("n_name"), dotted, F.col("folder"), F.lit(1)),
-        _node(customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")), CUSTOMER, "c_custkey", "Interface", F.col("c_name"), F.concat_ws(".", dotted, "c_name"), F.concat("folder", F.lit("/customer_"), (F.col("c_custkey") % 5).cast("string"), F.lit(".ts")), F.lit(2)),
-        _node(supplier.join(place, F.col("s_nationkey") == F.col("n_nationkey")), SUPPLIER, "s_suppkey", "Class", F.col("s_name"), F.concat_ws(".", dotted, "s_name"), F.concat("folder", F.lit("/supplier_"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".ts")), (F.col("s_suppkey") % 60).cast("int")),
+        _node(customer.join(few, F.col("c_nationkey") == F.col("n_nationkey")), CUSTOMER, "c_custkey", "Interface", F.col("c_name"), F.concat_ws(".", dotted, "c_name"), F.concat("folder", F.lit("/customer_"), (F.col("c_custkey") % 5).cast("string"), F.lit(".ts")), F.lit(2)),
+        _node(supplier.join(few, F.col("s_nationkey") == F.col("n_nationkey")), SUPPLIER, "s_suppkey", "Class", F.col("s_name"), F.concat_ws(".", dotted, "s_name"), F.concat("folder", F.lit("/supplier_"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".ts")), (F.col("s_suppkey") % 60).cast("int")),
         _node(part, PART, "p_partkey", "Function", _slug("p_name"), F.concat(F.lit("parts."), _slug("p_brand"), F.lit("."), _slug("p_name"), F.lit("_"), F.col("p_partkey").cast("string")), F.concat(F.when(F.col("p_partkey") % 11 == 0, "tests/").otherwise("parts/"), _slug("p_brand"), F.lit("/m"), (F.col("p_partkey") % 50).cast("string"), F.lit(".ts")), F.col("p_size").cast("int")),
         _node(orders, ORDER, "o_orderkey", "Method", F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), F.concat(F.lit("orders."), F.replace(month, F.lit("/"), F.lit(".")), F.lit(".order_"), F.col("o_orderkey").cast("string")), F.concat(F.lit("orders/"), month, F.lit("/o"), (F.col("o_orderkey") % 20).cast("string"), F.lit(".ts")), (F.col("o_orderkey") % 37).cast("int")),
         _node(_channels(spark, sf_dir), CHANNEL, "c_key", "Channel", F.col("segment"), F.concat(F.lit("channel."), F.lower("segment")), F.lit("channels.ts"), F.lit(0)),

@@ -49,3 +49,12 @@ def test_depths_equal_the_sql_with_methods(spark):
     sql = whole(entry.oracle_sql()["op116_transitive_depth"]).replace("kind = 'Function'", "kind IN ('Function', 'Method')")
     want = Counter(connect(SMALL).execute(sql).fetchall())
     assert Counter(tuple(r) for r in entry.queries()["op116_transitive_depth"](spark, SMALL).select("id", "depth").collect()) == want
+
+
+def test_the_lens_broadcasts_no_customers(spark):
+    nodes = lens.nodes(spark, SMALL)
+    # the side of places is 25 rows, but its size is taken for the product of two tables': the other side was sent, 67 MB of rows at 60 times sf0.1
+    plan = nodes._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BuildRight") >= 2
+    want = connect(SMALL).execute(f"{lens.LENS_SQL} SELECT id, qualified_name, file_path FROM g_nodes WHERE kind IN ('Class', 'Interface')").fetchall()
+    assert Counter(tuple(r) for r in nodes.where("kind in ('Class', 'Interface')").select("id", "qualified_name", "file_path").collect()) == Counter(want)
