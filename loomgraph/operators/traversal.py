@@ -3,6 +3,9 @@ folder after each round, so lineage doesn't grow and a lost executor costs one r
 
 from __future__ import annotations
 
+import mmap
+import os
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -185,10 +188,12 @@ CLUSTER_EDGES = ("CALLS", "IMPORTS", "HTTP_CALLS", "ASYNC_CALLS")
 
 
 def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, source_id, target_id): the edges between clustered nodes."""
+    """(project, source_id, target_id): the edges between clustered nodes. The nodes are joined by
+    shuffle: by the bytes of their stored files, Spark would send all their ids by way of the driver."""
     kept = nodes.where(F.col("kind").isin(*CLUSTERED)).select("id", "project")
     rows = edges.where(F.col("type").isin(*CLUSTER_EDGES) & (F.col("source_id") != F.col("target_id"))).select("source_id", "target_id")
-    return rows.join(kept.select(F.col("id").alias("target_id")), "target_id").join(kept.withColumnRenamed("id", "source_id"), "source_id").select("project", "source_id", "target_id")
+    sources, targets = kept.withColumnRenamed("id", "source_id").hint("merge"), kept.select(F.col("id").alias("target_id")).hint("merge")
+    return rows.join(targets, "target_id").join(sources, "source_id").select("project", "source_id", "target_id")
 
 
 def cluster_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -216,60 +221,184 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30)
     return label
 
 
+#: Links that the labelling takes at a time; what it makes of one is up to some 60 bytes.
+LINKS = 1 << 20
+#: Edges in a block: a few KB, as blocks are sent to Python by thousands.
+BLOCK_EDGES = 2048
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(project, edges, block): the edges (project, source, target) in compressed blocks, some 4 bytes
+    an edge where sources come in order."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        ends = np.stack([batch.column(i).to_numpy() for i in (1, 2)])
+        names = batch.column(0).dictionary_encode()
+        codes = names.indices.fill_null(len(names.dictionary)).to_numpy()
+        rows = []
+        for code, name in enumerate([*names.dictionary.to_pylist(), None]):
+            mine = ends[:, codes == code]
+            for i in range(0, mine.shape[1], BLOCK_EDGES):
+                cut = mine[:, i : i + BLOCK_EDGES].copy()
+                cut[0, 1:] -= cut[0, :-1].copy()
+                split = np.ascontiguousarray(cut.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1))  # bytes of one place together
+                rows.append((name, cut.shape[1], codec.compress(split, asbytes=True)))
+        kinds = zip(("project", "edges", "block"), zip(*rows), (pa.string(), pa.int32(), pa.binary()))
+        if rows:
+            yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in kinds})
+
+
+def _unpacked(blocks: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sources and targets of the blocks, about half of LINKS at a time."""
+    codec, step = pa.Codec("zstd"), max(1, LINKS // 2 // BLOCK_EDGES)
+    for i in range(0, len(blocks), step):
+        ends = []
+        for k, block in blocks[i : i + step]:
+            split = np.frombuffer(codec.decompress(block, decompressed_size=16 * k), np.uint8).reshape(2, 8, k)
+            cut = np.ascontiguousarray(split.transpose(0, 2, 1)).view(np.int64)[..., 0]
+            ends.append(np.stack((np.cumsum(cut[0]), cut[1])))
+        yield tuple(np.concatenate(ends, axis=1))
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+
+
+def _distinct(chunks: list[np.ndarray]) -> np.ndarray:
+    """The values of the chunks, which are taken out of the list, in order."""
+    every = np.concatenate(chunks)
+    chunks.clear()
+    every.sort()
+    return every[_begins(every)]
+
+
+def _ids(blocks: list[tuple[int, bytes]]) -> np.ndarray:
+    ids, fresh, waiting = np.zeros(0, np.int64), [], 0
+    for ends in _unpacked(blocks):
+        fresh.append(_distinct(list(ends)))
+        waiting += len(fresh[-1])
+        if waiting > max(LINKS, len(ids) // 2):
+            fresh.append(ids)
+            del ids
+            ids, waiting = _distinct(fresh), 0
+    return _distinct([*fresh, ids])
+
+
+def _places(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The places of the values in ids; looked up in their order, near ones after each other."""
+    order = np.argsort(values)
+    found = np.empty(len(values), np.int64)
+    found[order] = np.searchsorted(ids, values[order])
+    return found
+
+
+def _links(blocks: list[tuple[int, bytes]], ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The links by places in ids, from both sides and in order: (first, own, count, near), where the
+    k-th node own[k] has count[k] links from first[k] on."""
+    for ends in _unpacked(blocks):
+        a, b = (_places(ids, x) for x in ends)
+        keys = np.concatenate((a << 32 | b, b << 32 | a))
+        keys.sort()
+        own = keys >> 32
+        first = _begins(own)
+        yield first, own[first], np.diff(np.append(first, len(own))), (keys & 0xFFFFFFFF).astype(np.int32)
+
+
+def _kept(size: int) -> np.ndarray:
+    """int32 numbers, many of them in a file without a name, mapped into memory: its pages are the
+    system's cache, which it may drop; the file ends with the array."""
+    if size <= LINKS:
+        return np.empty(size, np.int32)
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    with tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None) as file:
+        os.posix_fallocate(file.fileno(), 0, 4 * size)  # a full disk is an error here, not a fault later
+        return np.frombuffer(mmap.mmap(file.fileno(), 4 * size), np.int32)
+
+
+def _graph(blocks: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, cut, near): near[cut[i] : cut[i + 1]] are the places of the neighbours of ids[i], each link
+    from both sides. In memory are the nodes and the blocks, which are taken out of the list."""
+    ids = _ids(blocks)
+    cut = np.zeros(len(ids) + 1, np.int64)
+    for _, own, count, _ in _links(blocks, ids):
+        cut[own + 1] += count
+    np.cumsum(cut, out=cut)
+    near, at = _kept(int(cut[-1])), cut[:-1].copy()
+    for first, own, count, found in _links(blocks, ids):
+        near[np.arange(len(found)) + np.repeat(at[own] - first, count)] = found
+        at[own] += count
+    blocks.clear()
+    return ids, cut, near
+
+
 def _spans(cut: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of all links of the nodes `at`, one node after the other, and their numbers."""
     n = cut[at + 1] - cut[at]
     return np.arange(n.sum()) + np.repeat(cut[at] - (np.cumsum(n) - n), n), n
 
 
-def _begins(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+def _parts(cut: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The nodes `at` in parts of about LINKS links, or of one node."""
+    n = np.cumsum(cut[at + 1] - cut[at])
+    return np.split(at, np.unique(np.searchsorted(n, np.arange(LINKS, n[-1], LINKS), "right"))) if len(at) and n[-1] > LINKS else [at]
+
+
+def _ranges(cut: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All nodes in ranges of at most 100,000 with about LINKS links, or of one node."""
+    i, n = 0, len(cut) - 1
+    while i < n:
+        j = int(np.searchsorted(cut, cut[i] + LINKS, "right")) - 1
+        yield i, (j := min(max(j, i + 1), i + 100_000, n))
+        i = j
 
 
-def _settled(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label, inside, outside) of each node after label propagation in place, in a hashed order; a
-    and b are places in ids, each link from both sides. A node waits for its neighbours that come
-    before it in the order only, so nodes that wait for none of each other are moved at once, with
-    the same labels as one by one; nodes whose neighbours stayed as they were stay too."""
+def _settled(ids: np.ndarray, cut: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The label of each node of a `_graph`, a place in ids, after label propagation in place, in a
+    hashed order. A node waits for its neighbours that come before it in the order only, so nodes
+    that wait for none of each other are moved at once, with the same labels as one by one; nodes
+    whose neighbours stayed as they were stay too."""
     n = len(ids)
-    cut = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=n))))
-    b = b[np.argsort(a, kind="stable")]
     x = ids.astype(np.uint32)
     for _ in range(2):
         x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)  # a public mixing constant, fixed: it decides the order
     x ^= x >> np.uint32(16)
     rank = np.empty(n, np.int32)
     rank[np.argsort(x, kind="stable")] = np.arange(n, dtype=np.int32)
-
-    def parts(at: np.ndarray) -> list[np.ndarray]:
-        return np.array_split(at, max(1, int((cut[at + 1] - cut[at]).sum()) >> 22)) if len(at) else []
-
-    waiting = np.zeros(n, np.int64)
-    for at in parts(np.arange(n)):
-        places, k = _spans(cut, at)
-        own = np.repeat(at, k)
-        waiting += np.bincount(own[rank[b[places]] < rank[own]], minlength=n)
-    ready, levels = np.flatnonzero(waiting == 0), []
+    del x
+
+    waiting = np.empty(n, np.int32)
+    for i, j in _ranges(cut):
+        own = np.repeat(np.arange(j - i), np.diff(cut[i : j + 1]))
+        earlier = rank[near[cut[i] : cut[j]]] < rank[i:j][own]
+        waiting[i:j] = np.bincount(own[earlier], minlength=j - i)
+    ready, levels = np.flatnonzero(waiting == 0).astype(np.int32), []
     while len(ready):
         levels.append(ready)
         freed = []
-        for at in parts(ready):
+        for at in _parts(cut, ready):
             places, k = _spans(cut, at)
-            near = b[places]
-            later, k = np.unique(near[rank[near] > np.repeat(rank[at], k)], return_counts=True)
-            waiting[later] -= k
-            freed.append(later[waiting[later] == 0])
+            to = near[places]
+            later = to[rank[to] > np.repeat(rank[at], k)]
+            later.sort()
+            first = _begins(later)
+            waiting[later[first]] -= np.diff(np.append(first, len(later))).astype(np.int32)
+            freed.append(later[first][waiting[later[first]] == 0])
         ready = np.concatenate(freed)
+    del rank, waiting
 
-    label, stale = np.arange(n), np.ones(n, bool)
+    label, stale = np.arange(n, dtype=np.int32), np.ones(n, bool)
     for _ in range(30):
         changed = False
         for level in levels:
-            for at in parts(level[stale[level]]):
+            for at in _parts(cut, level[stale[level]]):
+                if not len(at):
+                    continue
                 stale[at] = False
                 places, k = _spans(cut, at)
-                votes = np.sort(np.repeat(np.arange(len(at)), k) * n + label[b[places]])
+                votes = np.repeat(np.arange(len(at)) * n, k)
+                votes += label[near[places]]
+                votes.sort()
                 first = _begins(votes)
                 counts, (own, name) = np.diff(np.append(first, len(votes))), np.divmod(votes[first], n)
                 begin = _begins(own)
@@ -279,53 +408,47 @@ def _settled(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
                 if moved.any():
                     changed = True
                     label[at[moved]] = best[moved]
-                    stale[b[_spans(cut, at[moved])[0]]] = True
+                    stale[near[_spans(cut, at[moved])[0]]] = True
         if not changed:
             break
-    inside = np.zeros(n, np.int64)
-    for at in parts(np.arange(n)):
-        places, k = _spans(cut, at)
-        own = np.repeat(at, k)
-        inside += np.bincount(own[label[b[places]] == label[own]], minlength=n)
-    return label, inside, np.diff(cut) - inside
+    return label
+
+
+def _results(name: str | None, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(project, id, label, inside, outside) of the nodes of one project's blocks."""
+    ids, cut, near = _graph(blocks)
+    label = _settled(ids, cut, near)
+    for i, j in _ranges(cut):
+        k = np.diff(cut[i : j + 1])
+        own = np.repeat(np.arange(j - i), k)
+        inside = np.bincount(own[label[near[cut[i] : cut[j]]] == label[i:j][own]], minlength=j - i)
+        columns = [pa.array(x, pa.int64()) for x in (ids[i:j], ids[label[i:j]], inside, k - inside)]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (j - i), pa.string()), *columns], names=["project", "id", "label", "inside", "outside"])
 
 
 def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
-    """Label propagation in place over the links (project, a, b) of one project."""
-    ids = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]))
-    label, inside, outside = _settled(ids, np.searchsorted(ids, rows["a"].to_numpy()), np.searchsorted(ids, rows["b"].to_numpy()))
-    return pd.DataFrame({"project": rows["project"].iloc[0], "id": ids, "label": ids[label], "inside": inside, "outside": outside})
+    """Label propagation in place over the links (project, a, b) of one project, once from each side."""
+    once = rows[rows["a"] < rows["b"]]
+    edges = pa.RecordBatch.from_pandas(once[["project", "a", "b"]], preserve_index=False)
+    return pa.Table.from_batches(_labelled(_packed(iter([edges])))).to_pandas()
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_settled over each project of a partition of edges."""
-    held: dict[str | None, list[np.ndarray]] = {}
+    """`_results` of each project of a partition of `_packed` edges."""
+    held: dict[str | None, list[tuple[int, bytes]]] = {}
     for batch in batches:
-        ends = np.stack([batch.column(i).to_numpy() for i in (1, 2)])
-        names = batch.column(0).dictionary_encode()
-        codes = names.indices.fill_null(len(names.dictionary)).to_numpy()
-        for code, name in enumerate([*names.dictionary.to_pylist(), None]):
-            if (mine := codes == code).any():
-                held.setdefault(name, []).append(ends[:, mine])
+        for name, edges, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            held.setdefault(name, []).append((edges, block))
     while held:
-        name, chunks = held.popitem()
-        ids = np.zeros(0, np.int64)
-        for i in range(0, len(chunks), 256):
-            ids = np.union1d(ids, np.concatenate([c.ravel() for c in chunks[i : i + 256]]))
-        small = np.concatenate([np.searchsorted(ids, chunks.pop()).astype(np.int32) for _ in range(len(chunks))], axis=1)
-        label, inside, outside = _settled(ids, np.concatenate((small[0], small[1])), np.concatenate((small[1], small[0])))
-        label = ids[label]
-        for i in range(0, len(ids), 100_000):
-            cut = slice(i, i + 100_000)
-            columns = [pa.array(x[cut], pa.int64()) for x in (ids, label, inside, outside)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(columns[0]), pa.string()), *columns], names=["project", "id", "label", "inside", "outside"])
+        yield from _results(*held.popitem())
 
 
 def sequential_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project, id, label, inside, outside): the exact sequential variant, with each node's links
-    within and out of its community. One project is one task, which suits projects that fit into
-    memory; `label_propagation` has no such limit."""
-    rows = _inside(nodes, edges).repartition("project")
+    within and out of its community. One project is one task: it holds the project's nodes and its
+    edges as compressed blocks in memory, the links in a file of the executor's local folder;
+    `label_propagation` has no such limit."""
+    rows = _inside(nodes, edges).mapInArrow(_packed, "project string, edges int, block binary").repartition("project")
     return rows.mapInArrow(_labelled, "project string, id long, label long, inside long, outside long")
 
 

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from loomgraph.operators import evidence, graph_stats, rules, search, traversal,
 from loomgraph.operators.query_language import QueryError, guarded_sql, parse, run
 from loomgraph.functions import texts
 from loomgraph.plans import graph_queries, lens
+from loomgraph.session import written
 from tests.conftest import rows_of
 
 NODES = "id long, project string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int, is_exported int, is_test int, is_entry_point int, properties string"
@@ -253,3 +256,44 @@ def test_sequential_labels_equal_one_by_one(spark, frame, monkeypatch):
     monkeypatch.setattr(lens, "stored", lambda *_: (nodes, links))
     plan = graph_queries.QUERIES["op115_sequential_communities"](spark, "")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 2  # the links were joined again, doubled, to count them by community
+
+
+def test_communities_send_no_stored_nodes_by_way_of_the_driver(spark, frame, monkeypatch):
+    nodes = written(frame(NODES, [node(i, "Function", f"f{i}") for i in range(1, 12)]), "nodes")
+    links = written(edges(frame, [(a, b) for a in range(1, 6) for b in range(1, 6) if a < b] + [(5, 6), (6, 99)]), "edges")
+    monkeypatch.setattr(lens, "stored", lambda *_: (nodes, links))
+    found = graph_queries.QUERIES["op115_sequential_communities"](spark, "")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan  # 11 million ids at 60 times sf0.1
+    assert [tuple(r) for r in found.collect()] == [(1, 6, 1.0)]
+
+
+def _edge_batches(sources, targets, projects=("p",)):
+    for i in range(0, len(sources), 10_000):
+        names = [projects[j % len(projects)] for j in range(i, min(i + 10_000, len(sources)))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sources[i : i + 10_000]), pa.array(targets[i : i + 10_000])], names=["project", "source_id", "target_id"])
+
+
+def test_labels_hold_few_bytes_a_link_in_memory():
+    rng = np.random.default_rng(3)
+    count = 4_000_000
+    sources, targets = np.sort(rng.integers(0, 20_000, count)) + 6 * 10**12, rng.integers(0, 20_000, count) + 5 * 10**12
+    tracemalloc.start()
+    try:
+        rows = sum(len(b) for b in traversal._labelled(getattr(traversal, "_packed", iter)(_edge_batches(sources, targets))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 40_000 and peak < 40 * count  # what grows with the links are blocks, some 3 bytes a link; parts of fixed size are most of it here
+
+
+def test_labels_do_not_depend_on_parts_or_files(monkeypatch):
+    rng = np.random.default_rng(4)
+    sources, targets = (rng.integers(-(2**62), 2**62, 300)[rng.integers(0, 300, 2_000)] for _ in range(2))
+    targets[:1_000] = np.roll(sources, 7)[:1_000]
+    targets[targets == sources] += 1
+    labelled = lambda: sorted((r for b in traversal._labelled(traversal._packed(_edge_batches(sources, targets, ("p", None, "q")))) for r in map(tuple, b.to_pandas().astype(object).where(lambda x: x.notna(), None).to_numpy())), key=repr)
+    whole = labelled()
+    monkeypatch.setattr(traversal, "LINKS", 50)
+    monkeypatch.setattr(traversal, "BLOCK_EDGES", 7)
+    assert len(whole) > 600 and {r[0] for r in whole} == {"p", "q", None} and labelled() == whole
