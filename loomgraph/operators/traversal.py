@@ -222,7 +222,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30)
 
 
 #: Links that the labelling takes at a time; what it makes of one is up to some 60 bytes.
-LINKS = 1 << 20
+LINKS = 1 << 19
 #: Edges in a block: a few KB, as blocks are sent to Python by thousands.
 BLOCK_EDGES = 2048
 
@@ -270,7 +270,9 @@ def _distinct(chunks: list[np.ndarray]) -> np.ndarray:
     every = np.concatenate(chunks)
     chunks.clear()
     every.sort()
-    return every[_begins(every)]
+    new = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    return every[new]
 
 
 def _ids(blocks: list[tuple[int, bytes]]) -> np.ndarray:
@@ -324,11 +326,13 @@ def _graph(blocks: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.
     for _, own, count, _ in _links(blocks, ids):
         cut[own + 1] += count
     np.cumsum(cut, out=cut)
-    near, at = _kept(int(cut[-1])), cut[:-1].copy()
+    near = _kept(int(cut[-1]))
     for first, own, count, found in _links(blocks, ids):
-        near[np.arange(len(found)) + np.repeat(at[own] - first, count)] = found
-        at[own] += count
+        near[np.arange(len(found)) + np.repeat(cut[own] - first, count)] = found
+        cut[own] += count  # where the node's next links go, at last where they end
     blocks.clear()
+    cut[1:] = cut[:-1]
+    cut[:1] = 0
     return ids, cut, near
 
 
@@ -363,9 +367,11 @@ def _settled(ids: np.ndarray, cut: np.ndarray, near: np.ndarray) -> np.ndarray:
     for _ in range(2):
         x = (x ^ (x >> np.uint32(16))) * np.uint32(0x45D9F3B)  # a public mixing constant, fixed: it decides the order
     x ^= x >> np.uint32(16)
-    rank = np.empty(n, np.int32)
-    rank[np.argsort(x, kind="stable")] = np.arange(n, dtype=np.int32)
+    order = np.argsort(x, kind="stable")
     del x
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    del order
 
     waiting = np.empty(n, np.int32)
     for i, j in _ranges(cut):
